@@ -42,7 +42,7 @@ def _class(chars: bytes) -> np.ndarray:
     return out
 
 
-_SYMBOL, _UPPER, _LETTER, _DIGIT = _class(b"[#*$%&|<>]"[1:-1]), _class(bytes(range(65, 91))), _class(bytes([*range(65, 91), *range(97, 123)])), _class(b"0123456789")
+_SYMBOL, _UPPER, _LETTER, _DIGIT = _class(b"#*$%&|<>"), _class(bytes(range(65, 91))), _class(bytes([*range(65, 91), *range(97, 123)])), _class(b"0123456789")
 _MARK, _END = _class(b"!?.,;:|-_=~^"), _class(b"!?")
 
 
