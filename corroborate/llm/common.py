@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Limits the Arrow batches that go to Python workers: texts are long, and workers hold a batch at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     folder = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import components, scratch, table
+from corroborate.llm.common import components, scratch, small_batches, table
 from corroborate.llm.textkit import U64, bounds, mix, shingles, slices
 
 SKETCH, SMALL, HOT = 48, 64, 2048
@@ -279,6 +279,7 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id long, text): doc_id, n_shingles, component_id."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = scratch(texts.mapInArrow(functools.partial(_sketches, length=SKETCH), _SKETCH_SCHEMA), "jaccard-sets")
     classes = scratch(

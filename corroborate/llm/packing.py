@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import scratch, table
+from corroborate.llm.common import scratch, small_batches, table
 from corroborate.llm.textkit import slices
 from corroborate.llm.vocabulary import UnitTable, tokenizer
 
@@ -124,6 +124,7 @@ def plan(histogram: dict[int, int], most: int = MAX) -> list[tuple[int, int, int
 
 def tokenised(docs: DataFrame, file: str = FILE, end: int = END, most: int = MAX, keep_ids: bool = False) -> DataFrame:
     """The pieces of docs (doc_id long, text), as a table in the shared folder."""
+    small_batches(docs.sparkSession)
     schema = _PIECES + (", ids binary" if keep_ids else "")
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(functools.partial(_pieces, file=file, end=end, most=most, keep_ids=keep_ids), schema)
     return scratch(pieces, "packing-pieces")

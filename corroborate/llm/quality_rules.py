@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.llm import boosting
-from corroborate.llm.common import table
+from corroborate.llm.common import small_batches, table
 from corroborate.llm.textkit import Slice, bounds, shingles, slices
 
 SAMPLE = 8000
@@ -139,6 +139,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, bound: int, only:
 
     Labels that are null or not 0/1 and null ids are left out; the first of several labels of an id is its largest.
     """
+    small_batches(docs.sparkSession)
     labels = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("y")).filter(only)
     share = min(1.0, bound / max(1, labels.count()))
     chosen = labels.filter((F.expr("pmod(xxhash64(doc_id, 'sample'), 1000000)") < share * 1_000_000))
@@ -169,6 +170,7 @@ def _judge(batches: Iterator[pa.RecordBatch], trees: boosting.Trees) -> Iterator
 
 def judge(docs: DataFrame, trees: boosting.Trees) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality_score of each row."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality_score double"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(functools.partial(_judge, trees=trees), schema)
 
@@ -183,6 +185,7 @@ def _passing(batches: Iterator[pa.RecordBatch], trees: boosting.Trees, text: int
 
 def keep_good(docs: DataFrame, trees: boosting.Trees) -> DataFrame:
     """The rows of docs that ``judge`` keeps, with all their columns, in one pass and without a shuffle."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(functools.partial(_passing, trees=trees, text=docs.columns.index("text")), docs.schema)
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _MUL = U64(0x9E3779B97F4A7C15)
 _RADIX = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
 

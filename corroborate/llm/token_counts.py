@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import scratch, table
+from corroborate.llm.common import scratch, small_batches, table
 from corroborate.llm.textkit import Slice, slices
 from corroborate.llm.vocabulary import UnitTable, tokenizer
 
@@ -143,6 +143,7 @@ def _counts(batches: Iterator[pa.RecordBatch], file: str, limit: int) -> Iterato
 
 def count_tokens(docs: DataFrame, file: str = FILE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row for each row of docs (doc_id long, text): doc_id, n_bytes, n_tokens."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     short = docs.filter(F.col("n_bytes") <= chunk).mapInArrow(functools.partial(_counts, file=file, limit=chunk), "doc_id long, n_bytes long, n_tokens long")
     huge = docs.filter(F.col("n_bytes") > chunk)

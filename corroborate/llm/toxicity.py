@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import scratch, table
+from corroborate.llm.common import scratch, small_batches, table
 from corroborate.llm.quality_rules import labelled
 
 SAMPLE = 12_000
@@ -223,6 +223,7 @@ def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id and score (0 to 1) of each row of docs (doc_id long, text)."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(functools.partial(_scored, lexicon=lexicon), "doc_id long, score double")
 
 

@@ -14,7 +14,7 @@ import numpy as np
 from corroborate.llm.textkit import U64, Slice
 
 #: Distinct units that a worker keeps; at the bound it starts anew, which costs time only.
-KEPT = 3 << 20
+KEPT = 3 << 19
 
 
 def path_of(name: str) -> str:
@@ -50,8 +50,8 @@ class UnitTable:
 
     def clear(self) -> None:
         self.hashes = np.zeros(0, U64)
-        self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.start = np.zeros(0, np.int32)
+        self.length = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
     def rows(self, part: Slice, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -68,8 +68,8 @@ class UnitTable:
             body = part.data.tobytes()
             texts = [body[s:e].decode("utf-8", "replace") for s, e in zip(start[first[fresh]].tolist(), end[first[fresh]].tolist())]
             ids = self.encode(texts)
-            length = np.array([len(x) for x in ids], np.int64)
-            begin = len(self.pool) + np.concatenate(([0], np.cumsum(length)[:-1]))
+            length = np.array([len(x) for x in ids], np.int32)
+            begin = (len(self.pool) + np.concatenate(([0], np.cumsum(length)[:-1]))).astype(np.int32)
             self.pool = np.concatenate([self.pool, np.array([t for x in ids for t in x], np.uint32)])
             self.start = np.insert(self.start, at[fresh], begin)
             self.length = np.insert(self.length, at[fresh], length)
@@ -82,7 +82,7 @@ class UnitTable:
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
         """The ids of all the units, one after the other."""
-        length = self.length[rows]
+        length = self.length[rows].astype(np.int64)
         total = int(length.sum())
         jump = np.repeat(self.start[rows] - np.concatenate(([0], np.cumsum(length)[:-1])), length)
         return self.pool[jump + np.arange(total)]
