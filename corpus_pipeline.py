@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corroborate.llm.common import scratch, table
 from corroborate.llm.mixing import mix_sources
-from corroborate.llm.ngram_jaccard import jaccard_components
+from corroborate.llm.ngram_jaccard import BROADCAST_IDS, jaccard_components
 from corroborate.llm.packing import pack, tokenised
 from corroborate.llm.passages import shared_passages, without_repeats
 from corroborate.llm.quality_rules import keep_good, train
@@ -25,7 +25,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the Jaccard join: that with the smallest doc_id; null ids stay."""
     components = jaccard_components(docs).filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(components, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    gone = scratch(components, "pipeline-gone")
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    # rows that share doc_id and text: one stays; only ids that occur again are shuffled with their texts
+    again = scratch(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-again")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

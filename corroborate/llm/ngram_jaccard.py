@@ -18,7 +18,7 @@ form a class, and classes are joined:
     from above. Of the pairs that pass, the minimum spanning forest (nearest first) is verified by exact
     intersection of sorted arrays.
 4.  Where a verified forest leaves passing pairs between different components, all those pairs are
-    verified too. So each pair that passes is either verified or inside a verified component.
+    verified too, after a second look with bitmaps WIDE times as long. So each pair that passes is either verified or inside a verified component.
 
 Rows with a null doc_id take no part in links of their own: they belong to the class of their text.
 Rows that share a doc_id count as one node. Texts without words have no shingles and no links.
@@ -38,6 +38,10 @@ from corroborate.llm.common import components, scratch, small_batches, table
 from corroborate.llm.textkit import U64, bounds, mix, shingles, slices
 
 SKETCH, SMALL, HOT = 48, 64, 2048
+#: Bits for each shingle in the bitmaps of the second search; the first has one.
+WIDE = 8
+#: Ids of candidates are broadcast to fetch their texts up to this number; beyond it the join shuffles.
+BROADCAST_IDS = 300_000
 
 _SKETCH_SCHEMA = "doc_id long, class binary, n_shingles long, bitmap binary, sketch array<long>"
 
@@ -56,9 +60,9 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield part.first + i, one
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """Bit b is the parity of the number of hashes that are b modulo the size; the size is a power of two."""
-    size = max(64, 1 << (len(hashes) - 1).bit_length())
+def bitmap(hashes: np.ndarray, scale: int = 1) -> bytes:
+    """Bit b is the parity of the number of hashes that are b modulo the size: the power of two from scale * hashes up."""
+    size = max(64, 1 << (scale * len(hashes) - 1).bit_length())
     odd = np.bincount((hashes & U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -222,7 +226,11 @@ def _tiles(batches: Iterator[pa.RecordBatch], all_pairs: bool) -> Iterator[pa.Re
 def _candidates(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
     """Pairs (a, b) of nodes to verify: each tile's spanning forest, or with groups all pairs between groups."""
     seeds = classes.select("node", F.explode("sketch").alias("h"))
-    shared = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    if groups is None:
+        shared = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    else:
+        of = seeds.join(groups, "node").groupBy("h")
+        shared = of.agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("c"), F.max("component").alias("d")).filter("c <> d").drop("c", "d")
     per_class = seeds.join(shared, "h").groupBy("node").agg(F.collect_list(F.struct("h", "members")).alias("tiles"))
     full = classes.select("node", F.col("n_shingles").alias("n"), "bitmap", F.size("sketch").alias("width"))
     rows = per_class.join(full, "node")
@@ -251,7 +259,8 @@ def _candidates(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for _, x in shingle_sets(batch.column(1))], pa.binary())], names=["node", "hashes"])
+        sets = [x for _, x in shingle_sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([bitmap(x, WIDE) for x in sets], pa.binary())], names=["node", "hashes", "bitmap"])
 
 
 def linked(one: np.ndarray, two: np.ndarray) -> bool:
@@ -291,12 +300,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     pairs = scratch(_candidates(classes.drop("class"), None), "jaccard-pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    arrays = scratch(texts.join(ends, texts["doc_id"] == ends["node"]).select("node", "text").mapInArrow(_arrays, "node long, hashes binary"), "jaccard-arrays")
+    few = ends.count() <= BROADCAST_IDS
+    arrays = scratch(texts.join(F.broadcast(ends) if few else ends, texts["doc_id"] == ends["node"]).select("node", "text").mapInArrow(_arrays, "node long, hashes binary, bitmap binary"), "jaccard-arrays")
     links = scratch(_verified(pairs, arrays), "jaccard-links")
     groups = components(links)
     if pairs.count() > links.count():
         # some forest edges failed: verify every passing pair between components as well
-        among = classes.drop("class").join(ends, "node", "left_semi")
+        among = classes.drop("class", "bitmap").join(arrays.select("node", "bitmap"), "node")
         own = ends.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         more = _candidates(among, own).join(pairs, ["a", "b"], "left_anti")
         found = scratch(_verified(more, arrays), "jaccard-more")
