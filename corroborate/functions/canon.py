@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Code points that may not stand in a path segment.
 _SEGMENT_BANNED = "\u202e\u2066\u200b\u200c\u200d\ufeff"
@@ -21,12 +22,12 @@ def canonical(text: str) -> str:
     return json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(canonical, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_sha256(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: hashlib.sha256(canonical(t).encode()).hexdigest(), na_action="ignore")
 
@@ -34,7 +35,7 @@ def canonical_sha256(texts: pd.Series) -> pd.Series:
 def line_hmac(entry: Column, key: bytes) -> Column:
     """HMAC-SHA-256 over the canonical entry (JSON text) without its line_hash."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def signed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(text: str) -> str:
             body = {k: v for k, v in json.loads(text).items() if k != "line_hash"}
@@ -46,7 +47,7 @@ def line_hmac(entry: Column, key: bytes) -> Column:
     return signed(entry)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def safe_segment(values: pd.Series) -> pd.Series:
     """May the value be one segment of a path? Checked as it is and in compatibility form."""
 

@@ -30,12 +30,20 @@ def tier_rank(families: Column) -> Column:
     return F.when(families <= 1, 1).when(families == 2, 2).otherwise(3)
 
 
+def _label(rank: Column, labels: tuple[str, ...]) -> Column:
+    """The label of a rank from 0; null for a null rank."""
+    out = F.when(rank == 0, labels[0])
+    for k, label in enumerate(labels[1:], 1):
+        out = out.when(rank == k, label)
+    return out
+
+
 def tier_name(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, TIERS)), rank + 1)
+    return _label(rank, TIERS)
 
 
 def c_scale(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, C_SCALE)), rank + 1)
+    return _label(rank, C_SCALE)
 
 
 def program_family_tier(events: DataFrame) -> DataFrame:
