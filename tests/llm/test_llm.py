@@ -126,6 +126,19 @@ def test_trees_learn_and_stay_monotone():
             assert (sign * np.diff(trees.margin(grid)) >= -1e-12).all()
 
 
+def test_passages_within_one_document(spark):
+    """A passage that a later document holds twice, and runs of one word of different lengths, are covered whole."""
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 9000, n))
+    passage, run = words(60), lambda n: " ".join(["was"] * n)
+    table_rows = [(1, words(20) + " " + run(12) + " " + words(80)), (2, words(40) + " " + passage), (3, " ".join([words(30), passage, words(30), passage, words(30)])), (4, words(30) + " " + run(150)), (5, run(400) + " " + words(30)), (6, words(50) + " " + run(53))]
+    got = passages.shared_passages(spark.createDataFrame(table_rows, "doc_id long, text string")).collect()
+    for doc, spans in {3: [(30, 90), (120, 180)], 5: [(0, 400)], 6: [(50, 103)]}.items():
+        covered = {i for r in got if r["doc_id"] == doc for i in range(r["start"], r["end"])}
+        assert all(covered >= set(range(*s)) for s in spans), doc
+    assert not {r["doc_id"] for r in got} & {1, 2}
+
+
 def test_passages(spark, odd, empty, docs):
     got = rows(passages.shared_passages(odd), "doc_id", "source_doc_id", "n_words")
     assert {(d, s) for d, s, _ in got} >= {(2, 1), (3, 1), (10, 9), (14, 11), (14, 9)} and all(n >= 50 for *_, n in got)
