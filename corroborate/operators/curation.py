@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def token_set(text: Column) -> Column:
@@ -62,3 +66,23 @@ def balanced_selection(seed: DataFrame, drafts: DataFrame, target: int) -> DataF
 
 def strip_fence(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"\A```(?:json)?\s*", ""), r"\s*```\z", ""))
+
+
+@F.pandas_udf(T.BooleanType())
+def compiles(patterns: pd.Series) -> pd.Series:
+    """Is the text a regular expression? Java's dialect differs from the one answers are scored with, so it is compiled here."""
+
+    def ok(pattern: str) -> bool:
+        try:
+            re.compile(pattern)
+        except (re.error, OverflowError, RecursionError):
+            return False
+        return True
+
+    return patterns.map(ok, na_action="ignore")
+
+
+def draft_problem(pattern: Column, justification: Column) -> Column:
+    """Why a draft is refused, null if it isn't: an empty field, or a pattern (after its ``~``) that doesn't compile."""
+    body = F.regexp_replace(pattern, "^~", "")
+    return F.when(F.coalesce(pattern, F.lit("")) == "", "EMPTY_PATTERN").when(F.coalesce(justification, F.lit("")) == "", "EMPTY_JUSTIFICATION").when(~compiles(body), "BAD_PATTERN")

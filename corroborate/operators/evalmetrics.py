@@ -136,6 +136,23 @@ def selective_score(rows: DataFrame) -> DataFrame:
     return rows.groupBy("arm").agg(F.sum(F.when(firm & F.col("correct"), 1).when(firm, -2).otherwise(0)).alias("score"), F.avg(F.when(firm & F.col("correct"), 1.0).when(firm, -2.0).otherwise(0.0)).alias("mean_score"))
 
 
+def risk_coverage(rows: DataFrame) -> DataFrame:
+    """Points by arm, firmest status first: coverage, risk among the covered, and wrong rows as a share of all."""
+    place = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("claim_status"))
+    tiers = rows.filter(F.col("claim_status").isin(*STATUSES)).groupBy("arm", "claim_status").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("correct")).alias("wrong"))
+    everything, firmer = Window.partitionBy("arm"), Window.partitionBy("arm").orderBy(place.desc())
+    sums = tiers.select("arm", "claim_status", place.alias("place"), F.sum("n").over(firmer).alias("covered"), F.sum("wrong").over(firmer).alias("missed"), F.sum("n").over(everything).alias("total"))
+    return sums.select("arm", "claim_status", "place", (F.col("covered") / F.col("total")).alias("coverage"), (F.col("missed") / F.col("covered")).alias("risk"), (F.col("missed") / F.col("total")).alias("joint_risk"))
+
+
+def risk_coverage_area(points: DataFrame) -> DataFrame:
+    """By arm, trapezoids under risk and under joint risk between the points; a single point has no area."""
+    before = Window.partitionBy("arm").orderBy(F.desc("place"))
+    step = F.col("coverage") - F.lag("coverage").over(before)
+    area = lambda c: F.coalesce(step * (F.col(c) + F.lag(c).over(before)) / 2, F.lit(0.0))
+    return points.select("arm", area("risk").alias("a"), area("joint_risk").alias("b")).groupBy("arm").agg(F.sum("a").alias("aurc"), F.sum("b").alias("augrc"), F.count(F.lit(1)).alias("n_points"))
+
+
 def run_comparison(rows: DataFrame) -> DataFrame:
     """Accuracy of each run and arm, and its change from the arm's run before."""
     per_run = rows.groupBy("arm", "run_idx").agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))

@@ -10,20 +10,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corroborate.functions.canon import line_hmac
+from corroborate.functions.canon import canonical_sha256, line_hmac
 
 GENESIS = "0" * 64
 
 
-def seal(entries: DataFrame, key: bytes) -> DataFrame:
+def seal(entries: DataFrame, key: bytes, after: DataFrame | None = None) -> DataFrame:
     """(ledger_id, line_no, body JSON) -> the same with raw_line, prev_hash and line_hash.
 
-    A chain is sequential, so one ledger is one group; the work spreads over ledgers.
+    A chain is sequential, so one ledger is one group; the work spreads over ledgers. ``after`` has the heads
+    (ledger_id, head, last_line) that the new lines follow; a ledger without one begins anew.
     """
 
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("line_no")
-        before, out = GENESIS, []
+        before, out = rows["head"].iloc[0], []
         for body in rows["body"]:
             entry = json.loads(body) | {"prev_hash": before}
             mark = hmac.new(key, json.dumps(entry, sort_keys=True, ensure_ascii=False).encode(), hashlib.sha256).hexdigest()
@@ -31,7 +32,13 @@ def seal(entries: DataFrame, key: bytes) -> DataFrame:
             before = mark
         return rows.drop(columns=["body"]).assign(raw_line=[x[0] for x in out], prev_hash=[x[1] for x in out], line_hash=[x[2] for x in out])[["ledger_id", "line_no", "raw_line", "prev_hash", "line_hash"]]
 
-    return entries.select("ledger_id", "line_no", "body").groupBy("ledger_id").applyInPandas(chain, "ledger_id string, line_no long, raw_line string, prev_hash string, line_hash string")
+    lines = entries.select("ledger_id", "line_no", "body")
+    if after is None:
+        lines = lines.withColumn("head", F.lit(GENESIS))
+    else:
+        known = lines.join(after.select("ledger_id", "head", "last_line"), "ledger_id", "left")
+        lines = known.select("ledger_id", (F.col("line_no") + F.coalesce("last_line", F.lit(0))).alias("line_no"), "body", F.coalesce("head", F.lit(GENESIS)).alias("head"))
+    return lines.groupBy("ledger_id").applyInPandas(chain, "ledger_id string, line_no long, raw_line string, prev_hash string, line_hash string")
 
 
 def verify(lines: DataFrame, key: bytes) -> DataFrame:
@@ -43,6 +50,27 @@ def verify(lines: DataFrame, key: bytes) -> DataFrame:
     return got.withColumn("bad", bad).groupBy("ledger_id").agg(F.min(F.when(F.col("bad"), F.col("line_no"))).alias("first_bad")).withColumn("ok", F.col("first_bad").isNull()).withColumn("status", F.when(F.col("ok"), "VERIFIED").otherwise(F.concat(F.lit("TAMPERED at line "), F.col("first_bad"))))
 
 
+def record_findings(findings: DataFrame, key: bytes, after: DataFrame | None = None) -> DataFrame:
+    """A sealed line for each finding that wasn't refused, drafts included, in the ledger of its case.
+
+    findings: the rows of ``gate.evaluate_claims`` with case_id and hypothesis (and reason_codes, if known). The finding's canonical JSON
+    and its hash go into the entry. A later promotion is a new line; nothing is changed.
+    """
+    kept = findings.filter("refusal is null")
+    payload = F.struct(
+        "hypothesis", "tier", "audit_ids", "families", F.col("n_families").alias("n_distinct_families"), "confirmation_basis",
+        F.col("reason_codes") if "reason_codes" in findings.columns else F.array().cast("array<string>").alias("reason_codes"), "demoted_for_tamper", "demoted_for_temporal", "c_scale",
+    )
+    hashed = kept.withColumn("finding", payload).withColumn("hash", canonical_sha256(F.to_json("finding", {"ignoreNullFields": "false"})))
+    args = F.struct("hypothesis", "audit_ids", F.coalesce("n_signals", F.lit(0)).alias("deception_signal_count"))
+    body = F.struct(
+        F.concat("case_id", F.lit("-finding-"), F.substring(F.sha2(F.concat_ws(":", F.col("claim_id").cast("string"), "hash"), 256), 1, 16)).alias("audit_id"), "case_id", F.lit("claim_finding").alias("tool"),
+        args.alias("args"), F.struct("finding").alias("input_ref"), F.col("hash").alias("pre_sanitization_sha256"), F.col("hash").alias("post_sanitization_sha256"), F.size("audit_ids").alias("rowcount"),
+    )
+    number = F.row_number().over(Window.partitionBy("case_id").orderBy("claim_id", "hash")).cast("long")
+    return seal(hashed.select(F.col("case_id").alias("ledger_id"), number.alias("line_no"), F.to_json(body, {"ignoreNullFields": "false"}).alias("body")), key, after)
+
+
 def heads(lines: DataFrame) -> DataFrame:
     return lines.groupBy("ledger_id").agg(F.max_by("line_hash", "line_no").alias("head"), F.max("line_no").alias("last_line"))
 

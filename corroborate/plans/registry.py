@@ -210,6 +210,16 @@ def chain_verify_tampered(spark, sf_dir):
     return ledger.verify(lines.withColumn("raw_line", broken), KEY)
 
 
+@query(f"""{with_views("calls", "claims")}, cited AS (SELECT claim_id, case_id, unnest(audit_ids) AS audit_id FROM claims),
+good AS (SELECT claim_id, any_value(c.case_id) AS case_id FROM cited c LEFT JOIN calls k ON c.audit_id = k.audit_id GROUP BY 1 HAVING bool_and(coalesce(k.tool <> 'get_pslist', false)))
+SELECT case_id AS ledger_id, count(*) AS n_findings, true AS ok FROM good GROUP BY 1""")
+def recorded_findings(spark, sf_dir):
+    """Findings of all claims, drafts included, sealed in the ledgers of their cases, which are then verified."""
+    findings = gate.evaluate_claims(view(spark, sf_dir, "claims"), view(spark, sf_dir, "calls"), WINDOW_SECONDS).withColumn("hypothesis", F.concat(F.lit("claim "), "claim_id"))
+    lines = ledger.record_findings(findings, KEY)
+    return ledger.verify(lines, KEY).select("ledger_id", "ok").join(lines.groupBy("ledger_id").agg(F.count(F.lit(1)).alias("n_findings")), "ledger_id")
+
+
 @query()
 def ledger_heads(spark, sf_dir):
     return ledger.heads(ledger.seal(_entries(spark, sf_dir), KEY))
@@ -417,6 +427,23 @@ def selective_score(spark, sf_dir):
     return _rounded(evalmetrics.selective_score(_eval(spark, sf_dir)))
 
 
+_POINTS = f"""{_E}, t AS (SELECT arm, claim_status, CASE claim_status WHEN 'DRAFT_TAMPER_SUSPECTED' THEN 1 WHEN 'DRAFT' THEN 2 WHEN 'CORROBORATED' THEN 3 WHEN 'FINAL' THEN 4 END::BIGINT AS place,
+  count(*) AS n, count(*) FILTER (NOT correct) AS wrong FROM eval_rows WHERE claim_status IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT *, sum(n) OVER w AS covered, sum(wrong) OVER w AS missed, sum(n) OVER (PARTITION BY arm) AS total FROM t WINDOW w AS (PARTITION BY arm ORDER BY place DESC)),
+points AS (SELECT arm, claim_status, place, covered / total AS coverage, missed / covered AS risk, missed / total AS joint_risk FROM c)"""
+
+
+@query(f"{_POINTS} SELECT arm, claim_status, place, round(coverage, 6) AS coverage, round(risk, 6) AS risk, round(joint_risk, 6) AS joint_risk FROM points")
+def risk_coverage(spark, sf_dir):
+    return _rounded(evalmetrics.risk_coverage(_eval(spark, sf_dir)))
+
+
+@query(f"""{_POINTS}, s AS (SELECT arm, coverage - lag(coverage) OVER w AS step, risk + lag(risk) OVER w AS r, joint_risk + lag(joint_risk) OVER w AS j FROM points WINDOW w AS (PARTITION BY arm ORDER BY place DESC))
+SELECT arm, round(sum(coalesce(step * r / 2, 0)), 6) AS aurc, round(sum(coalesce(step * j / 2, 0)), 6) AS augrc, count(*) AS n_points FROM s GROUP BY 1""")
+def risk_coverage_area(spark, sf_dir):
+    return _rounded(evalmetrics.risk_coverage_area(evalmetrics.risk_coverage(_eval(spark, sf_dir))))
+
+
 @query(f"""{_E}, p AS (SELECT arm, run_idx, avg(correct::INT) AS accuracy FROM eval_rows GROUP BY 1, 2)
 SELECT arm, run_idx, round(accuracy, 6) AS accuracy, round(accuracy - lag(accuracy) OVER (PARTITION BY arm ORDER BY run_idx), 6) AS change FROM p""")
 def run_comparison(spark, sf_dir):
@@ -505,3 +532,10 @@ def hash_parse(spark, sf_dir):
 @query()
 def payload_segments(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", canon.safe_segment(F.substring_index("url", "/", -1)).alias("safe"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'EMPTY_PATTERN' WHEN page_id % 5 = 0 THEN 'EMPTY_JUSTIFICATION' WHEN page_id % 7 = 0 THEN 'BAD_PATTERN' END AS problem FROM pages""")
+def draft_problems(spark, sf_dir):
+    words = F.coalesce(F.regexp_replace("url", "[^a-z0-9/]", "."), F.lit("none"))
+    pattern = F.when(F.col("page_id") % 3 == 0, "").when(F.col("page_id") % 7 == 0, F.concat(F.lit("~("), words)).otherwise(F.concat(F.lit("~"), words))
+    return _read(spark, sf_dir, "pages").select("page_id", curation.draft_problem(pattern, F.when(F.col("page_id") % 5 == 0, "").otherwise("because")).alias("problem"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import hmac
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corroborate.operators import gate
+from corroborate.operators.ledger import GENESIS
 from corroborate.sources import artifacts
 
 
@@ -40,3 +46,34 @@ def guarded_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str)
         bad.select("case_id", "tool", "source_artifact", "row_index", "reason").write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
 
     return lines.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ledger_tail(lines: DataFrame, key: bytes) -> DataFrame:
+    """Verification of growing ledgers (ledger_id, line_no, raw_line), in update mode: last line, first bad line, ok.
+
+    State of a ledger: its head, last line and first bad line. Lines of one batch are put in order; a line at or
+    before the last one is a repeat and passes unseen.
+    """
+
+    def tail(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        head, last, bad = state.get if state.exists else (GENESIS, -1, None)
+        rows = pd.concat(list(parts)).sort_values("line_no")
+        for number, text in zip(rows["line_no"].tolist(), rows["raw_line"].tolist()):
+            if number <= last:
+                continue
+            try:
+                entry = json.loads(text)
+                mark = entry.pop("line_hash", None)
+                own = hmac.new(key, json.dumps(entry, sort_keys=True, ensure_ascii=False).encode(), hashlib.sha256).hexdigest()
+                good = mark == own and entry.get("prev_hash") == head
+            except (TypeError, ValueError, AttributeError):
+                good, mark = False, None
+            if not good and bad is None:
+                bad = number
+            head, last = mark, number
+        state.update((head, last, bad))
+        yield pd.DataFrame({"ledger_id": [name[0]], "last_line": [last], "first_bad": pd.array([bad], dtype="Int64"), "ok": [bad is None]})
+
+    return lines.select("ledger_id", "line_no", "raw_line").groupBy("ledger_id").applyInPandasWithState(
+        tail, "ledger_id string, last_line long, first_bad long, ok boolean", "head string, last long, bad long", "update", GroupStateTimeout.NoTimeout
+    )

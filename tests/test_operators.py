@@ -2,6 +2,7 @@
 
 import datetime as dt
 import glob
+import hashlib
 import json
 import os
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corroborate.functions import canon, scalars
-from corroborate.operators import evalmetrics, forgery, gate, ledger, normalise, textguard
+from corroborate.operators import curation, evalmetrics, forgery, gate, ledger, normalise, textguard
 from corroborate.plans import registry
 from corroborate.sources import artifacts
 
@@ -70,6 +71,47 @@ def test_ledger_finds_every_change(spark):
     assert canon.canonical('{"b":1,"a":"é"}') == '{"a": "é", "b": 1}'
 
 
+def test_findings_follow_a_ledger(spark):
+    key = b"0" * 32
+    calls = spark.createDataFrame([("c-1", "get_amcache", None), ("c-2", "get_prefetch", None)], "audit_id string, tool string, first_event_ts timestamp")
+    claims = spark.createDataFrame([(1, "c", ["c-1"], 0, "é ran"), (2, "c", ["c-1", "c-2"], 0, "it ran"), (3, "c", [], 0, "none"), (4, "d", ["c-2"], 1, "other")], "claim_id int, case_id string, audit_ids array<string>, n_signals int, hypothesis string")
+    old = ledger.seal(spark.createDataFrame([("c", n, json.dumps({"audit_id": f"c-{n}"})) for n in (1, 2)], "ledger_id string, line_no long, body string"), key)
+    new = ledger.record_findings(gate.evaluate_claims(claims, calls), key, ledger.heads(old))
+    entries = {(r["ledger_id"], r["line_no"]): json.loads(r["raw_line"]) for r in new.collect()}
+    assert sorted(entries) == [("c", 3), ("c", 4), ("d", 1)]
+    assert [entries[k]["input_ref"]["finding"]["tier"] for k in sorted(entries)] == ["DRAFT", "CORROBORATED", "DRAFT_TAMPER_SUSPECTED"]
+    finding = entries["c", 3]["input_ref"]["finding"]
+    assert entries["c", 3]["pre_sanitization_sha256"] == hashlib.sha256(canon.canonical(json.dumps(finding)).encode()).hexdigest()
+    assert {r["ledger_id"]: r["ok"] for r in ledger.verify(old.unionByName(new), key).collect()} == {"c": True, "d": True}
+
+
+def test_risk_coverage_and_drafts(spark):
+    rows = [("g", "FINAL", True)] * 2 + [("g", "CORROBORATED", False)] * 2 + [("g", "DRAFT", True)] * 4 + [("one", "DRAFT", True), ("none", None, True)]
+    points = evalmetrics.risk_coverage(spark.createDataFrame(rows, "arm string, claim_status string, correct boolean"))
+    got = {r["arm"]: r for r in evalmetrics.risk_coverage_area(points).collect()}
+    assert set(got) == {"g", "one"} and got["one"]["aurc"] == 0
+    assert got["g"]["aurc"] == pytest.approx(0.25 * 0.5 / 2 + 0.5 * (0.5 + 0.25) / 2) and got["g"]["augrc"] == pytest.approx(0.25 * 0.25 / 2 + 0.5 * 0.25)
+    drafts = spark.createDataFrame([("~a+", "x"), ("~(", "x"), ("", "x"), (None, "x"), ("a", ""), ("a(?P<n>b)", "x")], "p string, j string")
+    assert [r[0] for r in drafts.select(curation.draft_problem(F.col("p"), F.col("j"))).collect()] == [None, "BAD_PATTERN", "EMPTY_PATTERN", "EMPTY_PATTERN", "EMPTY_JUSTIFICATION", None]
+
+
+def test_ledger_tail_agrees_with_batch(spark, tmp_path):
+    from corroborate.streaming import flows
+
+    key, kind = b"0" * 32, "ledger_id string, line_no long, raw_line string"
+    body = spark.createDataFrame([(name, n, json.dumps({"audit_id": f"{name}{n}"})) for name in "abc" for n in range(1, 7)], "ledger_id string, line_no long, body string")
+    lines = ledger.seal(body, key).withColumn("raw_line", F.when((F.col("ledger_id") == "b") & (F.col("line_no") == 5), F.replace("raw_line", F.lit("b5"), F.lit("x5"))).otherwise(F.col("raw_line"))).select("ledger_id", "line_no", "raw_line")
+    rows = [tuple(r) for r in lines.collect() if (r["ledger_id"], r["line_no"]) != ("c", 2)]
+    seen = {}
+    for part in ([r for r in rows if r[1] <= 3], [r for r in rows if r[1] >= 3]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        tail = flows.ledger_tail(spark.readStream.schema(kind).json(str(tmp_path / "in")), key)
+        run = tail.writeStream.outputMode("update").foreachBatch(lambda batch, _: seen.update({r["ledger_id"]: (r["last_line"], r["first_bad"], r["ok"]) for r in batch.collect()})).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        run.awaitTermination(120)
+    batch = {r["ledger_id"]: (6, r["first_bad"], r["ok"]) for r in ledger.verify(spark.createDataFrame(rows, kind), key).collect()}
+    assert seen == batch == {"a": (6, None, True), "b": (6, 5, False), "c": (6, 3, False)}
+
+
 def test_forgery_and_intervals(spark):
     got = one(spark, forgery.poisson_binomial(F.array(*[F.lit(p) for _, p in forgery.FAMILY_PRIORS])))
     assert sum(got[2:]) == pytest.approx(0.2198, abs=5e-5) and sum(got[3:]) == pytest.approx(0.0405, abs=5e-5) and sum(got) == pytest.approx(1)
