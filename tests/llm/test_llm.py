@@ -139,6 +139,28 @@ def test_passages_within_one_document(spark):
     assert not {r["doc_id"] for r in got} & {1, 2}
 
 
+def covered(got, doc):
+    return {i for r in got if r["doc_id"] == doc for i in range(r["start"], r["end"])}
+
+
+def test_passages_around_inserted_and_replaced_words(spark):
+    """Two exact blocks of 60 words come out, whether 40 words were put between them or 60 in the place of others."""
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 90_000, n))
+    one, two, three, four = words(60), words(60), words(60), words(60)
+    table_rows = [(1, f"{one} {two}"), (2, f"{one} {words(40)} {two}"), (3, f"{three} {words(60)} {four}"), (4, f"{three} {words(60)} {four}")]
+    got = passages.shared_passages(spark.createDataFrame(table_rows, "doc_id long, text string")).collect()
+    assert covered(got, 2) >= {*range(60), *range(100, 160)} and covered(got, 4) >= {*range(60), *range(120, 180)}
+    assert all(r["n_equal"] >= 0.8 * r["n_words"] for r in got)
+
+
+def test_an_extension_never_drops_an_exact_run():
+    a = np.arange(180, dtype=np.uint32)
+    b = a.copy()
+    b[[*range(2, 64, 3), *range(116, 180, 3)]] = 999
+    assert any(s <= 65 and e >= 115 for s, e, *_ in passages.passages_of(a, b, [66], [112], [66]))
+
+
 def test_passages(spark, odd, empty, docs):
     got = rows(passages.shared_passages(odd), "doc_id", "source_doc_id", "n_words")
     assert {(d, s) for d, s, _ in got} >= {(2, 1), (3, 1), (10, 9), (14, 11), (14, 9)} and all(n >= 50 for *_, n in got)
