@@ -154,6 +154,34 @@ def test_passages_around_inserted_and_replaced_words(spark):
     assert all(r["n_equal"] >= 0.8 * r["n_words"] for r in got)
 
 
+def test_passages_whose_seeds_came_first_elsewhere(spark):
+    """Every window of 50 words that an earlier document holds is covered, wherever its seeds come first."""
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 90_000, n))
+    one, two, three, whole, near = words(20), words(20), words(20), words(60), words(26)
+    table_rows = [(1, f"{one} {words(40)}"), (2, f"{words(40)} {two}"), (3, f"{words(20)} {three} {words(20)}"), (4, f"{words(30)} {one} {two} {three}"), (5, f"{one} {two} {three} {words(9)}")]
+    # the first document holds the parts of a passage at other places, too
+    parts = whole.split()
+    table_rows += [(6, " ".join([*parts[:25], words(30), *parts[20:45], words(30), *parts[40:], words(90), whole])), (7, f"{words(10)} {whole}")]
+    # one seed in common, and words around it of which one in six differs
+    table_rows += [(8, f"{near} {' '.join(f'x{k}' for k in range(40))} {words(9)}"), (9, f"{near} {' '.join(f'x{k}' if k % 6 else 'other' for k in range(40))} {words(9)}")]
+    lines = [words(int(n)) for n in rng.integers(12, 26, 30)]
+    table_rows += [(k, " ".join(lines[v] for v in rng.integers(0, 30, 8))) for k in range(20, 140)]
+    table_rows += [(k, table_rows[-k % 90][1] + " " + words(20)) for k in range(140, 150)]
+    got = passages.shared_passages(spark.createDataFrame(table_rows, "doc_id long, text string")).collect()
+    assert covered(got, 5) >= set(range(60)) and covered(got, 7) >= set(range(10, 70)) and covered(got, 9) >= set(range(50))
+    first = {}
+    for i, t in table_rows:
+        w = t.split()
+        need = {j for k in range(len(w) - 49) if first.setdefault(tuple(w[k : k + 50]), i) != i for j in range(k, k + 50)}
+        assert covered(got, i) >= need, i
+    texts = {i: t.split() for i, t in table_rows}
+    assert all(r["n_equal"] >= 0.8 * r["n_words"] for r in got) and len(got) == len({tuple(r) for r in got})
+    for r in got:
+        if r["n_equal"] == r["n_words"] == r["source_end"] - r["source_start"]:
+            assert texts[r["doc_id"]][r["start"] : r["end"]] == texts[r["source_doc_id"]][r["source_start"] : r["source_end"]]
+
+
 def test_an_extension_never_drops_an_exact_run():
     a = np.arange(180, dtype=np.uint32)
     b = a.copy()
