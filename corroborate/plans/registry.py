@@ -278,6 +278,15 @@ def drift_flag(spark, sf_dir):
     return textguard.sanitize(docs, "text")[0].select("doc_id", "redacted", "pre_sha256", "drift")
 
 
+@query()
+def drift_flag_all(spark, sf_dir):
+    """drift_flag over all documents: texts over the limit are cut, which its SQL doesn't express; those over MAX_INPUT have no verdict."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.expr(_PLANTED).alias("text"))
+    ok, refused = textguard.sanitize(docs, "text")
+    refused = refused.select("doc_id", F.lit(None).cast("int").alias("redacted"), F.sha2("text", 256).alias("pre_sha256"), F.lit(None).cast("boolean").alias("drift"))
+    return ok.select("doc_id", "redacted", "pre_sha256", "drift").unionByName(refused)
+
+
 @query()
 def sanitize(spark, sf_dir):
     mark = F.when(F.col("doc_id") % 13 == 7, F.lit("a\u200bb\u202ec\U000e0041d")).otherwise(F.lit(""))
