@@ -12,8 +12,10 @@ form a class, and classes are joined:
 2.  A tile holds the classes that share a sketch shingle. Tiles of over SMALL classes are split into size
     bands (sizes in one band are within 4/3, so partners are in the same or the next band), and those of
     over HOT classes further into pairs of blocks. A class with at least half of a full sketch outside
-    tiles of over HOT classes leaves those tiles: linked to any other class, it shares its other shingles too (missed
-    with probability 2 ** -24 at most, when half of the union is made of such shingles).
+    tiles of over HOT classes leaves those tiles: it meets a linked class by
+    its other shingles, unless the partner lacks all of those. So such a link can be missed, in sets of any size: at a
+    Jaccard index of 0.75, of a class that holds its partner and a quarter of own shingles, with probability
+    P(Bin(48, 0.25) >= 24) = 1.7e-4 where the shared shingles are all hot (3.3e-6 at a fifth of own shingles).
 3.  In a tile, popcount(bitmap xor bitmap) bounds the symmetric difference from below, and so the overlap
     from above. Of the pairs that pass, the minimum spanning forest (nearest first) is verified by exact
     intersection of sorted arrays.
