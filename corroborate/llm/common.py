@@ -13,19 +13,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key with over a 1 / PARTS of all rows, and over LEAST_HOT of them, is split in a join.
+PARTS, LEAST_HOT = 1000, 10_000
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores after those that the columns have already (upper and lower case are alike)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a folder of its own; a cluster's executors couldn't see that, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
-    """Limits the Arrow batches that go to Python workers: texts are long, and workers hold a batch at a time."""
+    """Limits the Arrow batches that go to Python workers: texts are long, and workers hold a batch at a time.
+
+    Spark reads these settings from the session when a job runs, so they stay as set; no result depends on them.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
@@ -45,17 +69,51 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None:
+    """Keys that hold over 1 / PARTS of ``total`` rows, from counts (keys, n), with the parts to split them into.
+
+    There are at most PARTS such keys, and 2 * PARTS parts in all. None: no key is hot.
+    """
+    hot = counts.filter((F.col("n") > LEAST_HOT) & (F.col("n") * PARTS > F.lit(total)))
+    rows = hot.select(*keys, F.ceil(F.col("n") * PARTS / F.lit(max(1, total))).cast("int").alias("parts")).collect()
+    return counts.sparkSession.createDataFrame(rows, ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys) + ", parts int") if rows else None
+
+
+def hot_of(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The hot keys of rows, which are counted here."""
+    total = rows.count()
+    return hot_keys(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, total) if total > LEAST_HOT else None
+
+
+def split_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """many join one (inner or left) on keys, where the rows of hot keys (see hot_keys) are dealt over parts and their partners repeated for each."""
+    if hot is None:
+        return many.join(one, keys, how)
+    parts, part = unused([*many.columns, *one.columns], "parts", "part")
+    known = F.broadcast(hot.withColumnRenamed("parts", parts))
+    left = many.join(known, keys, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col(parts)).cast("int"), F.lit(0))).drop(parts)
+    right = one.join(known, keys, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
+    return left.join(right, [*keys, part], how).drop(part)
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return row["n"], row["x"]
 
 
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """edges join least (a, m, n) on a; nodes with very many neighbours are split."""
+    # fewer edges than this can't hold a hot node
+    hot = hot_keys(least, ["a"], total) if total > LEAST_HOT else None
+    return split_join(edges, least.select("a", "m"), ["a"], hot)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b long): rows (node, component), the smallest reachable node.
 
-    Alternates large-star and small-star steps, each a grouped minimum and a join, so that no task ever
-    holds a component; every round is checkpointed. Self loops and repeated edges do no harm. Nodes
-    without an edge aren't in the result.
+    Alternates large-star and small-star steps, each a grouped minimum and a join whose hot nodes are split, so
+    that no task ever holds a component; every round is checkpointed. Self loops and repeated edges do no harm.
+    Nodes without an edge aren't in the result.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     now = (
@@ -67,11 +125,13 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_least(both.filter("b > a"), least, 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        if state[0] > LEAST_HOT:
+            large = large.checkpoint()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = (
-            large.join(least, "a")
+            _with_least(large, least, state[0])
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .filter("a <> b")

@@ -182,6 +182,65 @@ def test_passages_whose_seeds_came_first_elsewhere(spark):
             assert texts[r["doc_id"]][r["start"] : r["end"]] == texts[r["source_doc_id"]][r["source_start"] : r["source_end"]]
 
 
+def need_of(table_rows):
+    """Words of each row in a window of 50 words that an earlier document (doc_id, hash of the text) holds; the order of texts under one id is left open."""
+    first, need = {}, {}
+    for k, (i, t) in enumerate(sorted((r for r in table_rows if r[0] is not None and r[1] is not None), key=lambda r: r[0])):
+        w = re.findall(WORD, t.translate(FOLD))
+        for j in range(len(w) - 49):
+            owner = first.setdefault(tuple(w[j : j + 50]), i)
+            if owner < i:
+                need.setdefault((i, t), set()).update(range(j, j + 50))
+    return need
+
+
+def test_passages_cover_every_window_that_an_earlier_document_holds(spark, odd, docs):
+    """Without exemptions: all windows of 50 words, on sf0.001 and the odd rows."""
+    for df in (odd, docs):
+        texts = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+        hashes = {(r["doc_id"], r["h"]): r["text"] for r in df.selectExpr("doc_id", "xxhash64(text) as h", "text").collect()}
+        got = {}
+        for r in passages.shared_passages(df).collect():
+            got.setdefault((r["doc_id"], hashes[r["doc_id"], r["text_hash"]]), set()).update(range(r["start"], r["end"]))
+        for key, words in need_of(texts).items():
+            assert got.get(key, set()) >= words, key[0]
+
+
+def test_passages_of_texts_that_share_an_id(spark):
+    """Two texts under one id are two documents: each loses only its own repeated words."""
+    rng = np.random.default_rng(21)
+    words = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 90_000, n))
+    base, other, third = words(120), words(120), words(60)
+    df = spark.createDataFrame([(1, base), (5, base), (5, other), (5, f"{third} a b"), (5, f"c {third}"), (5, f"c {third}")], "doc_id long, text string")
+    got = passages.shared_passages(df)
+    left = Counter(r["text"] for r in passages.without_repeats(df, got).collect())
+    assert left[base] == 1 and left[other] == 1
+    # of the two texts that share a passage the one with the smaller hash keeps it; equal rows fare alike
+    assert (left[f"{third} a b"], left["c "]) == (1, 2) or (left["a b"], left[f"c {third}"]) == (1, 2)
+
+
+def test_passages_keep_columns_with_clashing_names(spark, odd):
+    names = ["passage_doc_id", "passage_text_hash", "passage_spans", "repeated_spans", "part", "parts", "t", "source_t", "pos"]
+    df = odd.withColumns({n: F.lit(7) for n in names})
+    left = passages.without_repeats(df, passages.shared_passages(df))
+    assert left.columns == df.columns and left.filter(" and ".join(f"{n} = 7" for n in names)).count() == left.count() > 5
+
+
+def test_hot_keys_are_split_and_lose_no_row(spark, monkeypatch):
+    from corroborate.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 10)
+    many = spark.range(5000).selectExpr("if(id % 3 = 0, 1, id) as k", "id as v")
+    one = spark.range(0, 4000).selectExpr("id as k", "id * 2 as w")
+    hot = common.hot_of(many, ["k"])
+    assert hot.count() == 1
+    assert common.split_join(many, one, ["k"], hot).rdd.getNumPartitions() > 0
+    for how in ("inner", "left"):
+        assert rows(common.split_join(many, one, ["k"], hot, how), "k", "v", "w") == rows(many.join(one, ["k"], how), "k", "v", "w")
+    edges = spark.range(1, 3000).selectExpr("id as a", "0L as b").union(spark.range(5000, 5100).selectExpr("id as a", "id + 1 as b"))
+    assert dict(rows(common.components(edges), "node", "component")) == {**{k: 0 for k in range(3000)}, **{k: 5000 for k in range(5000, 5101)}}
+
+
 def test_an_extension_never_drops_an_exact_run():
     a = np.arange(180, dtype=np.uint32)
     b = a.copy()
@@ -206,6 +265,32 @@ def test_passages(spark, odd, empty, docs):
     assert need <= {r["doc_id"] for r in passages.shared_passages(docs).select("doc_id").distinct().collect()}
 
 
+def test_a_far_run_never_hides_a_link():
+    assert passages.chains_of(np.array([[0, 1000, 0, 900], [1200, 1215, 1210, 10], [1250, 1265, 1255, 10]]))[0] in ([0], [1, 2])
+    assert sorted(map(tuple, passages.chains_of(np.array([[0, 1000, 0, 900], [1200, 1215, 1210, 10], [1250, 1265, 1255, 10]])))) == [(0,), (1, 2)]
+
+
+def test_chains_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        n = int(rng.integers(2, 25))
+        x, y, w = rng.integers(0, 300, n), rng.integers(0, 300, n), rng.integers(0, 40, n)
+        runs = np.unique(np.stack([x, x + w, y, w // 3 + 1], axis=1), axis=0)
+        f = np.zeros(len(runs))
+        end = runs[:, 1] + passages.K
+        for i in np.argsort(runs[:, 0], kind="stable"):
+            f[i] = end[i] - runs[i, 0]
+            for j in range(len(runs)):
+                a, b = runs[i, 0] - end[j], runs[i, 2] - (runs[j, 2] + end[j] - runs[j, 0])
+                if 0 <= a <= passages.WIDEST and 0 <= b <= passages.WIDEST:
+                    f[i] = max(f[i], end[i] - runs[i, 0] + f[j] - passages.GAP * (a + b))
+        best = passages.chains_of(runs)[0]
+        total = sum(end[i] - runs[i, 0] for i in best)
+        for j, i in zip(best, best[1:]):
+            total -= passages.GAP * (runs[i, 0] - end[j] + runs[i, 2] - (runs[j, 2] + end[j] - runs[j, 0]))
+        assert np.isclose(total, f.max())
+
+
 def test_fenwick_chain_takes_the_collinear_part():
     runs = np.array([[0, 20, 0, 3], [30, 50, 400, 3], [40, 60, 42, 3], [70, 90, 75, 3]])
     assert passages.chains_of(runs)[0] == [0, 2, 3]
