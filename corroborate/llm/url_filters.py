@@ -1,122 +1,211 @@
 """URL filters: fixed rules, then a tree of path templates for each host.
 
-The tree. Each page's path becomes up to DEPTH segments; a segment of digits, or of digits with an
-extension, is a wildcard by its shape. Counts of (host, shape) then go down the tree, one level at a time:
-at each branching a segment is generalised to ``*`` if its parent has over MANY children and the segment
-holds under RARE of its parent's pages. Sibling branches whose pages divide alike over the next level's
-kinds (within ALIKE of the host's own division, in total variation) and that are alike in having labels
-merge into ``*`` as well. A template's label counts come from the pages that a rule decides, and it is
-rejected if its purity (blocked + PRIOR / 2) / (labelled + PRIOR) reaches REJECT.
-
-A page that a rule fits gets the longest rule's verdict, any other page its template's. Everything is in
-SQL: pages are summed to (host, shape) before the first shuffle, so the tree's tables grow with the shapes.
-Null url or no ``://``: host and path are empty, and its template is the empty host's. Null page_id: kept.
-Repeated rows count as often as they occur and are judged alike.
+Shapes. A path is cut at each ``/`` into segments, of any number, and a segment that is variable by its look becomes a
+wildcard: an UUID, a date, a number, a hexadecimal id, a slug that ends in a number (the last three keep a file
+extension). Pages are summed to (host, shape) before the first shuffle, so the tree grows with the shapes.
+
+The tree. Shapes go down the tree of their host, one segment at a time, each with the template it has so far:
+
+1.  Wildcards: a segment becomes ``*`` if its parent has over MANY children and it holds under RARE of the parent's pages.
+2.  Merging: two siblings are alike if no segment (or end) that follows them differs in its share by more than
+    LEVEL * (1 / sqrt(pages of one) + 1 / sqrt(pages of the other)), the bound of Hoeffding for two samples of one
+    distribution, and that bound is under 1: with too few pages nothing could differ. Labels are not looked at. A sibling joins the largest that it is alike to (of several the first by name), and a
+    branch of several siblings is named ``~`` and that one. After step 1 a parent has at most 1 / RARE + 1 children, or
+    MANY, so siblings can be compared in pairs.
+3.  Segments that all shapes of a template have next in common are passed at once, as they can't change. A shape leaves
+    the tree when its path ends, or when no other shape has its template.
+
+A page that a rule fits is labelled with the rule's verdict. A template's purity is (blocked + PRIOR / 2) / (labelled +
+PRIOR) over all its pages, and it is rejected from REJECT up; so a template needs labelled pages to be rejected, and
+passes its verdict to those that no rule fits. Such a page gets its template's verdict, any other its longest rule's.
+
+Everything is in DataFrame operations. Hot hosts, segments and shapes are split in joins. Null url or no ``://``: host and path
+are empty, and so is the template. Null page_id: kept. Repeated rows count as often as they occur and are judged alike.
+Very long urls are read whole. An empty table gives an empty result. Columns other than page_id and url aren't
+looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
-
-from corroborate.llm.common import scratch, table
+from corroborate.llm.common import LEAST_HOT, hot_keys, hot_of, scratch, split_join, table
 
 #: (verdict, rule); a rule is host/path, and the longest that fits decides.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-MANY, RARE, ALIKE, PRIOR, REJECT = 20, 0.02, 0.15, 2.0, 0.8
-
-
-def rule_case(rules: tuple[tuple[str, str], ...] = RULES) -> str:
-    """SQL for the longest rule that fits host and path (longest as text, then first in the list)."""
-    arms = []
-    for _, rule in sorted(rules, key=lambda r: -len(r[1])):
-        host, _, path = rule.partition("/")
-        fits = f"(host = '{host}' OR host LIKE '%.{host}')"
-        arms.append(f"WHEN {fits} AND substr(path, 1, {len(path) + 1}) = '/{path}' THEN '{rule}'")
-    return f"CASE {' '.join(arms)} END"
-
-
-def verdict_case(rules: tuple[tuple[str, str], ...] = RULES) -> str:
-    return f"CASE {' '.join(f"WHEN rule = '{rule}' THEN '{verdict}'" for verdict, rule in rules)} END"
-
-
-def _shape(segment: str) -> str:
-    """SQL: a segment as a wildcard if digits make it variable, with its extension if it has one."""
-    return f"CASE WHEN regexp_extract({segment}, '^([0-9]+)([.][a-z]+)?$', 1) <> '' THEN concat('*', regexp_extract({segment}, '^([0-9]+)([.][a-z]+)?$', 2)) ELSE {segment} END"
-
-
-def steps(dialect: str) -> list[tuple[str, str]]:
-    """The filter as named SQL steps over a table ``pages`` (page_id, url), the last its result; dialect: spark or duckdb."""
-    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    at = "strpos(url, '://')" if dialect == "duckdb" else "instr(url, '://')"
-    flat = r"(?s)" if dialect == "spark" else ""
-    options = ", 's'" if dialect == "duckdb" else ""
-    return [
-        ("cut", f"""SELECT page_id, CASE WHEN {at} > 0 THEN substr(url, {at} + 3) ELSE '' END AS rest FROM pages"""),
-        ("parts", f"""SELECT page_id, {lower.format(f"regexp_extract(rest, '{flat}^([^/?#]*)', 1{options})")} AS host,
-         regexp_extract(rest, '{flat}^[^/?#]*(/[^?#]*)', 1{options}) AS path FROM cut"""),
-        ("ruled", f"""SELECT page_id, host, path, {rule_case()} AS rule FROM parts"""),
-        ("shaped", f"""SELECT page_id, host, path, rule,
-         {_shape("regexp_extract(path, '^/([^/]*)', 1)")} AS s1,
-         {_shape("regexp_extract(path, '^/[^/]*/([^/]*)', 1)")} AS s2,
-         CASE WHEN regexp_extract(path, '^/[^/]*/[^/]*/(.)', 1) <> '' THEN '**' ELSE '' END AS s3 FROM ruled"""),
-        ("shapes", f"""SELECT host, s1, s2, s3, count(*) AS n, count(rule) AS labelled,
-         sum(CASE WHEN {verdict_case()} = 'block' THEN 1 ELSE 0 END) AS blocked
-  FROM shaped GROUP BY host, s1, s2, s3"""),
-        ("first_children", f"""SELECT host, s1, sum(n) AS n FROM shapes GROUP BY host, s1"""),
-        ("first_parents", f"""SELECT host, sum(n) AS total, count(*) AS children FROM first_children GROUP BY host"""),
-        ("level1", f"""SELECT c.host, c.s1, CASE WHEN p.children > {MANY} AND c.n < {RARE} * p.total THEN '*' ELSE c.s1 END AS t1
-  FROM first_children c JOIN first_parents p ON c.host = p.host"""),
-        ("second_children", f"""SELECT s.host, l.t1, s.s2, sum(s.n) AS n FROM shapes s JOIN level1 l ON s.host = l.host AND s.s1 = l.s1 GROUP BY s.host, l.t1, s.s2"""),
-        ("second_parents", f"""SELECT host, t1, sum(n) AS total, count(*) AS children FROM second_children GROUP BY host, t1"""),
-        ("level2", f"""SELECT c.host, c.t1, c.s2, CASE WHEN p.children > {MANY} AND c.n < {RARE} * p.total THEN '*' ELSE c.s2 END AS t2
-  FROM second_children c JOIN second_parents p ON c.host = p.host AND c.t1 = p.t1"""),
-        ("tree", f"""SELECT s.host, s.s1, s.s2, s.s3, l1.t1, l2.t2, s.n, s.labelled, s.blocked
-  FROM shapes s JOIN level1 l1 ON s.host = l1.host AND s.s1 = l1.s1
-  JOIN level2 l2 ON l1.host = l2.host AND l1.t1 = l2.t1 AND s.s2 = l2.s2"""),
-        ("division", f"""SELECT host, t1, t2, sum(n) AS n FROM tree GROUP BY host, t1, t2"""),
-        ("branches", f"""SELECT host, t1, sum(n) AS total, sum(labelled) AS labelled, sum(blocked) AS blocked FROM tree GROUP BY host, t1"""),
-        ("kinds", f"""SELECT host, t2, sum(n) AS n FROM tree GROUP BY host, t2"""),
-        ("hosts", f"""SELECT host, sum(total) AS total FROM branches GROUP BY host"""),
-        ("overlap", f"""SELECT b.host, b.t1, sum(CASE WHEN d.n * 1.0 / b.total < k.n * 1.0 / h.total THEN d.n * 1.0 / b.total ELSE k.n * 1.0 / h.total END) AS common
-  FROM branches b JOIN division d ON b.host = d.host AND b.t1 = d.t1 JOIN kinds k ON d.host = k.host AND d.t2 = k.t2 JOIN hosts h ON b.host = h.host
-  GROUP BY b.host, b.t1"""),
-        ("merged", f"""SELECT b.host, b.t1, CASE WHEN o.common >= {1 - ALIKE} THEN CASE WHEN b.labelled = 0 THEN '*' WHEN b.blocked = b.labelled THEN '*b' WHEN b.blocked = 0 THEN '*a' ELSE b.t1 END ELSE b.t1 END AS m1
-  FROM branches b JOIN overlap o ON b.host = o.host AND b.t1 = o.t1"""),
-        ("templates", f"""SELECT t.host, m.m1, t.t2, sum(t.labelled) AS labelled, sum(t.blocked) AS blocked
-  FROM tree t JOIN merged m ON t.host = m.host AND t.t1 = m.t1 GROUP BY t.host, m.m1, t.t2"""),
-        ("judged", f"""SELECT t.host, t.s1, t.s2, t.s3, concat(t.host, '/', m.m1, '/', t.t2) AS template,
-         (x.blocked + {PRIOR / 2}) / (x.labelled + {PRIOR}) AS purity
-  FROM tree t JOIN merged m ON t.host = m.host AND t.t1 = m.t1 JOIN templates x ON t.host = x.host AND m.m1 = x.m1 AND t.t2 = x.t2"""),
-        ("result", f"""SELECT p.page_id, p.host, p.path, p.rule,
-       coalesce({verdict_case().replace("rule =", "p.rule =")}, CASE WHEN j.purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, j.template
-FROM shaped p JOIN judged j ON p.host = j.host AND p.s1 = j.s1 AND p.s2 = j.s2 AND p.s3 = j.s3"""),
-    ]
-
-
-def query(dialect: str) -> str:
-    """The steps as one SQL text."""
-    *named, (_, last) = steps(dialect)
-    return "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in named) + "\n" + last
-
-
-#: Steps that are written to the shared folder, since several later ones read them: summed shapes and what follows.
-KEPT = ("shapes", "tree", "merged", "judged")
+MANY, RARE, PRIOR, REJECT = 20, 0.02, 2.0, 0.8
+#: sqrt(ln(2 / 0.05) / 2): two samples of one distribution are told apart in one case of twenty.
+LEVEL = 1.3581
+#: Looks of variable segments: a pattern, and the wildcard with the pattern's last group behind it.
+SHAPES = (
+    (r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}()\z", "{uuid}"),
+    (r"^(?:19|20)[0-9]{2}[-_.]?(?:0[1-9]|1[0-2])[-_.]?(?:0[1-9]|[12][0-9]|3[01])()\z", "{date}"),
+    (r"^[0-9]+((?:[.][a-z]+)?)\z", "{n}"),
+    (r"^(?:[0-9A-Fa-f]*[0-9][0-9A-Fa-f]{7,}|[0-9A-Fa-f]{7,}[0-9][0-9A-Fa-f]*)((?:[.][a-z]+)?)\z", "{hex}"),
+    (r"^[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*[-_][0-9]+((?:[.][a-z]+)?)\z", "{slug}"),
+)
+
+
+def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
+    """The longest rule that fits host and path (longest as text, then first in the list)."""
+    out = F.lit(None).cast("string")
+    for _, rule in sorted(rules, key=lambda r: len(r[1])):
+        name, _, start = rule.partition("/")
+        out = F.when(((host == name) | host.endswith("." + name)) & path.startswith("/" + start), F.lit(rule)).otherwise(out)
+    return out
+
+
+def verdict_of(rule: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
+    return F.coalesce(*[F.when(rule == name, F.lit(verdict)) for verdict, name in rules])
+
+
+def shape_of(segment: Column) -> Column:
+    out = segment
+    for pattern, name in reversed(SHAPES):
+        out = F.when(segment.rlike(pattern), F.concat(F.lit(name), F.regexp_extract(segment, pattern, 1))).otherwise(out)
+    return out
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, shape of each row of pages (page_id, url)."""
+    rest = F.when(F.instr("url", "://") > 0, F.expr("substr(url, instr(url, '://') + 3)")).otherwise("")
+    lower = F.translate(F.regexp_extract("rest", "(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = pages.select("page_id", rest.alias("rest")).select("page_id", lower.alias("host"), F.regexp_extract("rest", "(?s)^[^/?#]*(/[^?#]*)", 1).alias("path"))
+    segments = F.transform(F.expr("slice(split(path, '/'), 2, length(path) + 1)"), shape_of)
+    return out.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path")).alias("rule"), segments.alias("shape"))
+
+
+def wildcards(divided: DataFrame, large: bool) -> DataFrame:
+    """host, t, s, g: the segments of each parent (host, t), generalised (step 1); from divided (host, t, s, x, n)."""
+    children = divided.groupBy("host", "t", "s").agg(F.sum("n").alias("pages"))
+    parents = children.groupBy("host", "t").agg(F.sum("pages").alias("total"), F.count(F.lit(1)).alias("n"))
+    both = split_join(children, parents, ["host", "t"], hot_keys(parents, ["host", "t"], children.count()) if large else None)
+    rare = (F.col("n") > MANY) & (F.col("pages") < RARE * F.col("total"))
+    return both.select("host", "t", "s", F.when(rare, "*").otherwise(F.col("s")).alias("g"))
+
+
+def alike(division: DataFrame) -> DataFrame:
+    """host, t, g, label: the branches of each parent (host, t), merged (step 2); from division (host, t, g, x, f)."""
+    parent = ["host", "t"]
+    branches = division.groupBy(*parent, "g").agg(F.sum("f").alias("m"))
+    other = branches.select(*parent, F.col("g").alias("h"), F.col("m").alias("k"))
+    bound = F.lit(LEVEL) * (1 / F.sqrt("m") + 1 / F.sqrt("k"))
+    pairs = branches.join(other, parent).filter((F.col("g") != F.col("h")) & (bound < 1))
+    # what follows g more often than h by over the bound; only shares over the bound can, few for each branch
+    often = division.join(branches, [*parent, "g"]).filter(F.col("f") > LEVEL * F.sqrt("m"))
+    shares = division.select(*parent, F.col("g").alias("h"), "x", F.col("f").alias("e"))
+    told = often.join(other, parent).filter("g <> h").join(shares, [*parent, "h", "x"], "left")
+    apart = told.filter(F.col("f") / F.col("m") - F.coalesce("e", F.lit(0)) / F.col("k") > bound).select(*parent, "g", "h")
+    apart = apart.unionByName(apart.select(*parent, F.col("h").alias("g"), F.col("g").alias("h"))).distinct()
+    chosen = pairs.join(apart, [*parent, "g", "h"], "left_anti").select(*parent, "g", "h", "k")
+    chosen = chosen.unionByName(branches.select(*parent, "g", F.col("g").alias("h"), F.col("m").alias("k")))
+    leaders = chosen.groupBy(*parent, "g").agg(F.min(F.struct((-F.col("k")).alias("k"), "h"))["h"].alias("leader"))
+    groups = leaders.groupBy(*parent, "leader").agg(F.collect_set("g").alias("members"))
+    name = F.when(F.size("members") > 1, F.concat(F.lit("~"), "leader")).otherwise(F.col("members")[0])
+    return groups.select(*parent, name.alias("label"), F.explode("members").alias("g"))
+
+
+def templates(shapes: DataFrame) -> DataFrame:
+    """host, shape, template of each row of shapes (host, shape array, n)."""
+    active = shapes.select("host", "shape", "n", F.lit("").alias("t"), F.col("shape").alias("rest"))
+    done: list[DataFrame] = []
+    parent, child, branch = ["host", "t"], ["host", "t", "s"], ["host", "t", "g"]
+    while True:
+        done.append(active.filter(F.size("rest") == 0).select("host", "shape", F.col("t").alias("template")))
+        rows = active.filter(F.size("rest") > 0)
+        n = rows.count()
+        if not n:
+            break
+        # no table of this level has more rows than that, so below the bound none can have a hot key
+        large = n > LEAST_HOT
+
+        def hot(table: DataFrame, keys: list[str]) -> DataFrame | None:
+            return hot_of(table.select(*keys), keys) if large else None
+
+        rows = rows.withColumn("s", F.get("rest", F.lit(0))).withColumn("x", F.coalesce(F.get("rest", F.lit(1)), F.lit("$")))
+        divided = scratch(rows.groupBy(*child, "x").agg(F.sum("n").alias("n")), "url-divided")
+        general = scratch(wildcards(divided, large), "url-general")
+        division = split_join(divided, general, child, hot(divided, child)).groupBy(*branch, "x").agg(F.sum("n").alias("f"))
+        labels = alike(scratch(division, "url-division"))
+        named = split_join(general, labels, branch, hot(general, branch)).select(*child, "label")
+        moved = split_join(rows, named, child, hot(rows, child))
+        moved = scratch(moved.select("host", "shape", "n", F.concat("t", F.lit("/"), "label").alias("t"), F.expr("slice(rest, 2, size(rest))").alias("rest")), "url-moved")
+        # what the least and the greatest rest have in common at the start, all have
+        ends = moved.groupBy(*parent).agg(F.count(F.lit(1)).alias("shapes"), F.min("rest").alias("least"), F.max("rest").alias("most"))
+        both = split_join(moved, ends, parent, hot(moved, parent))
+        equal = F.zip_with("least", "most", lambda a, b: F.coalesce(a == b, F.lit(False)))
+        both = both.withColumn("same", F.when(F.array_contains(equal, False), F.array_position(equal, False) - 1).otherwise(F.least(F.size("least"), F.size("most"))).cast("int"))
+        passed = F.transform(F.expr("slice(rest, 1, same)"), lambda v: F.concat(F.lit("/"), v))
+        both = both.select("host", "shape", "n", F.concat("t", F.array_join(passed, "")).alias("t"), F.expr("slice(rest, same + 1, size(rest))").alias("rest"), "shapes")
+        active = scratch(both, "url-tree")
+    out = done[0]
+    for one in done[1:]:
+        out = out.unionByName(one)
+    return out
 
 
 def filter_urls(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict, template of each row of pages (page_id, url)."""
-    frames = {"pages": pages.select("page_id", "url")}
-    for name, sql in steps("spark"):
-        used = re.sub(rf"\b(FROM|JOIN) ({'|'.join(frames)})\b", r"\1 {\2}", sql)
-        made = pages.sparkSession.sql(used, **{f: d for f, d in frames.items() if f"{{{f}}}" in used})
-        frames[name] = scratch(made, f"url-{name}") if name in KEPT else made
-    return frames["result"]
+    """page_id, host, path, rule, verdict, template, purity of each row of pages (page_id, url)."""
+    rows, key = parsed(pages), ["host", "shape"]
+    label = verdict_of(F.col("rule"))
+    shapes = scratch(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count("rule").alias("labelled"), F.count_if(label == "block").alias("blocked")), "url-shapes")
+    whole = ["host", "template"]
+    tree = scratch(shapes.join(templates(shapes), key), "url-templates")
+    purity = (F.sum("blocked") + PRIOR / 2) / (F.sum("labelled") + PRIOR)
+    pure = tree.groupBy(*whole).agg(purity.alias("purity"))
+    judged = scratch(split_join(tree.select(*key, "template"), pure, whole, hot_of(tree.select(*whole), whole)), "url-judged")
+    total = shapes.agg(F.sum("n")).first()[0] or 0
+    both = split_join(rows, judged, key, hot_keys(shapes, key, total))
+    verdict = F.coalesce(label, F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
+    return both.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.concat("host", "template").alias("template"), "purity")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
-ORACLE_SQL = query("duckdb")
+#: Levels that the SQL is written out for; the given tables' paths have fewer segments.
+SQL_LEVELS = 5
+
+
+def _level_sql(k: int) -> str:
+    """One level of the tree for DuckDB: windows over rows instead of joins, and a two-sided comparison of whole distributions."""
+    before = f"l{k - 1}"
+    return f"""
+s{k} AS (SELECT host, segs, n, t, segs[{k}] AS s, coalesce(segs[{k + 1}], '$') AS x FROM {before} WHERE len(segs) >= {k}),
+c{k} AS (SELECT host, t, s, sum(n) AS pages, sum(sum(n)) OVER (PARTITION BY host, t) AS total, count(*) OVER (PARTITION BY host, t) AS kids FROM s{k} GROUP BY host, t, s),
+g{k} AS (SELECT host, t, s, if(kids > {MANY} AND pages < {RARE} * total, '*', s) AS g FROM c{k}),
+d{k} AS (SELECT g.host, g.t, g.g, s.x, sum(s.n) AS f, sum(sum(s.n)) OVER (PARTITION BY g.host, g.t, g.g) AS m FROM s{k} s JOIN g{k} g USING (host, t, s) GROUP BY g.host, g.t, g.g, s.x),
+b{k} AS (SELECT DISTINCT host, t, g, m FROM d{k}),
+y{k} AS (SELECT DISTINCT host, t, x FROM d{k}),
+p{k} AS (SELECT a.host, a.t, a.g, b.g AS h, any_value(b.m) AS k,
+  {LEVEL} * (1 / sqrt(any_value(a.m)) + 1 / sqrt(any_value(b.m))) AS bound, bound < 1 AND max(abs(coalesce(u.f, 0) / a.m - coalesce(v.f, 0) / b.m)) <= bound AS same
+  FROM b{k} a JOIN b{k} b USING (host, t) JOIN y{k} y USING (host, t)
+  LEFT JOIN d{k} u ON u.host = a.host AND u.t = a.t AND u.g = a.g AND u.x = y.x LEFT JOIN d{k} v ON v.host = a.host AND v.t = a.t AND v.g = b.g AND v.x = y.x
+  GROUP BY a.host, a.t, a.g, b.g),
+o{k} AS (SELECT host, t, g, first(h ORDER BY k DESC, h) AS leader FROM p{k} WHERE same OR g = h GROUP BY host, t, g),
+n{k} AS (SELECT host, t, g, if(count(*) OVER (PARTITION BY host, t, leader) > 1, '~' || leader, g) AS label FROM o{k}),
+l{k} AS (SELECT host, segs, n, t, true AS ended FROM {before} WHERE len(segs) < {k}
+  UNION ALL SELECT s.host, s.segs, s.n, s.t || '/' || n.label, false FROM s{k} s JOIN g{k} g USING (host, t, s) JOIN n{k} n ON n.host = s.host AND n.t = s.t AND n.g = g.g)"""
+
+
+def _oracle() -> str:
+    shape = "v"
+    for pattern, name in reversed(SHAPES):
+        shape = f"if(regexp_matches(v, '{pattern}'), '{name}' || regexp_extract(v, '{pattern}', 1), {shape})"
+    rules = "(VALUES " + ", ".join("('{}', '{}', '{}', '/{}')".format(v, r, *r.partition("/")[::2]) for v, r in RULES) + ") AS r(verdict, rule, rule_host, rule_path)"
+    parts = "string_split(url, '://')"
+    return f"""WITH cut AS (SELECT row_number() OVER () AS i, page_id, CASE WHEN len({parts}) > 1 THEN array_to_string({parts}[2:], '://') ELSE '' END AS rest FROM pages),
+named AS (SELECT i, page_id, list_aggregate(list_transform(string_split(regexp_extract(rest, '^[^/?#]*'), ''), lambda c: if(c BETWEEN 'A' AND 'Z' AND length(c) = 1, lower(c), c)), 'string_agg', '') AS host,
+  regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1, 's') AS path FROM cut),
+fits AS (SELECT i, rule, verdict, row_number() OVER (PARTITION BY i ORDER BY length(rule) DESC) AS place FROM named JOIN {rules} ON ('.' || host) LIKE ('%.' || rule_host) AND starts_with(path, rule_path)),
+p AS (SELECT n.*, coalesce(n.host, '') AS h0, f.rule, f.verdict, if(path = '', [], list_transform(string_split(path, '/')[2:], lambda v: {shape})) AS segs FROM named n LEFT JOIN fits f ON n.i = f.i AND f.place = 1),
+l0 AS (SELECT h0 AS host, segs, count(*) AS n, '' AS t, false AS ended FROM p GROUP BY h0, segs),
+{",".join(_level_sql(k) for k in range(1, SQL_LEVELS + 1))},
+pure AS (SELECT l.host, l.t, (count(*) FILTER (p.verdict = 'block') + {PRIOR / 2}) / (count(p.verdict) + {PRIOR}) AS purity FROM p JOIN l{SQL_LEVELS} l ON p.h0 = l.host AND p.segs = l.segs GROUP BY l.host, l.t)
+SELECT p.page_id, p.h0 AS host, p.path, p.rule, coalesce(p.verdict, if(u.purity >= {REJECT}, 'block', 'allow')) AS verdict, p.h0 || l.t AS template, u.purity
+FROM p JOIN l{SQL_LEVELS} l ON p.h0 = l.host AND p.segs = l.segs JOIN pure u ON u.host = l.host AND u.t = l.t"""
+
+
+ORACLE_SQL = _oracle()

@@ -298,17 +298,43 @@ def test_fenwick_chain_takes_the_collinear_part():
 
 def test_mixing(spark, odd, empty):
     big = spark.range(20_000).selectExpr("id as doc_id", "concat('s', if(id % 3 = 0, 1, id % 7)) as source", "'t' as text", "1 as copies")
-    got = dict(rows(mixing.mix_sources(big, {"s1": 1.0, "s2": 3.0}).groupBy("source").count(), "source", "count"))
+    mixed = mixing.mix_sources(big, {"s1": 1.0, "s2": 3.0})
+    got = dict(rows(mixed.groupBy("source").count(), "source", "count"))
     assert set(got) == {"s1", "s2"} and abs(got["s2"] - 15_000) < 600 and abs(got["s1"] - 5_000) < 400
+    assert mixed.columns == ["doc_id", "source", "text", "copies", "copies_", "replica", "shuffle_key"] and mixed.filter("copies <> 1").count() == 0
     one = rows(mixing.mix_sources(odd), "doc_id", "replica", "shuffle_key")
     assert one == rows(mixing.mix_sources(odd.repartition(3)), "doc_id", "replica", "shuffle_key")
     assert mixing.mix_sources(empty).count() == 0
+    clashing = odd.withColumns({n: F.lit(9) for n in ("cdf", "copies", "mixed_source", "low", "mixing_name", "at", "partition", "begin", "n_")})
+    assert [r[2] for r in rows(mixing.mix_sources(clashing), "doc_id", "replica", "cdf")] == [9] * len(one)
+
+
+@pytest.mark.parametrize("text", ["concat('t', id)", "'the same'"])
+def test_mixing_of_null_ids(spark, text):
+    """Rows without ids draw by themselves, whether their texts are equal or not, and are dealt out."""
+    df = spark.range(40_000).selectExpr("cast(null as long) as doc_id", "if(id % 2 = 0, 'a', 'b') as source", f"{text} as text")
+    mixed = mixing.mix_sources(df, {"a": 3.0, "b": 1.0})
+    got = dict(rows(mixed.groupBy("source").count(), "source", "count"))
+    assert abs(got["a"] - 30_000) < 3 * 30_000**0.5 and abs(got["b"] - 10_000) < 3 * 10_000**0.5
+    # the key that deals rows out is each row's own
+    assert mixed.select("shuffle_key").distinct().count() == mixed.count()
 
 
 def test_poisson_inverse(spark):
-    got = spark.createDataFrame([(0.5,), (40.0,)], "rate double").transform(mixing.with_distribution).collect()
+    from math import lgamma
+
+    rates = [(f"s{r}", float(r)) for r in (0.001, 0.5, 21.0, 40.0, 4000.0, 1e6)]
+    got = spark.createDataFrame(rates, "source string, rate double").transform(mixing.with_distribution).collect()
+    assert len(got) == len(rates)
     for r in got:
-        assert np.isclose(r["cdf"][-1], 1) and np.isclose(r["cdf"][0], np.exp(-r["rate"])) and np.isclose(r["cdf"][1], np.exp(-r["rate"]) * (1 + r["rate"]))
+        k = np.arange(r["low"], r["low"] + len(r["cdf"]))
+        exact = np.cumsum([np.exp(x * np.log(r["rate"]) - r["rate"] - lgamma(x + 1)) for x in k.tolist()])
+        assert np.isclose(r["cdf"][-1], 1, rtol=0, atol=1e-9) and np.allclose(r["cdf"], exact, rtol=0, atol=1e-6 if r["rate"] > 1e5 else 1e-10)
+        assert len(k) <= 24 * r["rate"] ** 0.5 + 90
+    large = spark.range(100).selectExpr("id as doc_id", "'rare' as source", "concat('t', id) as text").unionByName(spark.range(30_000).selectExpr("id as doc_id", "'often' as source", "'x' as text"))
+    counts = mixing.mix_sources(large, {"rare": 1.0}).groupBy("doc_id").count().collect()
+    mean = 30_100 / 100
+    assert len(counts) == 100 and abs(sum(r["count"] for r in counts) - 30_100) < 3 * 30_100**0.5 and all(abs(r["count"] - mean) < 6 * mean**0.5 for r in counts)
 
 
 def test_hilbert(spark, odd, empty, docs):
@@ -406,9 +432,55 @@ def test_url_filters(spark):
     got = {r["page_id"]: r for r in url_filters.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
     assert [got[i]["rule"] for i in range(10)] == ["net/", "example.net/en/", "example.com/de/", "org/fr/", None, None, None, None, "net/", "example.net/en/"]
     assert [got[i]["verdict"] for i in range(4)] == ["block", "allow", "block", "allow"] and got[0]["host"] == "x.net" and got[6]["host"] == "" and (got[5]["host"], got[5]["path"]) == ("q.com", "")
-    blocked = spark.createDataFrame([(k, f"http://h.example.com/{'de/' if k % 2 else 'zz/de/'}{k}") for k in range(40)], "page_id long, url string")
-    assert url_filters.filter_urls(blocked).filter("rule is not null and verdict <> 'block'").count() == 0
-    assert url_filters.filter_urls(blocked.limit(0)).count() == 0
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert url_filters.filter_urls(empty).count() == 0
+
+
+def judged_urls(spark, urls):
+    df = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(urls)], "page_id long, url string, template string, host string")
+    return [r for r in sorted(url_filters.filter_urls(df).collect(), key=lambda r: r["page_id"])]
+
+
+def test_templates_decide_for_pages_without_a_rule(spark):
+    lang = lambda host, name, n: [f"http://{host}/{name}/{k}" for k in range(n)]
+    # branches alike in what follows: the blocked one's verdict goes to the others
+    got = judged_urls(spark, lang("a.example.com", "de", 30) + lang("a.example.com", "it", 30) + [f"http://a.example.com/about/{w}" for w in ("us", "team", "jobs", "press") * 10])
+    assert {r["verdict"] for r in got[30:60]} == {"block"} and {r["template"] for r in got[:60]} == {"a.example.com/~de/{n}"}
+    # a branch that divides differently keeps to itself, without labels, and is allowed
+    assert {r["verdict"] for r in got[60:]} == {"allow"} and {r["purity"] for r in got[60:]} == {0.5}
+    # a template with as many allowed labels as blocked ones isn't rejected
+    mixed = judged_urls(spark, lang("b.org", "fr", 30) + [f"http://b.org/{k}" for k in range(5)] + lang("c.example.com", "de", 2) + lang("c.example.com", "it", 60))
+    assert {r["verdict"] for r in mixed} == {"allow", "block"} and {r["verdict"] for r in mixed[:35]} == {"allow"} and {r["verdict"] for r in mixed[37:]} == {"allow"}
+    both = judged_urls(spark, lang("x.example.net", "en", 40) + lang("x.example.net", "de", 40))
+    assert {r["template"] for r in both} == {"x.example.net/~de/{n}"} and both[0]["purity"] == 0.5 and (both[0]["verdict"], both[79]["verdict"]) == ("allow", "block")
+
+
+def test_templates_of_any_depth_and_look(spark):
+    deep = "http://d.com/a/" + "/".join(f"p{k}x" for k in range(30)) + "/end"
+    looks = ["http://d.com/b/123", "http://d.com/b/9f8e7d6c5b4a", "http://d.com/c/2024-05-01/x", "http://d.com/e/some-words-12.html", "http://d.com/f/123e4567-e89b-12d3-a456-426614174000", "http://d.com/g/77.php", "http://d.com/" + "z" * 40_000]
+    rare = [f"http://e.com/u/name{chr(97 + k % 26)}{chr(97 + k // 26)}q/page" for k in range(120)]
+    got = judged_urls(spark, [deep, deep + "2", *looks, *rare, None, "http://e.com/u/nameaaq/page"])
+    assert got[0]["template"].endswith("/p29x/end") and got[1]["template"].endswith("/p29x/end2") and got[0]["template"].count("/") == 32
+    assert [r["template"].rsplit("/", 1)[1] for r in got[2:4]] == ["{n}", "{hex}"] and "/{date}/x" in got[4]["template"]
+    assert got[5]["template"].endswith("/{slug}.html") and got[6]["template"].endswith("/{uuid}") and got[7]["template"].endswith("/{n}.php") and len(got[8]["template"]) > 40_000
+    assert {r["template"] for r in got[9:129]} == {"e.com/u/*/page"} and got[129]["template"] == "" and got[130]["template"] == "e.com/u/*/page"
+    again = judged_urls(spark, ["http://f.com/1"] * 3 + [None] * 2)
+    assert len(again) == 5 and len({r["verdict"] for r in again}) == 1
+
+
+@pytest.mark.parametrize("name, sql", [("op3_mixing", mixing.ORACLE_SQL), ("op10_url_filters", url_filters.ORACLE_SQL)])
+def test_queries_equal_their_sql(spark, name, sql):
+    import duckdb
+
+    from corroborate.llm.queries import QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    mine, theirs = QUERIES[name](spark, DATA).toPandas(), con.sql(sql).df()
+    assert list(mine.columns) == list(theirs.columns)
+    key = [c for c in mine.columns if mine[c].dtype != float]
+    assert sorted(map(str, mine[key].astype(str).itertuples(index=False))) == sorted(map(str, theirs[key].astype(str).itertuples(index=False)))
 
 
 def test_pipeline(spark, odd):
