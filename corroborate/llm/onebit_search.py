@@ -1,16 +1,22 @@
 """Nearest neighbours by largest inner product, with randomly rotated one-bit codes.
 
-Every vector o is centred, scaled to length 1, padded to BITS dimensions and rotated by a fixed random
-rotation; its code keeps the BITS signs, packed, with two correction scalars: the length of o - c, and the
+Every vector o is centred, scaled to length 1, padded to bits dimensions (LEAST_BITS, or the dimension up to a whole
+number of 64) and rotated by a fixed random
+rotation; its code keeps the bits signs, packed, with two correction scalars: the length of o - c, and the
 inner product of the rotated vector with its own code. A query is rotated likewise and quantised to PLANES
 bit planes, so its inner product with a code comes from counts of common bits. The estimate is unbiased
-and off by more than EPSILON standard errors only rarely, so in each block every candidate is dropped whose
-upper bound lies under the block's k-th best lower bound; the rest are ranked by the exact inner product in
-double precision. Every row is encoded and every code is compared with every query, in blocks.
+and off by more than EPSILON standard errors only rarely, so every candidate is dropped whose upper bound lies under the
+block's k-th best lower bound, or under the k-th best exact product that the task has found before; the rest are ranked
+by the exact inner product in double precision. Where an estimate isn't finite, the exact product decides.
+
+Every row is encoded and every code is compared with every query, in blocks: rows are dealt out once and stay where they
+are, with their codes; queries come to them in broadcast tiles of TILE_BYTES, and a task gives its k best for each.
+The work grows with queries times rows, what is shuffled with rows plus queries times tasks.
 
 Vectors that are null, zero, of another dimension than most, or hold null or non-finite components take no
 part, nor do rows with a null vec_id. Rows that share a vec_id count as one candidate (their best) and as one
-query. With fewer candidates than k all are returned; an empty table gives an empty result.
+query (the least vector in array order). With fewer candidates than k all are returned; an empty table gives an empty result. Ties go to the
+smaller vec_id. Columns other than vec_id and embedding aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import table
+from corroborate.llm.common import scratch, table
 
-BITS, PLANES, EPSILON, SEED = 256, 5, 3.0, 20240607
-QUERY_BLOCK, BLOCK = 512, 4096
+LEAST_BITS, PLANES, EPSILON, SEED = 256, 5, 3.0, 20240607
+QUERY_BLOCK, BLOCK, TILE_BYTES = 512, 4096, 16 << 20
 
 
 @functools.cache
@@ -36,7 +42,11 @@ def rotation(dimension: int, bits: int) -> np.ndarray:
     return np.linalg.qr(square)[0][:, :dimension].copy()
 
 
-def encode(vectors: np.ndarray, centre: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bits_for(dimension: int) -> int:
+    return max(LEAST_BITS, -(-dimension // 64) * 64)
+
+
+def encode(vectors: np.ndarray, centre: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed codes (rows of uint64), lengths of o - c, and inner products of each unit vector with its code."""
     rest = vectors - centre
     length = np.linalg.norm(rest, axis=1)
@@ -77,56 +87,86 @@ def _sums(batches: Iterator[pa.RecordBatch], dimension: int) -> Iterator[pa.Reco
 
 
 _INDEX = "ids binary, vectors binary, codes binary, length binary, own binary"
+_KINDS = (np.int64, np.float64, np.uint64, np.float64, np.float64)
 
 
 def _index(batches: Iterator[pa.RecordBatch], centre: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(vec_id, embedding) -> blocks of BLOCK rows and one of the rest, whatever the batches' sizes."""
+    names = [c.split()[0] for c in _INDEX.split(", ")]
+
+    def block(ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        with np.errstate(all="ignore"):
+            codes, length, own = encode(vectors, centre, bits_for(len(centre)))
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, vectors, codes, length, own)], names=names)
+
+    ids, vectors = np.zeros(0, np.int64), np.zeros((0, len(centre)))
     for batch in batches:
-        for s in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(s, BLOCK)
-            vectors = _vectors(part.column(1), len(centre))
-            codes, length, own = encode(vectors, centre)
-            row = [part.column(0).to_numpy().astype(np.int64), vectors.astype(np.float32), codes, length, own]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["ids", "vectors", "codes", "length", "own"])
-
-
-def nearest(queries: np.ndarray, names: np.ndarray, block: tuple[np.ndarray, ...], centre: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's row, candidate id, score) of each query's k best in one block."""
-    ids, vectors, codes, length, own = block
-    value, error = estimate(codes, length, own, queries, centre)
-    value[names[:, None] == ids[None, :]] = -np.inf
-    low = value - error
-    floor = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(queries), -np.inf)
-    chosen = (value + error >= floor[:, None]) & np.isfinite(value)
-    out: list[tuple[np.ndarray, ...]] = []
-    for q in range(len(queries)):
-        at = np.flatnonzero(chosen[q])
-        score = (vectors[at].astype(np.float64) * queries[q]).sum(axis=1)
-        order = np.lexsort((ids[at], -score))
-        _, first = np.unique(ids[at][order], return_index=True)
-        keep = order[np.sort(first)][:k]
-        out.append((np.full(len(keep), q), ids[at][keep], score[keep]))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def _search(batches: Iterator[pa.RecordBatch], centre: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    kinds = (np.int64, np.float32, np.uint64, np.float64, np.float64)
+        ids = np.concatenate([ids, batch.column(0).to_numpy().astype(np.int64)])
+        vectors = np.concatenate([vectors, _vectors(batch.column(1), len(centre))])
+        while len(ids) >= BLOCK:
+            yield block(ids[:BLOCK], vectors[:BLOCK])
+            ids, vectors = ids[BLOCK:], vectors[BLOCK:]
+    if len(ids):
+        yield block(ids, vectors)
+
+
+class Best:
+    """The k best of each query so far: scores (-inf where there is none yet) and ids, best first."""
+
+    def __init__(self, names: np.ndarray, queries: np.ndarray, k: int):
+        self.names, self.queries, self.k = names, queries, k
+        self.score = np.full((len(names), k), -np.inf)
+        self.ids = np.zeros((len(names), k), np.int64)
+        self.found = np.zeros(len(names), np.int64)
+
+    def look(self, rows: slice, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, length: np.ndarray, own: np.ndarray, centre: np.ndarray) -> None:
+        """Compares some queries with a block."""
+        names, queries, k = self.names[rows], self.queries[rows], self.k
+        with np.errstate(all="ignore"):
+            value, error = estimate(codes, length, own, queries, centre)
+            low, high = value - error, value + error
+        mine = names[:, None] == ids[None, :]
+        low[mine | np.isnan(low)] = -np.inf
+        floor = np.where(self.found[rows] >= k, self.score[rows, k - 1], -np.inf)
+        # rows that share an id are one candidate, so a bound from the block needs ids that differ
+        if len(ids) > k and len(np.unique(ids)) == len(ids):
+            floor = np.maximum(floor, np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k])
+        # what isn't under the floor for certain is looked at
+        chosen = ~(high < floor[:, None]) & ~mine
+        for q in np.flatnonzero(chosen.any(axis=1)).tolist():
+            at = np.flatnonzero(chosen[q])
+            with np.errstate(all="ignore"):
+                score = (vectors[at] * queries[q]).sum(axis=1)
+            row, n = rows.start + q, self.found[rows.start + q]
+            score, near = np.concatenate([self.score[row, :n], score]), np.concatenate([self.ids[row, :n], ids[at]])
+            order = np.lexsort((near, -score))
+            order = order[~np.isnan(score[order])]
+            _, first = np.unique(near[order], return_index=True)
+            keep = order[np.sort(first)][:k]
+            self.score[row, : len(keep)], self.ids[row, : len(keep)], self.found[row] = score[keep], near[keep], len(keep)
+
+    def rows(self) -> pa.RecordBatch:
+        has = np.arange(self.k)[None, :] < self.found[:, None]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.names, self.found)), pa.array(self.ids[has]), pa.array(self.score[has])], names=["query_id", "vec_id", "score"])
+
+
+def _search(batches: Iterator[pa.RecordBatch], tile, centre: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    best = Best(*tile.value, k)
     for batch in batches:
         for row in range(batch.num_rows):
-            ids, vectors, codes, length, own = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in enumerate(kinds))
+            ids, vectors, codes, length, own = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in enumerate(_KINDS))
             block = (ids, vectors.reshape(len(ids), -1), codes.reshape(len(ids), -1), length, own)
-            asked = batch.column(5)[row].values
-            names = asked.field("vec_id").to_numpy()
-            queries = _vectors(asked.field("embedding"), len(centre))
-            q, found, score = nearest(queries, names, block, centre, k)
-            yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+            for s in range(0, len(best.names), QUERY_BLOCK):
+                best.look(slice(s, min(s + QUERY_BLOCK, len(best.names))), *block, centre)
+    yield best.rows()
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """The rows that take part, and their dimension: the most frequent one (the smallest of several)."""
-    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter("vec_id is not null and embedding is not null and size(embedding) > 0")
+    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null and embedding is not null and size(embedding) > 0")
     common = plain.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dimension = common["d"] if common else 0
-    finite = "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < cast('Infinity' as float))"
+    finite = "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < cast('Infinity' as double))"
     return plain.filter((F.size("embedding") == dimension) & F.expr(finite) & F.expr("exists(embedding, x -> x <> 0)")), dimension
 
 
@@ -136,22 +176,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = vectors.sparkSession
     rows, dimension = usable(vectors)
     asked, _ = usable(queries)
-    asked = asked.filter(F.size("embedding") == dimension)
+    asked = scratch(asked.filter(F.size("embedding") == dimension).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "search-queries")
     n = asked.count()
     if not n or not dimension:
         return spark.createDataFrame([], schema)
     sums = rows.mapInArrow(functools.partial(_sums, dimension=dimension), "total array<double>, n long")
-    mean = sums.agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(dimension)]).first()
-    centre = np.array(mean[1:], float) / max(1, mean["n"])
-    blocks = -(-n // QUERY_BLOCK)
-    lots = (
-        asked.withColumn("lot", F.expr(f"pmod(xxhash64(vec_id), {blocks}L)")).dropDuplicates(["vec_id"]).groupBy("lot").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("asked"))
-    )  # about QUERY_BLOCK queries each, by the hash
-    index = rows.mapInArrow(functools.partial(_index, centre=centre), _INDEX)
-    # each block of codes meets each lot of queries once: a stated query set against all rows
-    meets = index.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    tiles = meets.repartition("lot", F.xxhash64("ids")).join(lots, "lot")
-    found = tiles.select(*[c.split()[0] for c in _INDEX.split(", ")], "asked").mapInArrow(functools.partial(_search, centre=centre, k=k), "query_id long, vec_id long, score double")
+    sums = scratch(sums, "search-sums")
+    total = sums.select(F.posexplode("total")).groupBy("pos").agg(F.sum("col").alias("total")).orderBy("pos").collect()
+    count = sums.agg(F.sum("n")).first()[0] or 0
+    centre = np.array([r["total"] for r in total], float) / max(1, count)
+    # dealt out once, in tasks for all cores and of 1 << 20 rows at most
+    tasks = max(1, min(-(-count // BLOCK), max(2 * spark.sparkContext.defaultParallelism, count >> 20)))
+    index = scratch(rows.repartition(tasks).mapInArrow(functools.partial(_index, centre=centre), _INDEX), "search-index")
+    tiles = -(-n // max(1, TILE_BYTES // (8 * dimension)))
+    found: DataFrame | None = None
+    for t in range(tiles):
+        # about TILE_BYTES of queries, by the hash: all that passes through the driver at a time
+        part = asked.filter(F.expr(f"pmod(xxhash64(vec_id), {tiles}L) = {t}L")).toArrow().combine_chunks()
+        if not part.num_rows:
+            continue
+        names = part.column("vec_id").to_numpy().astype(np.int64)
+        tile = spark.sparkContext.broadcast((names, _vectors(part.column("embedding").combine_chunks(), dimension)))
+        one = index.mapInArrow(functools.partial(_search, tile=tile, centre=centre, k=k), "query_id long, vec_id long, score double")
+        if tiles > 1:
+            one = scratch(one, "search-found")
+            tile.unpersist()
+        found = one if found is None else found.unionByName(one)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

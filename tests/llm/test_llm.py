@@ -367,27 +367,61 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(empty, toxicity.train(empty, labels.limit(0))).count() == 0
 
 
+def brute_nearest(data, divisor, k):
+    """Exact neighbours of (vec_id, vector) rows, all of one dimension, with ids that differ."""
+    ids, v = np.array([i for i, _ in data]), np.array([x for _, x in data], float)
+    out = {}
+    for q in np.flatnonzero(ids % divisor == 0):
+        score = (v * v[q]).sum(axis=1)
+        order = [o for o in np.lexsort((ids, -score)) if o != q][:k]
+        out[int(ids[q])] = [(int(ids[o]), float(score[o])) for o in order]
+    return out
+
+
+def recall_of(spark, data, extra=(), kind="double", k=20):
+    df = spark.createDataFrame([*data, *extra], f"vec_id long, embedding array<{kind}>").selectExpr("*", "1 as score", "2 as rank", "3 as ids")
+    got = {}
+    for r in sorted(onebit_search.search(df, df.filter("vec_id % 20 = 0"), k).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    exact = brute_nearest(data, 20, k)
+    assert set(got) == set(exact) and all(len(got[q]) == len(exact[q]) for q in exact)
+    scores = {q: dict(v) for q, v in exact.items()}
+    assert all(np.isclose(s, scores[q][i], rtol=1e-12) for q in got for i, s in got[q] if i in scores[q])
+    return np.mean([len({i for i, _ in got[q]} & {i for i, _ in exact[q]}) / max(1, len(exact[q])) for q in exact])
+
+
 def test_search(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal((600, 48)).astype(np.float32)
     v[10] = v[11]
-    data = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [0.0] * 48), (902, [float("nan")] * 48), (903, [1.0] * 3), (None, [1.0] * 48), (5, v[5].tolist())]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
-    got = rows(onebit_search.search(df, df.filter("vec_id % 20 = 0"), 20), "query_id", "rank", "vec_id")
-    exact = v.astype(float) @ v.astype(float).T
-    hit = 0
-    for q in range(0, 600, 20):
-        s = exact[q].copy()
-        s[q] = -np.inf
-        best = np.lexsort((np.arange(600), -s))[:20]
-        mine = [x[2] for x in sorted(g for g in got if g[0] == q)]
-        assert len(mine) == 20
-        hit += len(set(best.tolist()) & set(mine))
-    assert hit / 600 >= 0.99
+    odd = [(900, None), (901, [0.0] * 48), (902, [float("nan")] * 48), (903, [1.0] * 3), (None, [1.0] * 48), (5, v[5].tolist())]
+    data = [(i, x.tolist()) for i, x in enumerate(v)]
+    assert recall_of(spark, data, odd, "float") >= 0.99
+    df = spark.createDataFrame(data[:50], "vec_id long, embedding array<float>")
     assert onebit_search.search(df.limit(0), df.limit(0), 5).count() == 0
     assert onebit_search.search(df.filter("vec_id < 3"), df.filter("vec_id < 3"), 20).count() == 6
 
 
+@pytest.mark.parametrize("dimension", [3, 384, 1024])
+def test_search_in_any_dimension_and_in_doubles(spark, dimension):
+    rng = np.random.default_rng(dimension)
+    v = rng.standard_normal((300, dimension)) * rng.uniform(0.5, 2, (300, 1)) + 0.3 + 1e-12 * np.arange(300)[:, None]
+    assert recall_of(spark, [(i, x.tolist()) for i, x in enumerate(v)]) >= 0.95
+
+
+def test_search_with_huge_and_tied_numbers(spark, monkeypatch):
+    v = np.ones((120, 4))
+    v[7], v[8] = 1e300, -1e300
+    monkeypatch.setattr(onebit_search, "TILE_BYTES", 64)
+    assert recall_of(spark, [(i, x.tolist()) for i, x in enumerate(v)]) == 1.0
+
+
+def test_search_on_the_table(spark):
+    """Recall against brute force over the whole table embeddings at sf0.01."""
+    data = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect() if r["embedding"]]
+    assert recall_of(spark, data, kind="float") >= 0.9
+
+
 def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 
