@@ -4,31 +4,38 @@ Texts are lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+``. Documen
 form a class, and classes are joined:
 
 1.  Each class carries a parity bitmap (bit = hash modulo a power of two near the set's size, toggled by
-    each shingle) and a sketch: the first ``min(prefix, SKETCH)`` of its shingles in hash order. ``prefix``
-    is the prefix-filter length, so for sets of up to 4 * SKETCH shingles any two linked sets share a
-    sketch shingle for certain. For larger sets each of the union's SKETCH smallest hashes lies in both
-    sketches with probability 0.75 or more, so a link is missed with probability 0.25 ** SKETCH = 2 ** -96
-    at most, below that of a collision of the 64-bit shingle hashes.
+    each shingle) and a sketch. Shingles in the sketches of over HOT classes are *hot*, the others cold. A sketch is the first
+    min(prefix, SKETCH) cold shingles in hash order, and, if under COLD of the set is cold, as many hot ones; prefix is a
+    quarter of the set and one. So what many documents have in common doesn't bring together those that have enough
+    else to be told by. Which shingles count as hot is a matter of cost alone:
+
+    *   Sets of up to 4 * SKETCH shingles: a linked partner lacks a quarter at most, so if they share a cold shingle, the first
+        such is in both sketches. If they share none, both are hot for two thirds or more, so both have the hot sketch, and the
+        first shared hot shingle is in both. No link is missed.
+    *   Larger sets: of the union's cold or of its hot shingles three quarters or more are shared; a link is missed with probability
+        0.25 ** SKETCH = 2 ** -96 at most where both sets have both sketches. If one has the cold sketch alone, half or more of the
+        union's cold shingles are shared, so the probability is 2 ** -SKETCH at most.
 2.  A tile holds the classes that share a sketch shingle. Tiles of over SMALL classes are split into size
-    bands (sizes in one band are within 4/3, so partners are in the same or the next band), and those of
-    over HOT classes further into pairs of blocks. A class with at least half of a full sketch outside
-    tiles of over HOT classes leaves those tiles: it meets a linked class by
-    its other shingles, unless the partner lacks all of those. So such a link can be missed, in sets of any size: at a
-    Jaccard index of 0.75, of a class that holds its partner and a quarter of own shingles, with probability
-    P(Bin(48, 0.25) >= 24) = 1.7e-4 where the shared shingles are all hot (3.3e-6 at a fifth of own shingles).
+    bands (sizes in one band are within 4/3, so partners are in the same or the next band). In tiles of over HOT classes each
+    class meets one pivot for each band, its own and the two beside it.
 3.  In a tile, popcount(bitmap xor bitmap) bounds the symmetric difference from below, and so the overlap
-    from above. Of the pairs that pass, the minimum spanning forest (nearest first) is verified by exact
+    from above. Of the pairs that pass, the minimum spanning forest (nearest first), and every one with a pivot, is verified by exact
     intersection of sorted arrays.
-4.  Where a verified forest leaves passing pairs between different components, all those pairs are
-    verified too, after a second look with bitmaps WIDE times as long. So each pair that passes is either verified or inside a verified component.
+4.  Where tiles hold classes of different components after that, all their passing pairs between components are
+    verified too, after a second look with bitmaps WIDE times as long. So each pair that passes is either verified or
+    inside a verified component. Tiles of over HOT classes are split into blocks for it: the members of the largest
+    component are in one block each and meet those of others, which are in every block, and those meet each other in pairs of blocks.
 
 Rows with a null doc_id take no part in links of their own: they belong to the class of their text.
-Rows that share a doc_id count as one node. Texts without words have no shingles and no links.
+Rows that share a doc_id count as one node; repeated rows are one. Null and empty texts, and texts without words, have no
+shingles and no links. Very long texts are read whole, in slices. An empty table gives an empty result. Columns other
+than doc_id and text aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +43,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import components, scratch, small_batches, table
+from corroborate.llm.common import components, hot_keys, hot_of, scratch, small_batches, split_join, table
 from corroborate.llm.textkit import U64, bounds, mix, shingles, slices
 
-SKETCH, SMALL, HOT = 48, 64, 2048
+SKETCH, SMALL, HOT, COLD = 48, 64, 512, 2 / 3
+#: Looks for hot shingles, and how many of them, the most frequent, are held back at most: 8 bytes each.
+ROUNDS, MOST = 2, 200_000
 #: Bits for each shingle in the bitmaps of the second search; the first has one.
 WIDE = 8
 #: Ids of candidates are broadcast to fetch their texts up to this number; beyond it the join shuffles.
@@ -69,13 +78,27 @@ def bitmap(hashes: np.ndarray, scale: int = 1) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def sketch_of(one: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The sketch of a set (sorted hashes), where ``hot`` are the sorted hashes held back."""
+    if not len(one):
+        return one
+    most = min(len(one) // 4 + 1, SKETCH)
+    if not len(hot):
+        return one[:most]
+    held = hot[np.minimum(np.searchsorted(hot, one), len(hot) - 1)] == one
+    cold = one[~held]
+    if len(cold) >= COLD * len(one):
+        return cold[:most]
+    return np.sort(np.concatenate([cold[:most], one[held][:most]]))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], hot: bytes) -> Iterator[pa.RecordBatch]:
+    held = np.frombuffer(hot, U64)
     for batch in batches:
         names, counts, maps, firsts = [], [], [], []
         for _, one in shingle_sets(batch.column(1)):
             counts.append(len(one))
-            prefix = len(one) - -(-3 * len(one) // 4) + 1
-            firsts.append(one[: min(prefix, length)].view(np.int64) if len(one) else np.zeros(0, np.int64))
+            firsts.append(sketch_of(one, held).view(np.int64))
             maps.append(bitmap(one) if len(one) else b"")
             names.append(np.array([mix(one, 11).sum(dtype=U64), mix(one, 12).sum(dtype=U64)], U64).tobytes())
         if not counts:
@@ -159,7 +182,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> list[t
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], all_pairs: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile -> pairs of node ids. A tile is never larger than two blocks of HOT classes or so."""
+    """Rows sorted by tile -> pairs of node ids. A tile is never larger than a few blocks of HOT classes."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     rest: pa.Table | None = None
 
@@ -169,7 +192,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], all_pairs: bool) -> Iterator[pa.Re
         at = np.concatenate(([0], cut, [key.shape[1]]))
         node, size = rows.column("node").to_numpy(), rows.column("n").to_numpy()
         group = rows.column("component").to_numpy() if all_pairs else None
-        band, block = rows.column("own").to_numpy(), rows.column("block").to_numpy()
+        band, block, main = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("own", "block", "main"))
         maps = _unpack(rows.column("bitmap").to_pylist())
         a, b = [], []
         # tiles of two classes all at once, by bitmap length
@@ -189,10 +212,13 @@ def _tiles(batches: Iterator[pa.RecordBatch], all_pairs: bool) -> Iterator[pa.Re
             if e - s < 3 or (group is not None and (group[s:e] == group[s]).all()):
                 continue
             i, j, d = tile_pairs(size[s:e], maps[s:e], None if group is None else group[s:e])
-            if len(i) and (key[1, s] >= 0 or key[2, s] != key[3, s]):
+            if len(i):
                 # a pair of one band belongs to that band's tile, a pair of one block to that block's
                 ok = (np.minimum(band[s:e][i], band[s:e][j]) == key[1, s]) | (key[1, s] < 0)
-                ok &= (np.minimum(block[s:e][i], block[s:e][j]) == key[2, s]) & (np.maximum(block[s:e][i], block[s:e][j]) == key[3, s])
+                if key[3, s] < 0:
+                    ok &= main[s:e][i] != main[s:e][j]
+                else:
+                    ok &= (np.minimum(block[s:e][i], block[s:e][j]) == key[2, s]) & (np.maximum(block[s:e][i], block[s:e][j]) == key[3, s])
                 i, j, d = i[ok], j[ok], d[ok]
             if len(i):
                 if not all_pairs:
@@ -225,38 +251,84 @@ def _tiles(batches: Iterator[pa.RecordBatch], all_pairs: bool) -> Iterator[pa.Re
         yield pairs_of(rest.combine_chunks())
 
 
-def _candidates(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of nodes to verify: each tile's spanning forest, or with groups all pairs between groups."""
+#: SQL: sizes in one band are within 4/3.
+_BAND = f"cast(floor(ln(n) / {math.log(4 / 3)}D + 1e-9D) as long)"
+_TILE = ["h", "band", "one", "two"]
+
+
+def _tagged(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """node, tiles (h, members, large): each class with its tiles of several classes, or with groups of several components; large is the largest of those."""
     seeds = classes.select("node", F.explode("sketch").alias("h"))
     if groups is None:
-        shared = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+        shared = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.lit(None).cast("long").alias("large")).filter("members > 1")
     else:
-        of = seeds.join(groups, "node").groupBy("h")
-        shared = of.agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("c"), F.max("component").alias("d")).filter("c <> d").drop("c", "d")
-    per_class = seeds.join(shared, "h").groupBy("node").agg(F.collect_list(F.struct("h", "members")).alias("tiles"))
-    full = classes.select("node", F.col("n_shingles").alias("n"), "bitmap", F.size("sketch").alias("width"))
-    rows = per_class.join(full, "node")
-    hot = F.filter("tiles", lambda t: t["members"] > HOT)
-    cold = F.filter("tiles", lambda t: t["members"] <= HOT)
-    rows = rows.withColumn("tiles", F.when(F.col("width") - F.size(hot) >= SKETCH // 2, cold).otherwise(F.col("tiles")))
-    if groups is not None:
-        rows = rows.join(groups, "node")
-    extra = ["component"] if groups is not None else []
-    rows = rows.select("node", "n", "bitmap", *extra, F.explode("tiles").alias("t")).select("node", "n", "bitmap", *extra, "t.h", "t.members")
-    rows = rows.withColumn("own", F.when(F.col("members") > SMALL, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9)).otherwise(F.lit(-1)).cast("long"))
-    rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("members") / HOT)).cast("long"))
-    rows = rows.withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+        each = seeds.join(groups, "node").groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
+        largest = F.min(F.struct((-F.col("k")).alias("k"), "component"))["component"]
+        shared = each.groupBy("h").agg(F.sum("k").alias("members"), largest.alias("large"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    shared = scratch(shared, "jaccard-tiles")
+    total = shared.agg(F.sum("members")).first()[0] or 0
+    joined = split_join(seeds, shared, ["h"], hot_keys(shared.select("h", F.col("members").alias("n")), ["h"], total))
+    return scratch(joined.groupBy("node").agg(F.collect_list(F.struct("h", "members", "large")).alias("tiles")), "jaccard-tagged")
+
+
+def _compared(rows: DataFrame, groups: bool) -> DataFrame:
+    """Pairs (a, b) that pass, from rows (one, two, the tile's other columns): each tile's spanning forest, or with groups all pairs between components."""
+    extra = ["component"] if groups else []
     rows = rows.withColumn("band", F.explode(F.when(F.col("own") > 0, F.array(F.col("own"), F.col("own") - 1)).otherwise(F.array("own"))))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    rows = rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    key = ["h", "band", "one", "two"]
-    out = (
-        rows.select(*key, "node", "n", "bitmap", *extra, "own", "block")
-        .repartition(*[F.col(c) for c in key])
-        .sortWithinPartitions(*key, "n", "node")
-        .mapInArrow(functools.partial(_tiles, all_pairs=groups is not None), "a long, b long")
+    return (
+        rows.select(*_TILE, "node", "n", "bitmap", *extra, "own", "block", "main")
+        .repartition(*[F.col(c) for c in _TILE])
+        .sortWithinPartitions(*_TILE, "n", "node")
+        .mapInArrow(functools.partial(_tiles, all_pairs=groups), "a long, b long")
+        .distinct()
     )
-    return out.distinct()
+
+
+def _of_tiles(tagged: DataFrame, classes: DataFrame, which: str) -> DataFrame:
+    """Rows (node, n, bitmap, h, members, large, own) of the tiles for which the SQL condition on t holds."""
+    full = classes.select("node", F.col("n_shingles").alias("n"), "bitmap", *[c for c in ("component",) if c in classes.columns])
+    rows = tagged.join(full, "node").withColumn("t", F.explode(F.expr(f"filter(tiles, t -> {which})"))).drop("tiles").select("*", "t.*").drop("t")
+    return rows.withColumn("own", F.when(F.col("members") > SMALL, F.expr(_BAND)).otherwise(F.lit(-1)).cast("long"))
+
+
+def _first_candidates(tagged: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) to verify from tiles of up to HOT classes."""
+    zero = F.lit(0).cast("long")
+    rows = _of_tiles(tagged, classes, f"t.members <= {HOT}")
+    return _compared(rows.withColumns({"one": zero, "two": zero, "block": zero, "main": F.lit(False)}), False)
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, their sizes, their bitmaps) -> the pairs that pass."""
+    for batch in batches:
+        sizes = np.stack([batch.column(k).to_numpy() for k in (2, 3)])
+        maps = list(zip(_unpack(batch.column(4).to_pylist()), _unpack(batch.column(5).to_pylist())))
+        keep = pa.array([len(tile_pairs(sizes[:, k], list(maps[k]), None)[0]) > 0 for k in range(batch.num_rows)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+
+def _pivot_candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of each class of a hot tile with the pivots of its band and the bands beside it; members (node, h, n)."""
+    members = members.withColumn("own", F.expr(_BAND))
+    pivots = members.groupBy("h", F.col("own").alias("band")).agg(F.min(F.struct(F.xxhash64("node").alias("x"), "node"))["node"].alias("pivot"))
+    meet = members.withColumn("band", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
+    keys = ["h", "band"]
+    met = split_join(meet, pivots, keys, hot_of(meet.select(*keys), keys)).filter("node <> pivot")
+    pairs = scratch(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "jaccard-pivots")
+    for side in "ab":
+        own = classes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("bitmap").alias(f"map{side}"))
+        pairs = split_join(pairs, own, [side], hot_of(pairs.select(side), [side]))
+    return pairs.select("a", "b", "na", "nb", "mapa", "mapb").mapInArrow(_bounded, "a long, b long").distinct()
+
+
+def _more_candidates(classes: DataFrame) -> DataFrame:
+    """All passing pairs between components; classes (node, n_shingles, bitmap, sketch, component)."""
+    tagged = _tagged(classes, classes.select("node", "component"))
+    rows = _of_tiles(tagged, classes, "true").withColumn("main", F.col("component") == F.col("large"))
+    rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("members") / HOT)).cast("long")).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+    places = F.expr("""CASE WHEN blocks = 1 THEN array(struct(0L AS one, 0L AS two)) WHEN main THEN array(struct(block AS one, -1L AS two))
+        ELSE concat(transform(sequence(0L, blocks - 1), o -> struct(o AS one, -1L AS two)), transform(sequence(0L, blocks - 1), o -> struct(least(block, o) AS one, greatest(block, o) AS two))) END""")
+    return _compared(rows.withColumn("place", F.explode(places)).select("*", "place.*"), True)
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,37 +357,73 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     one = arrays.select(F.col("node").alias("a"), F.col("hashes").alias("one"))
     two = arrays.select(F.col("node").alias("b"), F.col("hashes").alias("two"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_verify, "a long, b long").distinct()
+    # a pivot, or a node with many copies around it, is in very many pairs
+    both = split_join(split_join(pairs, one, ["a"], hot_of(pairs, ["a"])), two, ["b"], hot_of(pairs, ["b"]))
+    return both.select("a", "b", "one", "two").mapInArrow(_verify, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs (doc_id long, text): doc_id, n_shingles, component_id."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = scratch(texts.mapInArrow(functools.partial(_sketches, length=SKETCH), _SKETCH_SCHEMA), "jaccard-sets")
-    classes = scratch(
+def _classes(sets: DataFrame) -> DataFrame:
+    return scratch(
         sets.filter("n_shingles > 0")
         .groupBy("class", "n_shingles")
         .agg(F.min("doc_id").alias("node"), F.first("bitmap").alias("bitmap"), F.first("sketch").alias("sketch"))
         .filter("node is not null"),
         "jaccard-classes",
     )
-    pairs = scratch(_candidates(classes.drop("class"), None), "jaccard-pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _sets_and_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and their classes, after up to ROUNDS looks for hot shingles."""
+    hot = np.zeros(0, U64)
+    for last in [*[False] * ROUNDS, True]:
+        sets = scratch(texts.mapInArrow(functools.partial(_sketches, hot=hot.tobytes()), _SKETCH_SCHEMA), "jaccard-sets")
+        classes = _classes(sets)
+        if last:
+            break
+        often = classes.select(F.explode("sketch").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
+        found = np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(MOST).collect()], np.int64).view(U64)
+        more = np.setdiff1d(found, hot)[: MOST - len(hot)]
+        if not len(more):
+            break
+        hot = np.union1d(hot, more)
+    return sets, classes
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs (doc_id long, text): doc_id, n_shingles, component_id."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets, classes = _sets_and_classes(texts)
+    tagged = _tagged(classes, None)
+    pairs = _first_candidates(tagged, classes)
+    crowded = tagged.select("node", F.explode(F.expr(f"filter(tiles, t -> t.members > {HOT})")).alias("t")).select("node", "t.h")
+    crowded = scratch(crowded.join(classes.select("node", F.col("n_shingles").alias("n")), "node"), "jaccard-crowded")
+    hot = not crowded.isEmpty()
+    if hot:
+        pairs = pairs.unionByName(_pivot_candidates(crowded, classes)).distinct()
+    pairs = scratch(pairs, "jaccard-pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
     few = ends.count() <= BROADCAST_IDS
-    arrays = scratch(texts.join(F.broadcast(ends) if few else ends, texts["doc_id"] == ends["node"]).select("node", "text").mapInArrow(_arrays, "node long, hashes binary, bitmap binary"), "jaccard-arrays")
+    chosen = texts.join(F.broadcast(ends) if few else ends, texts["doc_id"] == ends["node"]).select("node", "text")
+    arrays = chosen.mapInArrow(_arrays, "node long, hashes binary, bitmap binary").groupBy("node", F.xxhash64("hashes").alias("x"))
+    arrays = scratch(arrays.agg(F.first("hashes").alias("hashes"), F.first("bitmap").alias("bitmap")), "jaccard-arrays")
     links = scratch(_verified(pairs, arrays), "jaccard-links")
     groups = components(links)
-    if pairs.count() > links.count():
-        # some forest edges failed: verify every passing pair between components as well
-        among = classes.drop("class", "bitmap").join(arrays.select("node", "bitmap"), "node")
+    if hot or pairs.count() > links.count():
+        # some pairs failed, or some weren't looked at: verify every passing pair between components as well
         own = ends.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        more = _candidates(among, own).join(pairs, ["a", "b"], "left_anti")
-        found = scratch(_verified(more, arrays), "jaccard-more")
+        among = classes.drop("bitmap").join(arrays.select("node", "bitmap", "hashes"), "node").join(own, "node")
+        # of rows that share a doc_id but not a text, each class goes with its own text
+        among = scratch(among.filter("octet_length(hashes) = 8 * n_shingles").drop("class", "hashes"), "jaccard-among")
+        found = scratch(_verified(_more_candidates(among).join(pairs, ["a", "b"], "left_anti"), arrays), "jaccard-more")
         if not found.isEmpty():
             groups = components(links.unionByName(found))
     named = classes.select("class", "n_shingles", "node").join(groups, "node", "left").select("class", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    return sets.select("doc_id", "class", "n_shingles").join(named, ["class", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # a class may hold a third of all rows
+    keys = ["class", "n_shingles"]
+    asked = sets.select("doc_id", *keys)
+    out = split_join(asked, named, keys, hot_of(asked, keys), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,28 @@
 """Token counts of whole texts, huge ones by overlap resynchronisation.
 
-A text of up to CHUNK bytes is one chunk. A longer one is cut into chunks of CHUNK bytes that overlap their
-successor by OVERLAP bytes; each is encoded with offsets, wherever Spark puts it, and the encodings are
-spliced at stable boundaries. Position p is a *stable boundary* if byte p is a space (20) and
-
-*   the byte before is in 21..7E, or
-*   the byte after is over 20 and can't begin a Unicode white space (C2, E1, E2, E3 can).
-
-The tokenizer's pattern lets a space only begin a token or stand in a run of white space, and such a run
-gives its last space to a following non-space; so in either case a token begins at p, whatever else the
-text holds, and no added token contains a space. Both chunks that see p therefore have it as a token start,
-which is checked in the offsets. Chunk i counts the tokens from its first stable boundary (chunk 0: from
-its start) up to the first stable boundary of chunk i + 1. If a chunk has none within its overlap, or the
-encodings disagree there, its document is cut again with overlaps 16 times as wide, up to one whole chunk.
-
-Spans between stable boundaries are the units that a worker encodes once (see vocabulary). Null text
-counts as empty: no tokens. Null ids and repeated rows are counted like any other.
+A text of up to CHUNK bytes is counted at once. A longer one is cut into chunks of CHUNK bytes that overlap their
+successor by OVERLAP bytes. Each chunk is encoded whole with offsets, wherever Spark puts it, and gives its number of
+tokens and the tokens (place and id) of its overlaps. Two chunks are spliced where their encodings of the overlap
+between them have resynchronised: at the first place that
+
+*   is a *stable boundary* by its bytes (below),
+*   begins a token in both encodings, and
+*   from which on both have the same tokens up to the overlap's last stable boundary, one at least.
+
+The tokens of the first chunk from there on and those of the second before it don't count. Where there is no such place
+(no boundary, or the encodings disagree), the document is cut again with overlaps WIDER times as wide, up to one whole
+chunk, and at last encoded in one piece.
+
+Position p is a stable boundary if byte p is a space (20) and the byte before is in 21..7E, or the byte after is over 20
+and can't begin a Unicode white space (C2, E1, E2, E3 can). The tokenizer's pattern lets a space only begin a token or
+stand in a run of white space, and such a run gives its last space to a following non-space; so in either case a token
+begins at p, whatever else the text holds, and no added token contains a space. That is the proof for this vocabulary; the
+comparison of both encodings checks it.
+
+In texts of up to CHUNK bytes, spans between stable boundaries are the units that a worker encodes once (see vocabulary).
+Null text counts as empty: no tokens. Null ids and repeated rows are counted like any other; equal huge texts are encoded
+once, and told from others by a 64-bit hash and their length. An empty table gives an empty result. Columns other than
+doc_id and text aren't looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import scratch, small_batches, table
+from corroborate.llm.common import hot_of, scratch, small_batches, split_join, table
 from corroborate.llm.textkit import Slice, slices
 from corroborate.llm.vocabulary import UnitTable, tokenizer
 
@@ -67,71 +74,102 @@ def _count(part: Slice, file: str) -> np.ndarray:
     end = np.append(start[1:], len(part.data))[: len(start)]
     units = _table(file)
     rows = units.rows(part, start, end)
-    tokens = units.pool[units.start[rows]].astype(np.int64)
+    tokens = units.ids(rows).astype(np.int64)  # each unit has one entry: its number of tokens
     total = np.concatenate(([0], np.cumsum(tokens)))
     where = np.searchsorted(start, edges)
     return total[where[1:]] - total[where[:-1]]
 
 
+_KEY = ["row", "n_bytes"]
+_CUT = "row long, n_bytes long, chunk long, next_at long, overlap long, text string"
+
+
 def _cut(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
-    """(row, text) -> a row for each chunk; cuts move to the next code point."""
+    """(row, n_bytes, text) -> a row for each chunk; cuts move to the next code point. Without overlap: one chunk."""
+    names = [c.split()[0] for c in _CUT.split(", ")]
     for batch in batches:
         out: list[tuple] = []
         for k in range(batch.num_rows):
-            body = (batch.column(1)[k].as_py() or "").encode()
+            body = (batch.column(2)[k].as_py() or "").encode()
 
             def whole(p: int) -> int:
                 while p < len(body) and 0x80 <= body[p] < 0xC0:
                     p += 1
                 return p
 
-            cuts = [whole(p) for p in range(0, max(1, len(body) - overlap), chunk)]
+            cuts = [whole(p) for p in range(0, max(1, len(body) - overlap), chunk)] if overlap else [0]
             for i, s in enumerate(cuts):
                 e = whole(cuts[i + 1] + overlap) if i + 1 < len(cuts) else len(body)
-                out.append((batch.column(0)[k].as_py(), i, cuts[i + 1] - s if i + 1 < len(cuts) else -1, min(overlap, len(body)), body[s:e].decode()))
+                out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), i, cuts[i + 1] - s if i + 1 < len(cuts) else -1, overlap, body[s:e].decode()))
         for lot in range(0, len(out), 64):
             columns = list(zip(*out[lot : lot + 64]))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.string())], names=["row", "chunk", "next_at", "overlap", "text"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.string())], names=names)
+
 
+def token_starts(text: str, encoding) -> tuple[np.ndarray, np.ndarray]:
+    """The byte at which each token of an encoding begins, and its id."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    points = np.flatnonzero((data & 0xC0) != 0x80)
+    starts = np.array([s for s, _ in encoding.offsets], np.int64)
+    return points[starts] if len(starts) else starts, np.array(encoding.ids, np.int64)
 
-def _is_start(part: bytes, at: int, file: str) -> bool:
-    """Does the library, given just these bytes, begin a token at byte ``at``?"""
-    text = part.decode("utf-8", "ignore")
-    point = len(part[:at].decode("utf-8"))
-    return any(s == point for s, _ in tokenizer(file).encode(text, add_special_tokens=False).offsets)
 
+_ENCODED = "row long, n_bytes long, chunk long, tokens long, head binary, head_ids binary, boundaries binary, tail binary, tail_ids binary"
 
-def splice(text: str, first: bool, next_at: int, overlap: int, file: str) -> tuple[int, int, int]:
-    """Tokens between the chunk's own first stable boundary and its successor's; where both lie, in bytes.
 
-    -1 for a boundary that isn't there, or where this chunk's encoding of the overlap begins no token;
-    ``next_at`` < 0: the last chunk.
+def _encoded(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordBatch]:
+    """A chunk's number of tokens, and the tokens that begin in the overlap with its predecessor (head) and its successor (tail).
+
+    Places count from the chunk's start in the head, and from the successor's start in the tail.
     """
-    body = text.encode()
-    data = np.frombuffer(body, np.uint8)
-    found = stable(data) if len(data) > 2 else np.zeros(0, np.int64)
-    begin = 0
-    if not first:
-        own = found[:1]
-        begin = int(own[0]) if len(own) and own[0] < overlap - 1 and _is_start(body[:overlap], int(own[0]), file) else -1
-    stop = len(body)
-    if next_at >= 0:
-        # the successor sees nothing before next_at, so its first provable boundary is after it
-        then = found[found > next_at][:1]
-        stop = int(then[0]) if len(then) and then[0] < next_at + overlap - 1 and _is_start(body[next_at : next_at + overlap], int(then[0]) - next_at, file) else -1
-    if begin < 0 or stop < 0:
-        return 0, begin, stop
-    return int(_count(Slice(0, data[begin:stop], np.array([0, stop - begin])), file)[0]), begin, stop
-
-
-def _spliced(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _ENCODED.split(", ")]
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        overlaps, nexts = batch.column("overlap").to_numpy(), batch.column("next_at").to_numpy()
+        for s in range(0, len(texts), 32):
+            out: list[tuple] = []
+            for k, encoding in enumerate(tokenizer(file).encode_batch(texts[s : s + 32], add_special_tokens=False), s):
+                at, ids = token_starts(texts[k], encoding)
+                data = np.frombuffer(texts[k].encode(), np.uint8)[: overlaps[k]]
+                places = stable(data) if len(data) > 2 else np.zeros(0, np.int64)
+                head = at < overlaps[k]
+                tail = (at >= nexts[k]) & (nexts[k] >= 0)
+                out.append((len(ids), *(v.astype("<i4").tobytes() for v in (at[head], ids[head], places, at[tail] - nexts[k], ids[tail]))))
+            columns = list(zip(*out))
+            keys = [batch.column(c).slice(s, len(out)) for c in ("row", "n_bytes", "chunk")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
+
+
+def common_boundary(head: np.ndarray, head_ids: np.ndarray, boundaries: np.ndarray, tail: np.ndarray, tail_ids: np.ndarray) -> int:
+    """The first boundary at which two encodings of one overlap have resynchronised, or -1."""
+    shared = boundaries[np.isin(boundaries, head) & np.isin(boundaries, tail)]
+    if not len(shared):
+        return -1
+    last = int(boundaries[-1])
+    i, j = np.searchsorted(head, last), np.searchsorted(tail, last)
+    # how many tokens before the last boundary are the same in both, counted backwards
+    n = min(i, j)
+    same = (head[i - n : i] == tail[j - n : j]) & (head_ids[i - n : i] == tail_ids[j - n : j])
+    agreed = n if same.all() else n - 1 - int(np.flatnonzero(~same)[-1])
+    if not agreed:
+        return -1
+    found = shared[(shared >= head[i - agreed]) & (shared < last)]
+    return int(found[0]) if len(found) else -1
+
+
+_SPLICED = "row long, n_bytes long, surplus long, aligned boolean"
+
+
+def _spliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's tail beside its successor's head -> the tokens that both together have too many."""
     for batch in batches:
-        got = [splice(r["text"], r["chunk"] == 0, r["next_at"], r["overlap"], file) for r in batch.to_pylist()]
-        columns = list(zip(*got)) if got else [[], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, pa.int64()) for c in columns)],
-            names=["row", "chunk", "next_at", "tokens", "begin", "stop"],
-        )
+        surplus, aligned = [], []
+        for r in batch.select(["head", "head_ids", "boundaries", "tail", "tail_ids"]).to_pylist():
+            v = {k: np.frombuffer(x, "<i4") for k, x in r.items()}
+            p = common_boundary(**v)
+            aligned.append(p >= 0)
+            surplus.append(int((v["tail"] >= p).sum() + (v["head"] < p).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_bytes"), pa.array(surplus, pa.int64()), pa.array(aligned, pa.bool_())], names=[c.split()[0] for c in _SPLICED.split(", ")])
 
 
 def _counts(batches: Iterator[pa.RecordBatch], file: str, limit: int) -> Iterator[pa.RecordBatch]:
@@ -147,28 +185,26 @@ def count_tokens(docs: DataFrame, file: str = FILE, chunk: int = CHUNK, overlap:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     short = docs.filter(F.col("n_bytes") <= chunk).mapInArrow(functools.partial(_counts, file=file, limit=chunk), "doc_id long, n_bytes long, n_tokens long")
     huge = docs.filter(F.col("n_bytes") > chunk)
-    # rows that share a doc_id and a text have the same count; a row's key is made of both
     named = huge.select("doc_id", "n_bytes", F.xxhash64("text", F.lit(9)).alias("row"), "text")
-    left, done, width = named.select("row", "text").dropDuplicates(["row"]), None, overlap
+    left, done, width = named.select(*_KEY, "text").dropDuplicates(_KEY), None, overlap
     while True:
-        cut = left.repartition("row").mapInArrow(functools.partial(_cut, chunk=chunk, overlap=min(width, chunk)), "row long, chunk long, next_at long, overlap long, text string")
-        if width > chunk:
-            cut = left.select("row", F.lit(0).cast("long").alias("chunk"), F.lit(-1).cast("long").alias("next_at"), F.lit(0).cast("long").alias("overlap"), "text")
-        got = scratch(cut.repartition("row", "chunk").mapInArrow(functools.partial(_spliced, file=file), "row long, chunk long, next_at long, tokens long, begin long, stop long"), "token-chunks")
-        # a chunk's begin, moved to its predecessor's bytes, must be the predecessor's stop
-        after = got.filter("chunk > 0").select("row", (F.col("chunk") - 1).alias("chunk"), F.col("begin").alias("then"))
-        pieces = got.join(after, ["row", "chunk"], "left").groupBy("row").agg(
-            F.sum("tokens").alias("n_tokens"),
-            F.bool_and((F.col("begin") >= 0) & (F.col("stop") >= 0) & F.when(F.col("next_at") >= 0, F.col("next_at") + F.col("then") == F.col("stop")).otherwise(F.lit(True))).alias("aligned"),
-        )
-        good = pieces.filter("aligned").select("row", "n_tokens")
+        # beyond one whole chunk there is nothing to widen: one piece
+        cut = left.mapInArrow(functools.partial(_cut, chunk=chunk, overlap=0 if width > chunk else width), _CUT)
+        got = scratch(cut.repartition(*_KEY, "chunk").mapInArrow(functools.partial(_encoded, file=file), _ENCODED), "token-chunks")
+        heads = got.filter("chunk > 0").select(*_KEY, (F.col("chunk") - 1).alias("chunk"), "head", "head_ids", "boundaries")
+        pairs = got.select(*_KEY, "chunk", "tail", "tail_ids").join(heads, [*_KEY, "chunk"])
+        spliced = pairs.mapInArrow(_spliced, _SPLICED).groupBy(*_KEY).agg(F.sum("surplus").alias("surplus"), F.bool_and("aligned").alias("aligned"))
+        whole = got.groupBy(*_KEY).agg(F.sum("tokens").alias("tokens")).join(spliced, _KEY, "left")
+        pieces = scratch(whole.select(*_KEY, (F.col("tokens") - F.coalesce("surplus", F.lit(0))).alias("n_tokens"), F.coalesce("aligned", F.lit(True)).alias("aligned")), "token-texts")
+        good = pieces.filter("aligned").select(*_KEY, "n_tokens")
         done = good if done is None else done.unionByName(good)
-        failed = pieces.filter("not aligned").select("row")
+        failed = pieces.filter("not aligned").select(*_KEY)
         if width > chunk or failed.isEmpty():
             break
-        left, width = left.join(failed, "row", "left_semi"), width * WIDER
-    spliced = named.select("doc_id", "n_bytes", "row").join(done, "row").select("doc_id", "n_bytes", "n_tokens")
-    return short.unionByName(spliced)
+        left, width = left.join(failed, _KEY, "left_semi"), width * WIDER
+    asked = named.select("doc_id", *_KEY)
+    counted = split_join(asked, done, _KEY, hot_of(asked, _KEY)).select("doc_id", "n_bytes", "n_tokens")
+    return short.unionByName(counted)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,48 +41,72 @@ def tokenizer(name: str):
     return _loaded[name]
 
 
+class Growing:
+    """An array that is appended to, with room that doubles."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.zeros(1024, kind), 0
+
+    def append(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.zeros(max(len(values), self.n), self.room.dtype)])
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class UnitTable:
-    """Sorted hashes of known units with a row of ints for each: start and length in a pool of ids."""
+    """Known units by hash, each with the start and the length of its ids in a pool.
+
+    Hashes are kept in sorted runs of falling lengths; a new run is merged with its neighbour unless that is over
+    twice as long, so a hash is moved only as often as the table doubles.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.hashes = np.zeros(0, U64)
-        self.start = np.zeros(0, np.int32)
-        self.length = np.zeros(0, np.int32)
-        self.pool = np.zeros(0, np.uint32)
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.start, self.length, self.pool = Growing(np.int64), Growing(np.int32), Growing(np.uint32)
 
     def rows(self, part: Slice, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The table's row of each span; spans not yet known are encoded first."""
         hashes, first, back = np.unique(part.hash_spans(start, end), return_index=True, return_inverse=True)
-        if len(self.hashes) + len(hashes) > KEPT:
+        if self.length.n + len(hashes) > KEPT:
             self.clear()
-        at = np.searchsorted(self.hashes, hashes)
-        known = np.zeros(len(hashes), bool)
-        if len(self.hashes):
-            known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes
-        fresh = np.flatnonzero(~known)
+        rows = np.full(len(hashes), -1, np.int64)
+        for keys, known in self.runs:
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            hit = keys[at] == hashes
+            rows[hit] = known[at[hit]]
+        fresh = np.flatnonzero(rows < 0)
         if len(fresh):
             body = part.data.tobytes()
             texts = [body[s:e].decode("utf-8", "replace") for s, e in zip(start[first[fresh]].tolist(), end[first[fresh]].tolist())]
             ids = self.encode(texts)
             length = np.array([len(x) for x in ids], np.int32)
-            begin = (len(self.pool) + np.concatenate(([0], np.cumsum(length)[:-1]))).astype(np.int32)
-            self.pool = np.concatenate([self.pool, np.array([t for x in ids for t in x], np.uint32)])
-            self.start = np.insert(self.start, at[fresh], begin)
-            self.length = np.insert(self.length, at[fresh], length)
-            self.hashes = np.insert(self.hashes, at[fresh], hashes[fresh])
-            at = np.searchsorted(self.hashes, hashes)
-        return at[back]
+            rows[fresh] = self.length.n + np.arange(len(fresh))
+            self.start.append(self.pool.n + np.concatenate(([0], np.cumsum(length, dtype=np.int64)[:-1])))
+            self.length.append(length)
+            self.pool.append(np.array([t for x in ids for t in x], np.uint32))
+            self.runs.append((hashes[fresh], rows[fresh]))
+            while len(self.runs) > 1 and len(self.runs[-2][0]) <= 2 * len(self.runs[-1][0]):
+                two, one = self.runs.pop(), self.runs.pop()
+                keys, known = np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
+                order = np.argsort(keys, kind="stable")
+                self.runs.append((keys[order], known[order]))
+        return rows[back]
 
     def counts(self, rows: np.ndarray) -> np.ndarray:
-        return self.length[rows]
+        return self.length.values[rows]
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
         """The ids of all the units, one after the other."""
-        length = self.length[rows].astype(np.int64)
+        length = self.length.values[rows].astype(np.int64)
         total = int(length.sum())
-        jump = np.repeat(self.start[rows] - np.concatenate(([0], np.cumsum(length)[:-1])), length)
-        return self.pool[jump + np.arange(total)]
+        jump = np.repeat(self.start.values[rows] - np.concatenate(([0], np.cumsum(length)[:-1])), length)
+        return self.pool.values[jump + np.arange(total)]

@@ -85,6 +85,38 @@ def test_jaccard_bound_never_drops_a_link():
             assert len(i) or not ngram_jaccard.linked(a, b)
 
 
+def test_jaccard_in_crowded_tiles(spark, monkeypatch):
+    """Small bounds, so that a passage in all documents, near copies by the dozen and documents of that passage alone meet in hot tiles."""
+    monkeypatch.setattr(ngram_jaccard, "HOT", 6)
+    monkeypatch.setattr(ngram_jaccard, "SMALL", 3)
+    rng = np.random.default_rng(17)
+    words = lambda n: [f"w{v}" for v in rng.integers(0, 90_000, n)]
+    passage, long = words(40), words(900)
+    texts = [passage + words(int(n)) for n in rng.integers(0, 90, 40)]
+    for k in range(25):
+        for base in (passage + words(30), long, words(12)) if k < 2 else (texts[k], long):
+            changed = list(base)
+            for at in rng.integers(0, len(base), int(rng.integers(0, 6))):
+                changed[at] = "changed"
+            texts.append(changed)
+    rows_ = [(int(i), " ".join(t)) for i, t in enumerate(texts)] + [(3, " ".join(passage)), (None, " ".join(passage)), (3, " ".join(passage))]
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows_, "doc_id long, text string"))
+    assert rows(got, "doc_id", "n_shingles", "component_id") == brute_components(rows_)
+
+
+def test_sketches_share_a_shingle_whatever_is_held_back():
+    rng = np.random.default_rng(23)
+    for _ in range(3000):
+        n = int(rng.integers(1, 190))
+        shared = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        own = int(n / 3)
+        one = np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, int(rng.integers(0, own + 1))).astype(np.uint64)]))
+        two = np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, max(0, own - len(one) + n)).astype(np.uint64)]))
+        hot = np.unique(rng.permutation(np.union1d(shared, one))[: int(rng.integers(0, n + 9))] if rng.uniform() < 0.5 else shared[: int(rng.integers(0, n + 1))])
+        if ngram_jaccard.linked(one, two) and max(len(one), len(two)) <= 4 * ngram_jaccard.SKETCH:
+            assert np.intersect1d(ngram_jaccard.sketch_of(one, hot), ngram_jaccard.sketch_of(two, hot)).size
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(60)] + [(1000, 1000 + k) for k in range(1, 40)] + [(7, 7), (None, 3)]
     got = dict(rows(components(spark.createDataFrame(edges, "a long, b long")), "node", "component"))
@@ -461,6 +493,51 @@ def test_token_counts(spark, odd, empty, docs):
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def test_encodings_that_disagree_are_widened(spark, tmp_path):
+    """A tokenizer by hand whose tokens pair letters across spaces: the pairing depends on where a chunk begins."""
+    import json
+
+    pairs = [("a", " "), (" ", "a"), ("a ", "a "), ("b", " ")]
+    vocabulary = {t: k for k, t in enumerate(["a", "b", " ", *("".join(p) for p in pairs)])}
+    model = {"type": "BPE", "vocab": vocabulary, "merges": [list(p) for p in pairs], "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False}
+    file = tmp_path / "pairs.json"
+    file.write_text(json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "model": model}))
+    seen = []
+    text = "a " * 400
+    library = token_counts.tokenizer(str(file))
+    one, two = (token_counts.token_starts(t, library.encode(t)) for t in (text[:40], text[2:40]))
+    boundaries = token_counts.stable(np.frombuffer(text[2:40].encode(), np.uint8))
+    assert token_counts.common_boundary(*two, boundaries, one[0] - 2, one[1]) == -1
+    for width in (16, 64, 256):
+        seen.append(token_counts.count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), str(file), 64 + 2, width).first()["n_tokens"])
+    assert set(seen) == {len(library.encode(text).ids)}
+
+
+def test_streams_resynchronise_after_a_cut_word():
+    at = np.array([0, 3, 9, 14, 20, 26])
+    ids = np.array([7, 1, 2, 3, 4, 5])
+    late = np.array([1, 4, 9, 14, 20, 26])
+    assert token_counts.common_boundary(at, ids, np.array([3, 9, 14, 20]), late, ids) == 9
+    assert token_counts.common_boundary(at, ids, np.array([3, 9, 14, 20]), late, ids + (at == 14)) == -1
+    assert token_counts.common_boundary(at, ids, np.array([20]), late, ids) == -1
+
+
+def test_units_are_found_again():
+    from corroborate.llm.textkit import Slice
+    from corroborate.llm.vocabulary import UnitTable
+
+    calls = []
+    table_ = UnitTable(lambda texts: calls.append(len(texts)) or [[ord(c) for c in t] for t in texts])
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        words = [f"w{v}" for v in rng.integers(0, 3000, 60)]
+        data = np.frombuffer("".join(words).encode(), np.uint8)
+        end = np.cumsum([len(w) for w in words])
+        at = table_.rows(Slice(0, data, np.array([0, len(data)])), end - [len(w) for w in words], end)
+        assert "".join(map(chr, table_.ids(at))) == "".join(words) and table_.counts(at).tolist() == [len(w) for w in words]
+    assert sum(calls) == table_.length.n <= 3000 and len(table_.runs) < 14
+
+
 def test_url_filters(spark):
     urls = ["http://X.net/a", "https://example.net/en/1.html", "http://example.com/de/2", "http://a.b.org/fr/", "http://xorg/fr/", "ftp://q.com?x#y", None, "nothing", "http://example.net/enx", "http://u.example.net/en/3/4/5?q=/en/"]
     got = {r["page_id"]: r for r in url_filters.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
