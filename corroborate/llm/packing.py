@@ -7,7 +7,9 @@ numbers. It gives runs (length, first rank, count, first sequence, offset), and
 joining on its length and its rank within that length. A rank is the piece's number among those of its
 length in its task plus a running sum over tasks, so no length is ever gathered in one place.
 
-Null text counts as empty: one piece, the end id. Null ids and repeated rows are packed like any other.
+Null text counts as empty: one piece, the end id. Null ids and repeated rows are packed like any other. Very long texts are
+tokenised whole, in slices. Pieces of one length are alike to the planner. An empty table gives an empty result. Columns other than
+doc_id and text aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -141,16 +143,16 @@ def pack(pieces: DataFrame, most: int = MAX) -> DataFrame:
     schema = "length long, first long, count long, sequence long, offset long"
     runs = spark.createDataFrame(plan(histogram, most), schema)
     per_length = runs.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "count", "sequence", "offset"))).alias("runs"))
-    # both sides are bounded by lengths (and tasks), not by rows; Spark broadcasts them if small
+    # both sides are bounded by lengths (and tasks), not by rows
     slots = shift.join(per_length, "length")
-    ranked = pieces.join(F.broadcast(slots) if slots_small(shift) else slots, ["length", "task"]).withColumn("rank", F.col("place") + F.col("shift"))
+    ranked = pieces.join(F.broadcast(slots) if slots_small(slots) else slots, ["length", "task"]).withColumn("rank", F.col("place") + F.col("shift"))
     found = F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["first"] + r["count"]))[0]
     return ranked.withColumn("run", found).drop("runs", "task", "place", "shift").withColumn("sequence_id", F.col("run.sequence") + F.col("rank") - F.col("run.first")).withColumn("offset", F.col("run.offset")).drop("run", "rank")
 
 
-def slots_small(shift: DataFrame, rows: int = 20_000) -> bool:
-    """Few enough (length, task) rows to broadcast them with their runs?"""
-    return shift.count() <= rows
+def slots_small(slots: DataFrame, runs: int = 500_000) -> bool:
+    """Do all (length, task) rows together hold few enough runs, of 32 bytes each, to broadcast them?"""
+    return (slots.agg(F.sum(F.size("runs") + 1)).first()[0] or 0) <= runs
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Quality rules: document statistics, two fixed base rules, and boosted trees over the statistics.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text. The trees are fitted on at most SAMPLE labelled rows
-(a documented bound: rows are taken by a hash of doc_id at the rate that gives about SAMPLE of them) and
+Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text. The trees are fitted on at most SAMPLE labelled documents
+(a documented bound: ids are taken by a hash at the rate that gives about SAMPLE of them, and an id gives one row) and
 scored in numpy on every document. Shares of symbols, repeated words and repeated lines can only lower
 a score, whatever else holds (monotonic constraints).
 
 Null text: no words, so it fails the base rules, as the empty text does. Null doc_id: judged like any other row.
-Repeated rows are judged alike. Without usable labels every document that passes the base rules is kept.
+Repeated rows and equal texts are judged alike, whatever their ids. Very long texts are read whole, in slices. Without usable labels every
+document that passes the base rules is kept. An empty table gives an empty result. ``keep_good`` returns all columns of docs as they are,
+whatever their names; ``judge`` looks at doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -137,13 +139,15 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def labelled(docs: DataFrame, labels: DataFrame, column: str, bound: int, only: str = "true") -> DataFrame:
     """Columns text and y of about ``bound`` labelled rows at most, chosen by a hash of doc_id.
 
-    Labels that are null or not 0/1 and null ids are left out; the first of several labels of an id is its largest.
+    Labels that are null or not 0/1 and null ids are left out; of several labels of an id the largest counts, and of several
+    texts the least, so each chosen id gives one row.
     """
     small_batches(docs.sparkSession)
     labels = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("y")).filter(only)
     share = min(1.0, bound / max(1, labels.count()))
     chosen = labels.filter((F.expr("pmod(xxhash64(doc_id, 'sample'), 1000000)") < share * 1_000_000))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).select("text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> boosting.Trees:

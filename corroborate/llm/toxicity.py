@@ -1,14 +1,16 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton on folded text.
 
 Folding: lower case, look-alike letters of other scripts and full-width ones to plain ones (accented letters
-stay, they tell words of one language apart), combining marks and zero-width characters dropped, digits and signs inside words to the letters they stand for, everything else between
+stay, they tell words of one language apart), combining marks and zero-width characters dropped, digits and signs inside
+words to the letters they stand for, everything else between
 words to one space. The lexicon holds whole words and word beginnings with a weight each, learned from at
 most SAMPLE labelled documents (a documented bound): terms whose share among toxic documents far exceeds
 that among others. A hit inside an exception phrase does not count; phrases are given, or learned as
-pairs of words around hits in documents that are not toxic. The weights' sum, by itself and per word of the text, goes
+pairs of words around all hits of the same documents: those in EXCEPTION or more that are not toxic, and in no toxic one. The weights' sum, by itself and per word of the text, goes
 through a logistic curve fitted on the same rows.
 
-Null and empty texts are scored as texts without hits. Null ids and repeated rows are scored like any other.
+Null and empty texts are scored as texts without hits. Very long texts are read whole. Null ids and repeated rows are scored like any
+other, equal texts alike. An empty table gives an empty result. Columns other than doc_id and text aren't looked at.
 Without toxic labels the lexicon is empty and every score is the share of toxic rows, 0 if there are none.
 """
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,8 +31,8 @@ from corroborate.llm.common import scratch, small_batches, table
 from corroborate.llm.quality_rules import labelled
 
 SAMPLE = 12_000
-#: Terms in the lexicon, and candidates looked at: bounds on what comes to the driver.
-TERMS, CANDIDATES = 2_000, 20_000
+#: Documents that a phrase needs to be an exception.
+EXCEPTION = 3
 #: Letters of a word's beginning that can be a term.
 SHORTEST, LONGEST = 3, 10
 #: A term needs this many toxic documents, these log-odds against the others, this product of the two, and
@@ -127,55 +129,61 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.curve), -30, 30)))
 
 
-def _counted(batches: Iterator[pa.RecordBatch], label: int, wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
-    counts: Counter[str] = Counter()
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if y == label:
-                own = terms_of(fold(text or ""))
-                counts.update(own if wanted is None else own & wanted)
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([fold(t or "") for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["folded", "y"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], found: Callable[[str], set[str]]) -> Iterator[pa.RecordBatch]:
+    """(folded, y) -> for each term that ``found`` gives, the documents with it by label."""
+    counts: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+    for batch in batches:
+        for folded, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            counts[y].update(found(folded))
+    terms = sorted(counts[0].keys() | counts[1].keys())
+    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([counts[y][t] for t in terms], pa.int64()) for y in (0, 1))], names=["term", "other", "toxic"])
+
+
+def _by_label(sample: DataFrame, found: Callable[[str], set[str]]) -> DataFrame:
+    """term, other, toxic: documents of the sample (folded, y) with each term."""
+    counted = sample.mapInArrow(functools.partial(_counted, found=found), "term string, other long, toxic long")
+    return counted.groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
 
 
 def learn_weights(sample: DataFrame) -> dict[str, float]:
-    """Weights of the terms that mark toxic documents, from a sample (text, y) of bounded size."""
+    """Weights of the terms that mark toxic documents, from a sample (folded, y) of bounded size, which bounds the terms."""
     rows = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = rows.get(1, 0), rows.get(0, 0)
-
-    def documents(label: int, wanted: frozenset[str] | None) -> DataFrame:
-        return sample.mapInArrow(functools.partial(_counted, label=label, wanted=wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-    least = max(LEAST, toxic // 200)
-    often = documents(1, None).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()
-    candidates = {r["term"]: r["n"] for r in often}
-    against = {r["term"]: r["n"] for r in documents(0, frozenset(candidates)).collect()}
-    share = toxic / max(1, toxic + other)
-    odds = {t: float(np.log((n + share) / (toxic + share)) - np.log((against.get(t, 0) + 1 - share) / (other + 1))) for t, n in candidates.items()}
-    good = {t: w for t, w in odds.items() if w >= ODDS and w * candidates[t] >= EVIDENCE}
+    share, least = toxic / max(1, toxic + other), max(LEAST, toxic // 200)
+    often = {r["term"]: (r["toxic"], r["other"]) for r in _by_label(sample, terms_of).filter(F.col("toxic") >= least).collect()}
+    odds = {t: float(np.log((n + share) / (toxic + share)) - np.log((m + 1 - share) / (other + 1))) for t, (n, m) in often.items()}
+    good = {t: w for t, w in odds.items() if w >= ODDS and w * often[t][0] >= EVIDENCE}
     kept: dict[str, float] = {}
     for t in sorted(good, key=lambda t: (len(t.strip()), t.endswith(" "), t)):
         word = t.strip()
         if good[t] >= max((kept.get(f" {word[:k]}", 0.0) for k in range(SHORTEST, len(word) + 1)), default=0.0) + GAIN:
             kept[t] = good[t]
-    strongest = sorted(kept, key=lambda t: (-kept[t] * candidates[t], t))[:TERMS]
-    return {t: kept[t] for t in strongest}
-
-
-def learn_exceptions(rows: list[tuple[str, int]], lexicon: Lexicon) -> tuple[str, ...]:
-    """Pairs of words around a hit that occur in three documents that are not toxic, and in no toxic one."""
-    seen: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
-    for folded, y in rows:
-        own: set[str] = set()
-        for s, _, _ in lexicon.hits(folded):
-            stop = folded.find(" ", s + 1)
-            before = folded.rfind(" ", 0, s) if s > 0 else -1
-            after = folded.find(" ", stop + 1)
-            if before >= 0:
-                own.add(folded[before : stop + 1])
-            if after >= 0:
-                own.add(folded[s : after + 1])
-        seen[y].update(own)
-    return tuple(sorted(p for p, n in seen[0].items() if n >= 3 and not seen[1][p]))
+    return kept
+
+
+def phrases(folded: str, lexicon: Lexicon) -> set[str]:
+    """The pairs of words around each hit: its word with the one before, and with the one after."""
+    out: set[str] = set()
+    for s, _, _ in lexicon.hits(folded):
+        stop = folded.find(" ", s + 1)
+        before = folded.rfind(" ", 0, s) if s > 0 else -1
+        after = folded.find(" ", stop + 1)
+        if before >= 0:
+            out.add(folded[before : stop + 1])
+        if after >= 0:
+            out.add(folded[s : after + 1])
+    return out
+
+
+def learn_exceptions(sample: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
+    """Pairs of words around hits that occur in EXCEPTION documents that are not toxic, and in no toxic one."""
+    counted = _by_label(sample, functools.partial(phrases, lexicon=lexicon))
+    return tuple(sorted(r["term"] for r in counted.filter(f"other >= {EXCEPTION} and toxic = 0").collect()))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> tuple[float, ...]:
@@ -191,27 +199,24 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 5
     return tuple(float(v) for v in w)
 
 
-def _hit_rows(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        folded = [fold(t or "") for t in batch.column(0).to_pylist()]
-        near = ["".join(f[max(0, s - 40) : e + 40] for s, e, _ in lexicon.hits(f)[:20]) for f in folded]
-        yield pa.RecordBatch.from_arrays([pa.array([list(lexicon.features(f)) for f in folded], pa.list_(pa.float64())), pa.array(near, pa.string()), batch.column(1)], names=["x", "near", "y"])
+        x = [list(lexicon.features(f)) for f in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Lexicon, exceptions and curve from about ``bound`` labelled documents; labels (doc_id, toxic)."""
-    # copies of one text are one witness
-    sample = scratch(labelled(docs, labels, "toxic", bound).dropDuplicates(["text", "y"]), "toxicity-sample")
-    plain = Lexicon(learn_weights(sample), exceptions)
-    rows = sample.mapInArrow(functools.partial(_hit_rows, lexicon=plain), "x array<double>, near string, y int").collect()
+    # copies of one text are one witness; texts are folded once
+    sample = labelled(docs, labels, "toxic", bound).dropDuplicates(["text", "y"])
+    sample = scratch(sample.mapInArrow(_folded, "folded string, y int"), "toxicity-sample")
+    lexicon = Lexicon(learn_weights(sample), exceptions)
+    lexicon = Lexicon(lexicon.weights, exceptions + learn_exceptions(sample, lexicon))
+    rows = sample.mapInArrow(functools.partial(_features, lexicon=lexicon), "x array<double>, y int").collect()
     if not rows:
         return Lexicon({}, exceptions, (-30.0, 0.0, 0.0, 0.0))
-    learned = learn_exceptions([(f" {r['near'].strip()} ", r["y"]) for r in rows], plain)
-    if learned:
-        plain = Lexicon(plain.weights, exceptions + learned)
-        rows = sample.mapInArrow(functools.partial(_hit_rows, lexicon=plain), "x array<double>, near string, y int").collect()
     rows.sort(key=lambda r: (r["x"], r["y"]))
-    return Lexicon(plain.weights, plain.exceptions, fit_curve(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)))
+    return Lexicon(lexicon.weights, lexicon.exceptions, fit_curve(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:

@@ -383,9 +383,34 @@ def test_hilbert(spark, odd, empty, docs):
             assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s]))
         order = sorted(got, key=lambda r: (r["shard"], r["slot"]))
         assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in got)
+        # equal texts stand one after the other
+        crc = [r["text_crc32"] for r in order]
+        assert sum(a != b for a, b in zip(crc, crc[1:])) == len(set(crc)) - 1
     assert hilbert.document_shards(empty).count() == 0
 
 
+def test_shards_on_disk_prune(spark, odd, tmp_path):
+    """All rows are written once, and a filter on one source needs few of the files that a table in order of ids needs."""
+    clashing = odd.withColumns({"shard": F.lit("a"), "slot": F.lit("b"), "row": F.lit("c"), "cell": F.lit("d")})
+    hilbert.write_shards(clashing, str(tmp_path / "odd"), 3)
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert set(back.columns) == {*clashing.columns, "shard_"}
+    assert sorted(map(repr, back.select(*clashing.columns).collect())) == sorted(map(repr, clashing.collect()))
+    many = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["shard"] for r in hilbert.document_shards(many, 40).collect()}
+    source = {r["doc_id"]: r["source"] for r in many.collect()}
+
+    def read(shard_of):
+        ranges = {}
+        for i, s in source.items():
+            low, high = ranges.get(shard_of[i], (s, s))
+            ranges[shard_of[i]] = min(low, s), max(high, s)
+        return np.mean([sum(a <= s <= b for a, b in ranges.values()) / len(ranges) for s in set(source.values())])
+
+    plain = {i: k * 40 // len(source) for k, i in enumerate(sorted(source))}
+    assert read(got) < 0.5 * read(plain)
+
+
 def test_toxicity(spark, odd, empty):
     assert toxicity.fold("l0ser іdiot p​athetic 2024 a") == " loser idiot pathetic a "
     texts = [(i, f"plain words here {'you ' + ('loser' if i % 6 else 'l0ser') if i % 3 == 0 else 'nice'} number{i} and the rest") for i in range(300)]
@@ -399,6 +424,55 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(empty, toxicity.train(empty, labels.limit(0))).count() == 0
 
 
+def test_toxicity_equals_brute_force(spark, odd):
+    """Scores against a plain search for each term, without the automaton."""
+    rng = np.random.default_rng(31)
+    lexicon = toxicity.Lexicon({" idiot": 2.0, " idiot ": 3.0, " awful ": 1.5, " trash": 1.0, " tra": 0.5}, (" no idiot ", " trash can "), (-1.0, 0.5, 0.8, 0.4))
+    pool = ["idiot", "idiots", "1d1ot", "awful", "trash", "trash", "can", "no", "nice", "tram", "über", "a", "ıd", "ТRASH", "aw​ful", "!", "3"]
+    texts = [" ".join(rng.choice(pool, int(rng.integers(0, 30)))) for _ in range(300)] + ["", None, "idiot", "trash can", " ".join(["awful"] * 40_000)]
+    texts += [r["text"] for r in odd.collect()]
+
+    def plain(text):
+        folded, best = toxicity.fold(text or ""), {}
+        places = lambda t: [k for k in range(len(folded) - len(t) + 1) if folded.startswith(t, k)]
+        spared = [(k, k + len(p)) for p in lexicon.exceptions for k in places(p)]
+        for term, weight in lexicon.weights.items():
+            for k in places(term):
+                if not any(a <= k and k + len(term) <= b for a, b in spared):
+                    best[k] = max(weight, best.get(k, 0))
+        total, words = sum(best.values()), max(1, len(folded.split()))
+        z = sum(c * x for c, x in zip(lexicon.curve, (1, total > 0, np.log1p(total), np.log1p(100 * total / words))))
+        return 1 / (1 + np.exp(-z))
+
+    df = spark.createDataFrame([(k, t, 0.0) for k, t in enumerate(texts)], "doc_id long, text string, score double")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, lexicon).collect()}
+    assert all(np.isclose(got[k], plain(t), rtol=1e-9) for k, t in enumerate(texts) if not t or len(t) < 100_000)
+    assert np.isclose(got[304], plain("awful " * 400), atol=0.05) and len(got) == len(texts)
+
+
+def test_exceptions_see_every_hit(spark):
+    """A phrase that a toxic text holds after very many other hits is no exception."""
+    texts = [(k, "you idiot " * 30 + f"what a loser bunch n{k}") for k in range(12)] + [(100 + k, f"some text about a loser bunch m{k}") for k in range(12)] + [(200 + k, f"calm words q{k} here") for k in range(60)]
+    df, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, int(i < 100)) for i, _ in texts], "doc_id long, toxic int")
+    assert " loser bunch " not in toxicity.train(df, labels).exceptions
+
+
+def test_held_out_accuracy(spark):
+    """Quality and toxicity on labels that were kept out of training, at sf0.1 (sf0.01 has six such toxic rows); repeated rows of a label bring no more rows."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.filter(toxicity.HELD_OUT)
+    rest = labels.filter(f"not ({toxicity.HELD_OUT})")
+    judged = quality_rules.judge(docs, quality_rules.train(docs, rest)).join(held, "doc_id").filter("not base_failed")
+    n = {(r["quality"], r["kept"]): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert n.get((1, True), 0) >= 0.97 * (n.get((1, True), 0) + n.get((1, False), 0)) and n.get((0, False), 0) >= 0.8 * (n.get((0, True), 0) + n.get((0, False), 0))
+    scored = toxicity.score(docs, toxicity.train(docs, rest)).join(held, "doc_id").selectExpr("toxic", "score >= 0.5 as found")
+    print("held out", n, end=" ")
+    m = {(r["toxic"], r["found"]): r["count"] for r in scored.groupBy("toxic", "found").count().collect()}
+    print(m)
+    assert m.get((1, True), 0) >= 0.8 * (m.get((1, True), 0) + m.get((1, False), 0)) and m.get((0, True), 0) <= 0.03 * (m.get((0, True), 0) + m.get((0, False), 0))
+    assert quality_rules.labelled(docs.union(docs), labels, "quality", 10**6).count() == quality_rules.labelled(docs, labels, "quality", 10**6).count()
+
+
 def brute_nearest(data, divisor, k):
     """Exact neighbours of (vec_id, vector) rows, all of one dimension, with ids that differ."""
     ids, v = np.array([i for i, _ in data]), np.array([x for _, x in data], float)
@@ -481,6 +555,20 @@ def test_packing(spark, odd, empty):
     assert sum(c for _, _, c, _, _ in runs) == 1015 and len({s for *_, s, _ in runs}) and max(s + c for _, _, c, s, _ in runs) <= 17
 
 
+def test_ids_of_a_word_do_not_depend_on_its_neighbours():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from corroborate.llm.vocabulary import path_of
+
+    library = Tokenizer.from_file(path_of(packing.FILE))
+    rng = np.random.default_rng(41)
+    pool = ["the", "The", "don't", "x" * 300, "é", "e\u0301", "日本語", "…", "</w>", "<|endoftext|>", "[UNK]", "12,5%", "\u00a0", "\u2028", "\u3000", "\ufeff", "\u200d", "🙂", "ﬁ", "a\x00b", "\x1f", "ß-Ω"]
+    texts = ["".join(w + " \t\n\r\x0b\x0c"[int(rng.integers(0, 6))] * int(rng.integers(0, 3)) for w in rng.choice(pool, int(rng.integers(0, 25)))) for _ in range(800)]
+    for ids, one in zip(packing.token_ids(pa.array(texts)), texts):
+        assert ids.tolist() == library.encode(one, add_special_tokens=False).ids
+
+
 def test_token_counts(spark, odd, empty, docs):
     from tokenizers import Tokenizer
 
