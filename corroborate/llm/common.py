@@ -69,26 +69,23 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None:
+def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame:
     """Keys that hold over 1 / PARTS of ``total`` rows, from counts (keys, n), with the parts to split them into.
 
-    There are at most PARTS such keys, and 2 * PARTS parts in all. None: no key is hot.
+    There are at most PARTS such keys, and 2 * PARTS parts in all.
     """
     hot = counts.filter((F.col("n") > LEAST_HOT) & (F.col("n") * PARTS > F.lit(total)))
-    rows = hot.select(*keys, F.ceil(F.col("n") * PARTS / F.lit(max(1, total))).cast("int").alias("parts")).collect()
-    return counts.sparkSession.createDataFrame(rows, ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys) + ", parts int") if rows else None
+    rows = hot.select(*keys, F.ceil(F.col("n") * PARTS / F.lit(max(1, total))).cast("int").alias("parts")).collect() if total > LEAST_HOT else []
+    return counts.sparkSession.createDataFrame(rows, ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys) + ", parts int")
 
 
-def hot_of(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+def hot_of(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The hot keys of rows, which are counted here."""
-    total = rows.count()
-    return hot_keys(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, total) if total > LEAST_HOT else None
+    return hot_keys(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, rows.count())
 
 
-def split_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+def split_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
     """many join one (inner or left) on keys, where the rows of hot keys (see hot_keys) are dealt over parts and their partners repeated for each."""
-    if hot is None:
-        return many.join(one, keys, how)
     parts, part = unused([*many.columns, *one.columns], "parts", "part")
     known = F.broadcast(hot.withColumnRenamed("parts", parts))
     left = many.join(known, keys, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col(parts)).cast("int"), F.lit(0))).drop(parts)
@@ -103,9 +100,7 @@ def _state(edges: DataFrame) -> tuple:
 
 def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """edges join least (a, m, n) on a; nodes with very many neighbours are split."""
-    # fewer edges than this can't hold a hot node
-    hot = hot_keys(least, ["a"], total) if total > LEAST_HOT else None
-    return split_join(edges, least.select("a", "m"), ["a"], hot)
+    return split_join(edges, least.select("a", "m"), ["a"], hot_keys(least, ["a"], total))
 
 
 def components(edges: DataFrame) -> DataFrame:

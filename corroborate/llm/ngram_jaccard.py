@@ -4,17 +4,19 @@ Texts are lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+``. Documen
 form a class, and classes are joined:
 
 1.  Each class carries a parity bitmap (bit = hash modulo a power of two near the set's size, toggled by
-    each shingle) and a sketch. Shingles in the sketches of over HOT classes are *hot*, the others cold. A sketch is the first
-    min(prefix, SKETCH) cold shingles in hash order, and, if under COLD of the set is cold, as many hot ones; prefix is a
-    quarter of the set and one. So what many documents have in common doesn't bring together those that have enough
-    else to be told by. Which shingles count as hot is a matter of cost alone:
-
-    *   Sets of up to 4 * SKETCH shingles: a linked partner lacks a quarter at most, so if they share a cold shingle, the first
-        such is in both sketches. If they share none, both are hot for two thirds or more, so both have the hot sketch, and the
-        first shared hot shingle is in both. No link is missed.
-    *   Larger sets: of the union's cold or of its hot shingles three quarters or more are shared; a link is missed with probability
-        0.25 ** SKETCH = 2 ** -96 at most where both sets have both sketches. If one has the cold sketch alone, half or more of the
-        union's cold shingles are shared, so the probability is 2 ** -SKETCH at most.
+    each shingle) and a sketch. Shingles that over HOT documents have among their LOOK first in hash order are *hot*, the others
+    cold. So what many documents have in common doesn't bring together those that have enough else to be told by. Which
+    shingles are hot is a matter of cost alone; with prefix a quarter of a set's size and one, its sketch is
+
+    *   the first min(prefix, SKETCH) cold shingles in hash order, if two thirds of the set or more are cold,
+    *   else the first prefix cold ones, and, if a third or less are cold, the first min(prefix, HOT_SKETCH) hot ones as well.
+
+    A linked partner lacks less than a third of a set's size of the union. So if over a third of one set is cold, the two share a
+    cold shingle, and the first such is among the first prefix cold ones of both. It is among the first SKETCH of a set that is
+    cold for two thirds with probability 1 - 2 ** -SKETCH or more, as half of the union's cold shingles are shared. If both
+    sets are cold for a third at most and share no cold shingle, three quarters of the union's hot ones are shared, and a
+    link is missed with probability 0.25 ** HOT_SKETCH = 2 ** -48 at most. In sets of under 4 * HOT_SKETCH shingles no prefix is
+    cut, and no link is missed.
 2.  A tile holds the classes that share a sketch shingle. Tiles of over SMALL classes are split into size
     bands (sizes in one band are within 4/3, so partners are in the same or the next band). In tiles of over HOT classes each
     class meets one pivot for each band, its own and the two beside it.
@@ -23,8 +25,8 @@ form a class, and classes are joined:
     intersection of sorted arrays.
 4.  Where tiles hold classes of different components after that, all their passing pairs between components are
     verified too, after a second look with bitmaps WIDE times as long. So each pair that passes is either verified or
-    inside a verified component. Tiles of over HOT classes are split into blocks for it: the members of the largest
-    component are in one block each and meet those of others, which are in every block, and those meet each other in pairs of blocks.
+    inside a verified component. Tiles of over BLOCK classes are split into blocks for it: the members of a component that holds half
+    of the tile are in one block each and meet those of others, which are in every block; others meet in pairs of blocks.
 
 Rows with a null doc_id take no part in links of their own: they belong to the class of their text.
 Rows that share a doc_id count as one node; repeated rows are one. Null and empty texts, and texts without words, have no
@@ -46,9 +48,11 @@ from pyspark.sql import functions as F
 from corroborate.llm.common import components, hot_keys, hot_of, scratch, small_batches, split_join, table
 from corroborate.llm.textkit import U64, bounds, mix, shingles, slices
 
-SKETCH, SMALL, HOT, COLD = 48, 64, 512, 2 / 3
-#: Looks for hot shingles, and how many of them, the most frequent, are held back at most: 8 bytes each.
-ROUNDS, MOST = 2, 200_000
+SKETCH, HOT_SKETCH, LOOK, SMALL, HOT = 48, 24, 72, 64, 512
+#: Classes in a block of a large tile.
+BLOCK = 2048
+#: The most frequent shingles that are held back, of 8 bytes each; others make larger tiles, no other result.
+MOST = 200_000
 #: Bits for each shingle in the bitmaps of the second search; the first has one.
 WIDE = 8
 #: Ids of candidates are broadcast to fetch their texts up to this number; beyond it the join shuffles.
@@ -82,14 +86,21 @@ def sketch_of(one: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """The sketch of a set (sorted hashes), where ``hot`` are the sorted hashes held back."""
     if not len(one):
         return one
-    most = min(len(one) // 4 + 1, SKETCH)
-    if not len(hot):
-        return one[:most]
-    held = hot[np.minimum(np.searchsorted(hot, one), len(hot) - 1)] == one
+    prefix = len(one) // 4 + 1
+    held = hot[np.minimum(np.searchsorted(hot, one), len(hot) - 1)] == one if len(hot) else np.zeros(len(one), bool)
     cold = one[~held]
-    if len(cold) >= COLD * len(one):
-        return cold[:most]
-    return np.sort(np.concatenate([cold[:most], one[held][:most]]))
+    if 3 * len(cold) >= 2 * len(one):
+        return cold[: min(prefix, SKETCH)]
+    if 3 * len(cold) > len(one):
+        return cold[:prefix]
+    return np.sort(np.concatenate([cold[:prefix], one[held][: min(prefix, HOT_SKETCH)]]))
+
+
+def _looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> the LOOK first shingles of each set, in one column."""
+    for batch in batches:
+        found = [one[:LOOK] for _, one in shingle_sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["h"])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], hot: bytes) -> Iterator[pa.RecordBatch]:
@@ -257,14 +268,15 @@ _TILE = ["h", "band", "one", "two"]
 
 
 def _tagged(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """node, tiles (h, members, large): each class with its tiles of several classes, or with groups of several components; large is the largest of those."""
+    """node, tiles (h, members, large): each class with its tiles of several classes, or with groups of several components; large is one of those that holds half of the tile."""
     seeds = classes.select("node", F.explode("sketch").alias("h"))
     if groups is None:
         shared = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.lit(None).cast("long").alias("large")).filter("members > 1")
     else:
         each = seeds.join(groups, "node").groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
-        largest = F.min(F.struct((-F.col("k")).alias("k"), "component"))["component"]
-        shared = each.groupBy("h").agg(F.sum("k").alias("members"), largest.alias("large"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+        largest = F.min(F.struct((-F.col("k")).alias("k"), "component"))
+        shared = each.groupBy("h").agg(F.sum("k").alias("members"), largest.alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+        shared = shared.select("h", "members", F.when(-2 * F.col("top.k") >= F.col("members"), F.col("top.component")).alias("large"))
     shared = scratch(shared, "jaccard-tiles")
     total = shared.agg(F.sum("members")).first()[0] or 0
     joined = split_join(seeds, shared, ["h"], hot_keys(shared.select("h", F.col("members").alias("n")), ["h"], total))
@@ -324,10 +336,11 @@ def _pivot_candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
 def _more_candidates(classes: DataFrame) -> DataFrame:
     """All passing pairs between components; classes (node, n_shingles, bitmap, sketch, component)."""
     tagged = _tagged(classes, classes.select("node", "component"))
-    rows = _of_tiles(tagged, classes, "true").withColumn("main", F.col("component") == F.col("large"))
-    rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("members") / HOT)).cast("long")).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+    rows = _of_tiles(tagged, classes, "true").withColumn("main", F.coalesce(F.col("component") == F.col("large"), F.lit(False)))
+    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("long")).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
     places = F.expr("""CASE WHEN blocks = 1 THEN array(struct(0L AS one, 0L AS two)) WHEN main THEN array(struct(block AS one, -1L AS two))
-        ELSE concat(transform(sequence(0L, blocks - 1), o -> struct(o AS one, -1L AS two)), transform(sequence(0L, blocks - 1), o -> struct(least(block, o) AS one, greatest(block, o) AS two))) END""")
+        ELSE concat(if(large is null, cast(array() as array<struct<one: bigint, two: bigint>>), transform(sequence(0L, blocks - 1), o -> struct(o AS one, -1L AS two))),
+          transform(sequence(0L, blocks - 1), o -> struct(least(block, o) AS one, greatest(block, o) AS two))) END""")
     return _compared(rows.withColumn("place", F.explode(places)).select("*", "place.*"), True)
 
 
@@ -372,28 +385,18 @@ def _classes(sets: DataFrame) -> DataFrame:
     )
 
 
-def _sets_and_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all rows, and their classes, after up to ROUNDS looks for hot shingles."""
-    hot = np.zeros(0, U64)
-    for last in [*[False] * ROUNDS, True]:
-        sets = scratch(texts.mapInArrow(functools.partial(_sketches, hot=hot.tobytes()), _SKETCH_SCHEMA), "jaccard-sets")
-        classes = _classes(sets)
-        if last:
-            break
-        often = classes.select(F.explode("sketch").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
-        found = np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(MOST).collect()], np.int64).view(U64)
-        more = np.setdiff1d(found, hot)[: MOST - len(hot)]
-        if not len(more):
-            break
-        hot = np.union1d(hot, more)
-    return sets, classes
+def _hot(texts: DataFrame) -> np.ndarray:
+    """The hot shingles, sorted: MOST of them at most, the most frequent."""
+    often = texts.mapInArrow(_looks, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
+    return np.sort(np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(MOST).collect()], np.int64).view(U64))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id long, text): doc_id, n_shingles, component_id."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets, classes = _sets_and_classes(texts)
+    sets = scratch(texts.mapInArrow(functools.partial(_sketches, hot=_hot(texts).tobytes()), _SKETCH_SCHEMA), "jaccard-sets")
+    classes = _classes(sets)
     tagged = _tagged(classes, None)
     pairs = _first_candidates(tagged, classes)
     crowded = tagged.select("node", F.explode(F.expr(f"filter(tiles, t -> t.members > {HOT})")).alias("t")).select("node", "t.h")

@@ -80,7 +80,7 @@ def wildcards(divided: DataFrame, large: bool) -> DataFrame:
     """host, t, s, g: the segments of each parent (host, t), generalised (step 1); from divided (host, t, s, x, n)."""
     children = divided.groupBy("host", "t", "s").agg(F.sum("n").alias("pages"))
     parents = children.groupBy("host", "t").agg(F.sum("pages").alias("total"), F.count(F.lit(1)).alias("n"))
-    both = split_join(children, parents, ["host", "t"], hot_keys(parents, ["host", "t"], children.count()) if large else None)
+    both = split_join(children, parents, ["host", "t"], hot_keys(parents, ["host", "t"], children.count() if large else 0))
     rare = (F.col("n") > MANY) & (F.col("pages") < RARE * F.col("total"))
     return both.select("host", "t", "s", F.when(rare, "*").otherwise(F.col("s")).alias("g"))
 
@@ -120,8 +120,8 @@ def templates(shapes: DataFrame) -> DataFrame:
         # no table of this level has more rows than that, so below the bound none can have a hot key
         large = n > LEAST_HOT
 
-        def hot(table: DataFrame, keys: list[str]) -> DataFrame | None:
-            return hot_of(table.select(*keys), keys) if large else None
+        def hot(table: DataFrame, keys: list[str]) -> DataFrame:
+            return hot_of(table.select(*keys), keys) if large else hot_keys(table.select(*keys, F.lit(1).alias("n")), keys, 0)
 
         rows = rows.withColumn("s", F.get("rest", F.lit(0))).withColumn("x", F.coalesce(F.get("rest", F.lit(1)), F.lit("$")))
         divided = scratch(rows.groupBy(*child, "x").agg(F.sum("n").alias("n")), "url-divided")

@@ -89,6 +89,7 @@ def test_jaccard_in_crowded_tiles(spark, monkeypatch):
     """Small bounds, so that a passage in all documents, near copies by the dozen and documents of that passage alone meet in hot tiles."""
     monkeypatch.setattr(ngram_jaccard, "HOT", 6)
     monkeypatch.setattr(ngram_jaccard, "SMALL", 3)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 8)
     rng = np.random.default_rng(17)
     words = lambda n: [f"w{v}" for v in rng.integers(0, 90_000, n)]
     passage, long = words(40), words(900)
@@ -107,13 +108,13 @@ def test_jaccard_in_crowded_tiles(spark, monkeypatch):
 def test_sketches_share_a_shingle_whatever_is_held_back():
     rng = np.random.default_rng(23)
     for _ in range(3000):
-        n = int(rng.integers(1, 190))
+        n = int(rng.integers(1, 95))
         shared = rng.integers(0, 1 << 63, n).astype(np.uint64)
         own = int(n / 3)
         one = np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, int(rng.integers(0, own + 1))).astype(np.uint64)]))
         two = np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, max(0, own - len(one) + n)).astype(np.uint64)]))
         hot = np.unique(rng.permutation(np.union1d(shared, one))[: int(rng.integers(0, n + 9))] if rng.uniform() < 0.5 else shared[: int(rng.integers(0, n + 1))])
-        if ngram_jaccard.linked(one, two) and max(len(one), len(two)) <= 4 * ngram_jaccard.SKETCH:
+        if ngram_jaccard.linked(one, two) and max(len(one), len(two)) < 4 * ngram_jaccard.HOT_SKETCH:
             assert np.intersect1d(ngram_jaccard.sketch_of(one, hot), ngram_jaccard.sketch_of(two, hot)).size
 
 
