@@ -19,7 +19,7 @@ form a class, and classes are joined:
     cut, and no link is missed.
 2.  A tile holds the classes that share a sketch shingle. Tiles of over SMALL classes are split into size
     bands (sizes in one band are within 4/3, so partners are in the same or the next band). In tiles of over HOT classes each
-    class meets one pivot for each band, its own and the two beside it.
+    class meets one pivot of its band and of each band beside it, whatever the number of its tiles.
 3.  In a tile, popcount(bitmap xor bitmap) bounds the symmetric difference from below, and so the overlap
     from above. Of the pairs that pass, the minimum spanning forest (nearest first), and every one with a pivot, is verified by exact
     intersection of sorted arrays.
@@ -320,13 +320,17 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pivot_candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of each class of a hot tile with the pivots of its band and the bands beside it; members (node, h, n)."""
+    """Pairs of each class of hot tiles with one pivot of its band and of each band beside it; members (node, h, n).
+
+    A tile's pivot is the class with the least hash; of a class's tiles, the pivot with the least hash counts.
+    """
     members = members.withColumn("own", F.expr(_BAND))
-    pivots = members.groupBy("h", F.col("own").alias("band")).agg(F.min(F.struct(F.xxhash64("node").alias("x"), "node"))["node"].alias("pivot"))
+    pivots = members.groupBy("h", F.col("own").alias("band")).agg(F.min(F.struct(F.xxhash64("node").alias("x"), F.col("node").alias("id"))).alias("pivot"))
     meet = members.withColumn("band", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
     keys = ["h", "band"]
-    met = split_join(meet, pivots, keys, hot_of(meet.select(*keys), keys)).filter("node <> pivot")
-    pairs = scratch(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "jaccard-pivots")
+    met = split_join(meet, pivots, keys, hot_of(meet.select(*keys), keys)).groupBy("node", "band").agg(F.min("pivot")["id"].alias("pivot"))
+    pairs = met.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    pairs = scratch(pairs, "jaccard-pivots")
     for side in "ab":
         own = classes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("bitmap").alias(f"map{side}"))
         pairs = split_join(pairs, own, [side], hot_of(pairs.select(side), [side]))
