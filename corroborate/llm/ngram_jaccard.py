@@ -18,10 +18,10 @@ form a class, and classes are joined:
     link is missed with probability 0.25 ** HOT_SKETCH = 2 ** -48 at most. In sets of under 4 * HOT_SKETCH shingles no prefix is
     cut, and no link is missed.
 2.  A tile holds the classes that share a sketch shingle. Tiles of over SMALL classes are split into size
-    bands (sizes in one band are within 4/3, so partners are in the same or the next band). In tiles of over HOT classes each
-    class meets one pivot of its band and of each band beside it, whatever the number of its tiles.
+    bands (sizes in one band are within 4/3, so partners are in the same or the next band). Tiles of over HOT classes are
+    dealt into blocks, in DEALS ways.
 3.  In a tile, popcount(bitmap xor bitmap) bounds the symmetric difference from below, and so the overlap
-    from above. Of the pairs that pass, the minimum spanning forest (nearest first), and every one with a pivot, is verified by exact
+    from above. Of the pairs that pass, the minimum spanning forest (nearest first) is verified by exact
     intersection of sorted arrays.
 4.  Where tiles hold classes of different components after that, all their passing pairs between components are
     verified too, after a second look with bitmaps WIDE times as long. So each pair that passes is either verified or
@@ -51,6 +51,8 @@ from corroborate.llm.textkit import U64, bounds, mix, shingles, slices
 SKETCH, HOT_SKETCH, LOOK, SMALL, HOT = 48, 24, 72, 64, 512
 #: Classes in a block of a large tile.
 BLOCK = 2048
+#: Ways in which large tiles are dealt into blocks in the first search.
+DEALS = 4
 #: The most frequent shingles that are held back, of 8 bytes each; others make larger tiles, no other result.
 MOST = 200_000
 #: Bits for each shingle in the bitmaps of the second search; the first has one.
@@ -304,37 +306,14 @@ def _of_tiles(tagged: DataFrame, classes: DataFrame, which: str) -> DataFrame:
 
 
 def _first_candidates(tagged: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) to verify from tiles of up to HOT classes."""
-    zero = F.lit(0).cast("long")
-    rows = _of_tiles(tagged, classes, f"t.members <= {HOT}")
-    return _compared(rows.withColumns({"one": zero, "two": zero, "block": zero, "main": F.lit(False)}), False)
+    """Pairs (a, b) to verify: the spanning forest of each tile, or of each of its blocks of HOT classes.
 
-
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, their sizes, their bitmaps) -> the pairs that pass."""
-    for batch in batches:
-        sizes = np.stack([batch.column(k).to_numpy() for k in (2, 3)])
-        maps = list(zip(_unpack(batch.column(4).to_pylist()), _unpack(batch.column(5).to_pylist())))
-        keep = pa.array([len(tile_pairs(sizes[:, k], list(maps[k]), None)[0]) > 0 for k in range(batch.num_rows)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
-
-
-def _pivot_candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of each class of hot tiles with one pivot of its band and of each band beside it; members (node, h, n).
-
-    A tile's pivot is the class with the least hash; of a class's tiles, the pivot with the least hash counts.
+    Blocks are dealt anew for each of DEALS kinds of tiles, so classes meet others in each.
     """
-    members = members.withColumn("own", F.expr(_BAND))
-    pivots = members.groupBy("h", F.col("own").alias("band")).agg(F.min(F.struct(F.xxhash64("node").alias("x"), F.col("node").alias("id"))).alias("pivot"))
-    meet = members.withColumn("band", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
-    keys = ["h", "band"]
-    met = split_join(meet, pivots, keys, hot_of(meet.select(*keys), keys)).groupBy("node", "band").agg(F.min("pivot")["id"].alias("pivot"))
-    pairs = met.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    pairs = scratch(pairs, "jaccard-pivots")
-    for side in "ab":
-        own = classes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("bitmap").alias(f"map{side}"))
-        pairs = split_join(pairs, own, [side], hot_of(pairs.select(side), [side]))
-    return pairs.select("a", "b", "na", "nb", "mapa", "mapb").mapInArrow(_bounded, "a long, b long").distinct()
+    rows = _of_tiles(tagged, classes, "true")
+    block = F.expr(f"pmod(xxhash64(node, pmod(h, {DEALS}L)), cast(ceil(members / {HOT}) as long))")
+    rows = rows.withColumn("block", block).withColumns({"one": F.col("block"), "two": F.col("block"), "main": F.lit(False)})
+    return _compared(rows, False)
 
 
 def _more_candidates(classes: DataFrame) -> DataFrame:
@@ -374,7 +353,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     one = arrays.select(F.col("node").alias("a"), F.col("hashes").alias("one"))
     two = arrays.select(F.col("node").alias("b"), F.col("hashes").alias("two"))
-    # a pivot, or a node with many copies around it, is in very many pairs
+    # a node with many copies around it is in very many pairs
     both = split_join(split_join(pairs, one, ["a"], hot_of(pairs, ["a"])), two, ["b"], hot_of(pairs, ["b"]))
     return both.select("a", "b", "one", "two").mapInArrow(_verify, "a long, b long").distinct()
 
@@ -403,13 +382,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = _classes(sets)
     tagged = _tagged(classes, None)
     pairs = _first_candidates(tagged, classes)
-    crowded = tagged.select("node", F.explode(F.expr(f"filter(tiles, t -> t.members > {HOT})")).alias("t")).select("node", "t.h")
-    crowded = scratch(crowded.join(classes.select("node", F.col("n_shingles").alias("n")), "node"), "jaccard-crowded")
-    hot = not crowded.isEmpty()
-    if hot:
-        pairs = pairs.unionByName(_pivot_candidates(crowded, classes)).distinct()
     pairs = scratch(pairs, "jaccard-pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
+    # classes of tiles that weren't compared whole
+    crowded = tagged.filter(f"exists(tiles, t -> t.members > {HOT})").select("node")
+    hot = not crowded.isEmpty()
+    ends = scratch(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded).distinct(), "jaccard-ends")
     few = ends.count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(ends) if few else ends, texts["doc_id"] == ends["node"]).select("node", "text")
     arrays = chosen.mapInArrow(_arrays, "node long, hashes binary, bitmap binary").groupBy("node", F.xxhash64("hashes").alias("x"))
