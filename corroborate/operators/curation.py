@@ -31,7 +31,8 @@ def paraphrases(entries: DataFrame, corpus: DataFrame, limit: float = 0.30) -> D
     """All (entry_id, text_id) pairs of similarity >= limit, by a prefix-filtered index of tokens.
 
     Two sets with Jaccard >= limit share one of the first n - ceil(limit * n) + 1 tokens of either, in any
-    fixed order of tokens. Rare tokens first keeps the lists short; every pair found is verified exactly.
+    fixed order of tokens. Rare tokens first keeps the lists short. At the first token that two sets share, no more
+    than the shorter rest of both can follow in common, which with the sizes drops most pairs; what is left is verified exactly.
     """
     one = entries.select(F.col("entry_id"), token_set(F.col("text")).alias("a"))
     two = corpus.select(F.col("text_id"), token_set(F.col("text")).alias("b"))
@@ -41,9 +42,14 @@ def paraphrases(entries: DataFrame, corpus: DataFrame, limit: float = 0.30) -> D
         each = df.select(key, F.size(tokens).alias("n"), F.explode(tokens).alias("token")).join(seen, "token", "left")
         ordered = each.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("t"))
         keep = F.col("n") - F.ceil(F.col("n") * limit).cast("int") + 1
-        return ordered.select(key, F.explode(F.slice("t", F.lit(1), keep)).alias("x")).select(key, "x.token")
-
-    pairs = prefix(one, "entry_id", "a").join(prefix(two, "text_id", "b"), "token").select("entry_id", "text_id").distinct()
+        return ordered.select(key, "n", F.posexplode(F.slice("t", F.lit(1), keep)).alias("at", "x")).select(key, F.col("n").alias(f"n_{tokens}"), F.col("at").alias(f"at_{tokens}"), "x.token")
+
+    n, m = F.col("n_a"), F.col("n_b")
+    following = F.least(n - F.col("at_a"), m - F.col("at_b"))
+    # intersection / union >= limit, with a little room for rounding
+    possible = following * (1 + limit) + 1e-6 >= (n + m) * limit
+    fits = (n >= m * limit - 1e-6) & (m >= n * limit - 1e-6)
+    pairs = prefix(one, "entry_id", "a").join(prefix(two, "text_id", "b"), "token").filter(fits & possible).select("entry_id", "text_id").distinct()
     exact = pairs.join(one, "entry_id").join(two, "text_id").withColumn("similarity", jaccard(F.col("a"), F.col("b")))
     return exact.filter(F.col("similarity") >= limit).select("entry_id", "text_id", "similarity")
 

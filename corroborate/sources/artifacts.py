@@ -99,6 +99,8 @@ def read_ledger(spark: SparkSession, path: str, strict: bool = True) -> DataFram
 def write_payloads(payloads: DataFrame, existing: DataFrame | None, root: str) -> DataFrame:
     """Writes (case_id, audit_id, tool, content) once; a known id is an error. Returns the manifest."""
     manifest = payloads.select("case_id", "audit_id", "tool", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), F.octet_length("content").alias("bytes"))
+    if not manifest.groupBy("audit_id").count().filter("count > 1").isEmpty():
+        raise ValueError("an audit_id comes twice")
     if existing is not None and not payloads.join(existing.select("audit_id"), "audit_id", "left_semi").isEmpty():
         raise ValueError("a payload with this audit_id is there already")
     payloads.write.mode("errorifexists" if existing is None else "append").partitionBy("case_id", "tool").parquet(root)
@@ -118,7 +120,26 @@ def write_eval_report(rows: DataFrame, path: str) -> None:
     rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("per_question")).write.mode("overwrite").json(path)
 
 
-TEXT_KEYS, EVIDENCE_KEYS = ("question", "prompt", "text"), ("evidence", "context")
+# The keys of a question's text and of its evidence, the first that is there counts.
+TEXT_KEYS = ("question", "Q", "prompt", "stem", "text")
+EVIDENCE_KEYS = ("evidence", "artifact", "data", "content", "raw")
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(position, record map) of a corpus file: a JSON list of objects, or an object that holds such a list."""
+    text = spark.read.text(path, wholetext=True)
+    record = "array<map<string,string>>"
+    wrapped = F.filter(F.transform(F.map_values(F.from_json("value", "map<string,string>")), lambda v: F.from_json(v, record)), lambda v: v.isNotNull())
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", record)).otherwise(F.get(wrapped, F.lit(0)))
+    return text.select(F.posexplode(listed).alias("position", "record"))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The corpus manifest, one row; its declared evidence_mb must be over 0."""
+    out = spark.read.option("multiLine", True).json(path)
+    if "evidence_mb" not in out.columns or not out.filter("evidence_mb is null or evidence_mb <= 0").isEmpty():
+        raise ValueError("a manifest declares evidence_mb over 0")
+    return out
 
 
 def hydrate(corpus: DataFrame, subset: DataFrame) -> tuple[DataFrame, DataFrame]:

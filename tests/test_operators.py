@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corroborate.functions import canon, scalars
 from corroborate.operators import curation, evalmetrics, forgery, gate, ledger, normalise, textguard
-from corroborate.plans import registry
+from corroborate.plans import registry, report_queries  # noqa: F401
 from corroborate.sources import artifacts
 
 DATA = "/root/testdata/sf0.001"
@@ -158,6 +158,24 @@ def test_sidecars(spark, tmp_path):
     assert [r["reason"] for r in rejected.orderBy("row_index").collect()] == ["bad_timestamp", "bad_size", "bad_size", "size_out_of_range", "dirty_path", "path_too_long", "bad_timestamp", "bad_extras"]
 
 
+def test_corpus_and_manifest(spark, tmp_path):
+    (tmp_path / "list.json").write_text('[{"Q": "one", "raw": "e"}, {"stem": " "}, {"x": "y"}]')
+    (tmp_path / "wrapped.json").write_text('{"name": "c", "records": [{"prompt": "p", "data": "d"}]}')
+    corpus = artifacts.read_corpus(spark, str(tmp_path / "list.json"))
+    subset = spark.createDataFrame([(0, "f"), (1, "f"), (9, "g")], "line_offset int, family string")
+    ok, bad = artifacts.hydrate(corpus, subset)
+    assert [(r["text"], r["evidence"]) for r in ok.collect()] == [("one", "e")] and {r["reason"] for r in bad.collect()} == {"missing_text", "out_of_range"}
+    assert [r["record"]["prompt"] for r in artifacts.read_corpus(spark, str(tmp_path / "wrapped.json")).collect()] == ["p"]
+    for mb, good in ((0.5, True), (0, False)):
+        file = tmp_path / f"m{good}.json"
+        file.write_text(json.dumps({"evidence_mb": mb}))
+        if good:
+            assert artifacts.read_manifest(spark, str(file)).count() == 1
+        else:
+            with pytest.raises(ValueError):
+                artifacts.read_manifest(spark, str(file))
+
+
 def test_streams_agree_with_batch(spark, tmp_path):
     from corroborate.streaming import flows
 
