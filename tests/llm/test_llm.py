@@ -693,3 +693,81 @@ def test_pipeline(spark, odd):
     assert sorted((r["doc_id"] or 0) for r in kept.filter("doc_id is not null").collect()) == [1, 4, 5, 6, 7, 9, 10, 11, 12, 13]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd.drop("h", "n", "class"), DATA).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_each_stage_equals_a_plain_version(spark):
+    """On sf0.001, each stage by plain Python on what the stage before it kept; ids are unique there."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from corroborate.llm.common import scratch
+    from corroborate.llm.vocabulary import path_of
+
+    docs, got = spark.read.parquet(f"{DATA}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got.append({r["doc_id"]: r for r in docs.collect()} if name != "mixing" else None)
+        before = docs
+        docs = scratch(stage(spark, docs, DATA), "stages")
+        texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+        if name == "quality rules":
+            trees = quality_rules.train(before, spark.read.parquet(f"{DATA}/labels.parquet"))
+            kept = set()
+            for i, r in got[0].items():
+                w = re.findall(WORD, r["text"] or "")
+                times = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+                marked = {j for k in range(len(w) - 4) if times[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+                if len(w) >= 10 and 100 * len(marked) <= 20 * len(w):
+                    kept.add(i)
+            verdict = {r["doc_id"]: r["quality_score"] for r in quality_rules.judge(before, trees).collect()}
+            assert set(texts) == {i for i in kept if verdict[i] >= quality_rules.KEEP_FROM}
+        elif name == "near copies":
+            assert set(texts) == {i for i, _, c in brute_components([(i, r["text"]) for i, r in got[1].items()]) if c == i}
+        elif name == "passages":
+            need = need_of([(i, r["text"]) for i, r in got[2].items()])
+            spans, parts = {}, {i: re.findall(WORD, r["text"]) for i, r in got[2].items()}
+            for r in passages.shared_passages(before).collect():
+                one, two = (parts[i][x:y] for i, x, y in ((r["doc_id"], r["start"], r["end"]), (r["source_doc_id"], r["source_start"], r["source_end"])))
+                one, two = ([w.translate(FOLD) for w in part] for part in (one, two))
+                row = [0] * (len(two) + 1)  # the longest common subsequence
+                for w in one:
+                    new = [0]
+                    for k, v in enumerate(two):
+                        new.append(row[k] + 1 if v == w else max(new[-1], row[k + 1]))
+                    row = new
+                # fuzzy passages are as alike as they say, and come from an earlier document
+                assert row[-1] >= r["n_equal"] >= 0.8 * max(len(one), len(two)) and len(one) >= 50 and r["source_doc_id"] < r["doc_id"]
+                spans.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+            for i, r in got[2].items():
+                # the words of passages are gone, those of all exact windows among them, and nothing else is
+                gone = spans.get(i, set())
+                assert gone >= need.get((i, r["text"]), set())
+                assert re.findall(WORD, texts.get(i, "")) == [w for k, w in enumerate(parts[i]) if k not in gone]
+                assert texts.get(i) is None or docs.filter(F.col("doc_id") == i).first()["n_chars"] == len(texts[i]) if i % 50 == 0 else True
+        else:
+            rows_ = before.collect()
+            counts = Counter(r["source"] for r in rows_)
+            expected = {}
+            for r in rows_:
+                from hashlib import md5
+
+                rate = len(rows_) / len(counts) / counts[r["source"]]
+                name_ = md5(f"{r['doc_id']}:{md5(r['text'].encode()).hexdigest()}".encode()).hexdigest()
+                u = int(md5(f"{mixing.SEED}:{name_}:0".encode()).hexdigest()[:13], 16) / (1 << 52)
+                k, term, total = 0, np.exp(-rate), np.exp(-rate)
+                while total <= u:
+                    k += 1
+                    term *= rate / k
+                    total += term
+                expected[r["doc_id"]] = k
+            assert Counter(r["doc_id"] for r in docs.collect()) == Counter({i: k for i, k in expected.items() if k})
+    library = Tokenizer.from_file(path_of(packing.FILE))
+    lengths = Counter()
+    for r in docs.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        lengths.update((r["doc_id"], k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())) for k in range(0, len(ids), 2048))
+    packed = corpus_pipeline.packing(spark, docs, DATA).collect()
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == lengths
+    used = Counter()
+    for r in packed:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 2048
