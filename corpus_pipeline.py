@@ -2,6 +2,11 @@
 
 Quality rules drop bad documents, of each group of near copies one stays, passages that repeat an earlier
 document's are cut out, sources are mixed to equal weights, and token sequences are packed.
+
+Nulls, repeats and ties. Null texts fail the quality rules. Null ids pass quality, near copies (as rows of their own) and
+passages untouched, and are mixed and packed like any other. Of rows that share doc_id and text one passes near copies; of a
+group the smallest doc_id, of a passage the first document keeps it. Texts are read whole in all stages. An empty table gives an empty result. All stages but the last
+return the columns of their input as they are, whatever their names, but for text and n_chars after passages.
 """
 
 from __future__ import annotations
@@ -53,7 +58,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near copies", near_copies), ("passages", passages), ("mixing", mixing), ("packing", packing)]
 
-#: Trees, chains and tokens aren't SQL; tests hold the pipeline against brute force.
+#: Trees, chains and tokens aren't SQL; tests hold each stage against a plain version on what the stage before it kept.
 ORACLE_SQL = None
 
 
