@@ -69,14 +69,21 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Values that stand in the table of hot keys where no key is hot, by type; 0 for all other types.
+_ANY = {"string": "", "binary": b"", "array": []}
+
+
 def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame:
     """Keys that hold over 1 / PARTS of ``total`` rows, from counts (keys, n), with the parts to split them into.
 
-    There are at most PARTS such keys, and 2 * PARTS parts in all.
+    There are at most PARTS such keys, and 2 * PARTS parts in all. The table is never empty: where no key is hot it has one
+    row of one part, which changes no result. Spark would leave a join with an empty table out, so that plans differ by size.
     """
     hot = counts.filter((F.col("n") > LEAST_HOT) & (F.col("n") * PARTS > F.lit(total)))
     rows = hot.select(*keys, F.ceil(F.col("n") * PARTS / F.lit(max(1, total))).cast("int").alias("parts")).collect() if total > LEAST_HOT else []
-    return counts.sparkSession.createDataFrame(rows, ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys) + ", parts int")
+    kinds = [counts.schema[k].dataType for k in keys]
+    schema = ", ".join(f"`{k}` {kind.simpleString()}" for k, kind in zip(keys, kinds)) + ", parts int"
+    return counts.sparkSession.createDataFrame(rows or [(*(_ANY.get(kind.typeName(), 0) for kind in kinds), 1)], schema)
 
 
 def hot_of(rows: DataFrame, keys: list[str]) -> DataFrame:

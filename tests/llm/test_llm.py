@@ -274,6 +274,19 @@ def test_hot_keys_are_split_and_lose_no_row(spark, monkeypatch):
     assert dict(rows(common.components(edges), "node", "component")) == {**{k: 0 for k in range(3000)}, **{k: 5000 for k in range(5000, 5101)}}
 
 
+def test_a_table_without_hot_keys_is_joined_all_the_same(spark):
+    from corroborate.llm import common
+
+    many = spark.createDataFrame([(0, "", [], 1), (0, "", [], 1), (1, "a", ["b"], 2), (None, None, None, 3)], "k long, s string, a array<string>, v int")
+    one = spark.createDataFrame([(0, "", [], 5), (1, "a", ["b"], 6), (9, "z", ["z"], 7)], "k long, s string, a array<string>, w int")
+    for keys in (["k"], ["s"], ["a"], ["k", "s", "a"]):
+        hot = common.hot_of(many, keys)
+        assert hot.count() == 1 and hot.first()["parts"] == 1
+        for how in ("inner", "left"):
+            left, right = many.select(*keys, "v"), one.select(*keys, "w")
+            assert rows(common.split_join(left, right, keys, hot, how), "v", "w") == rows(left.join(right, keys, how), "v", "w")
+
+
 def test_an_extension_never_drops_an_exact_run():
     a = np.arange(180, dtype=np.uint32)
     b = a.copy()
