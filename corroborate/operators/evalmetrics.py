@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corroborate.operators.running import before_range, with_range
+
 # Normal quantiles of the supported levels.
 Z = {90: 1.6448536269514722, 95: 1.959963984540054, 99: 2.5758293035489004}
 STATUSES = ("DRAFT_TAMPER_SUSPECTED", "DRAFT", "CORROBORATED", "FINAL")
@@ -17,7 +19,7 @@ def rate(hit: Column, among: Column) -> Column:
 
 def score_answer(answer: Column, expected: Column) -> Column:
     """``~`` begins a pattern to be found; anything else is a text to be contained, whatever the case."""
-    return F.when(expected.startswith("~"), F.regexp(answer, F.substring(expected, 2, 100_000))).otherwise(F.contains(F.lower(answer), F.lower(expected)))
+    return F.when(expected.startswith("~"), F.regexp(answer, F.substr(expected, F.lit(2)))).otherwise(F.contains(F.lower(answer), F.lower(expected)))
 
 
 def question_correct(kind: Column, status: Column, arm: Column, answer: Column, scored: Column, gateless: tuple[str, ...] = ("bare",)) -> Column:
@@ -73,12 +75,17 @@ def cost(rows: DataFrame, prices: dict[str, float]) -> Column:
 
 
 def budget_cutoff(rows: DataFrame, order: list[str], cost_column: str, cap: float, by: list[str]) -> DataFrame:
-    """Rows before the first one with spent + own cost >= cap, in order, per group."""
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    spent = rows.withColumn("spent", F.coalesce(F.sum(cost_column).over(before), F.lit(0)))
+    """Rows before the first one with spent + own cost >= cap, in order, per group.
+
+    The first column of ``order`` (a number, date or time) cuts the groups into ranges, each a window of its own.
+    """
+    cut = before_range(with_range(rows, order[0]), by, F.col(cost_column), F.sum, "_spent_before")
+    own = Window.partitionBy(*by, "_range").orderBy(*order)
+    before, so_far = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
+    spent = cut.withColumn("spent", F.coalesce("_spent_before", F.lit(0)) + F.coalesce(F.sum(cost_column).over(before), F.lit(0)))
     stops = spent.withColumn("_stop", (F.col("spent") + F.col(cost_column) >= cap).cast("int"))
-    return stops.withColumn("_stopped", F.max("_stop").over(so_far)).filter("_stopped = 0").drop("_stop", "_stopped")
+    stops = before_range(stops.withColumn("_stopped", F.max("_stop").over(so_far)), by, F.col("_stop"), F.max, "_stopped_before")
+    return stops.filter((F.coalesce("_stopped", F.lit(0)) == 0) & (F.coalesce("_stopped_before", F.lit(0)) == 0)).drop("_stop", "_stopped", "_stopped_before", "_spent_before", "_range")
 
 
 def arm_difference(intervals: DataFrame) -> DataFrame:
@@ -116,14 +123,15 @@ def question_grid(rows: DataFrame) -> DataFrame:
 
 
 def pareto(points: DataFrame, low: str, high: str) -> DataFrame:
-    """Points that no other point beats: none as low with more, none lower with as much. One sort, no pairs.
+    """Points that no other point beats: none as low with more, none lower with as much. Points without both values are left out.
 
-    Grouped by ``low`` first (best ``high`` of each), so the ordered window holds one row for each value of ``low``.
+    Grouped by ``low`` first (best ``high`` of each); ranges of ``low`` are sorted each for itself, with the best of the ranges before.
     """
-    best = points.groupBy(low).agg(F.max(high).alias("_best"))
-    before = Window.orderBy(low).rowsBetween(Window.unboundedPreceding, -1)
-    edge = best.withColumn("_before", F.max("_best").over(before)).filter(F.col("_before").isNull() | (F.col("_best") > F.col("_before")))
-    return points.join(edge, low).filter(F.col(high) == F.col("_best")).drop("_best", "_before")
+    best = points.filter(F.col(low).isNotNull() & F.col(high).isNotNull()).groupBy(low).agg(F.max(high).alias("_best"))
+    cut = before_range(with_range(best, low).withColumn("_all", F.lit(0)), ["_all"], F.col("_best"), F.max, "_earlier")
+    before = Window.partitionBy("_range").orderBy(low).rowsBetween(Window.unboundedPreceding, -1)
+    edge = cut.withColumn("_before", F.greatest("_earlier", F.max("_best").over(before))).filter(F.col("_before").isNull() | (F.col("_best") > F.col("_before")))
+    return points.join(edge.select(low, "_best"), low).filter(F.col(high) == F.col("_best")).drop("_best")
 
 
 def run_stability(rows: DataFrame) -> DataFrame:

@@ -10,10 +10,13 @@ FAMILY_PRIORS = (("AppCompat", 0.10), ("Background-service", 0.15), ("Explorer/N
 
 
 def binomial_tail(n: Column, k: Column, p: Column) -> Column:
-    """P(X >= k) for X ~ Binomial(n, p), 0 < p < 1; terms from logarithms of factorials."""
+    """P(X >= k) for X ~ Binomial(n, p), 0 < p < 1; each term's logarithm follows from the one before."""
     n, k = n.cast("int"), k.cast("int")
-    term = lambda i: F.exp(_log_choose(n, i) + i * F.log(p) + (n - i) * F.log(1 - p))
-    total = F.aggregate(F.sequence(F.greatest(k, F.lit(0)), n), F.lit(0.0), lambda s, i: s + term(i))
+    least = F.greatest(k, F.lit(0))
+    first = _log_choose(n, least) + least * F.log(p) + (n - least) * F.log(1 - p)
+    start = F.struct(F.lit(0.0).alias("total"), first.alias("term"))
+    step = lambda s, i: F.struct((s["total"] + F.exp(s["term"])).alias("total"), (s["term"] + F.coalesce(F.log((n - i).cast("double")), F.lit(0.0)) - F.log(i + 1.0) + F.log(p) - F.log(1 - p)).alias("term"))
+    total = F.aggregate(F.sequence(least, n), start, step)["total"]
     return F.when(k <= 0, 1.0).when(k > n, 0.0).otherwise(F.least(F.lit(1.0), total))
 
 

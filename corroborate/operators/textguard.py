@@ -28,11 +28,16 @@ def strip_invisible(text: Column) -> tuple[Column, Column]:
 
 
 def redact(df: DataFrame, text: str, out: str, count: str) -> DataFrame:
-    """Adds ``out``, each pattern replaced in turn, and ``count``, the sum of matches."""
-    df = df.withColumn(out, F.col(text)).withColumn(count, F.lit(0))
+    """Adds ``out``, each pattern replaced in turn, and ``count``, the sum of matches.
+
+    A text in which no pattern is found stays as it is, so one search for any of them comes first.
+    """
+    safe, n = F.col(text), F.lit(0)
     for pattern in PATTERNS:
-        df = df.withColumn(count, F.col(count) + F.regexp_count(out, F.lit(pattern))).withColumn(out, F.regexp_replace(out, pattern, F.lit(REDACTED.replace("$", r"\$"))))
-    return df
+        n = n + F.regexp_count(safe, F.lit(pattern))
+        safe = F.regexp_replace(safe, pattern, F.lit(REDACTED.replace("$", r"\$")))
+    df = df.withColumn("_hit", F.col(text).rlike("|".join(f"(?:{p})" for p in PATTERNS)))
+    return df.withColumn(out, F.when(F.col("_hit"), safe).otherwise(F.col(text))).withColumn(count, F.when(F.col("_hit"), n).when(F.col(text).isNotNull(), 0)).drop("_hit")
 
 
 def truncate_bytes(text: Column, most: int = MAX_PAYLOAD) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corroborate.operators import gate
+from corroborate.operators import gate, textguard
 from corroborate.operators.ledger import GENESIS
 from corroborate.sources import artifacts
 
@@ -35,15 +35,22 @@ def claims_against(stream: DataFrame, calls: Callable[[], DataFrame], out: str,
 
 
 def guarded_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """New sidecar files -> valid events and quarantine, a folder for each batch."""
+    """New sidecar files -> valid events, whose paths passed the text guard, and quarantine, a folder for each batch.
+
+    Quarantine holds rejected events and, without a row_index, rejected envelopes.
+    """
     lines = spark.readStream.schema(artifacts.ENVELOPE).option("multiLine", True).option("recursiveFileLookup", "true").json(folder).withColumn("path", F.col("_metadata.file_path"))
 
     def one(batch: DataFrame, number: int) -> None:
         docs = batch.withColumn("case_id", F.regexp_extract("path", artifacts.CASE, 1)).withColumn("expected_tool", artifacts._by_place(F.col("path"), 1)).withColumn("expected_family", artifacts._by_place(F.col("path"), 2))
-        fit, _ = artifacts.check_envelopes(docs)
+        fit, unfit = artifacts.check_envelopes(docs)
         ok, bad = artifacts.check_events(artifacts.explode_events(fit))
+        guarded, _ = textguard.sanitize(ok, "program_path")  # check_events has rejected paths over 4 096 characters
+        ok = guarded.withColumn("program_path", F.col("clean_text")).drop("clean_text")
+        unfit = unfit.select("case_id", "tool", F.col("path").alias("source_artifact"), F.lit(None).cast("int").alias("row_index"), "reason")
+        bad = bad.select("case_id", "tool", "source_artifact", "row_index", "reason").unionByName(unfit)
         ok.write.mode("overwrite").parquet(f"{out}/events/batch={number}")
-        bad.select("case_id", "tool", "source_artifact", "row_index", "reason").write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
 
     return lines.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
