@@ -88,6 +88,14 @@ def budget_cutoff(rows: DataFrame, order: list[str], cost_column: str, cap: floa
     return stops.filter((F.coalesce("_stopped", F.lit(0)) == 0) & (F.coalesce("_stopped_before", F.lit(0)) == 0)).drop("_stop", "_stopped", "_stopped_before", "_spent_before", "_range")
 
 
+def budget_outcome(rows: DataFrame, kept: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: rows, rows that ``budget_cutoff`` kept, partial and its reason (null if all were kept)."""
+    both = rows.select(*by, F.lit(0).alias("_kept")).unionByName(kept.select(*by, F.lit(1).alias("_kept")))
+    out = both.groupBy(*by).agg(F.count_if(F.col("_kept") == 0).alias("n_rows"), F.count_if(F.col("_kept") == 1).alias("n_kept"))
+    partial = F.col("n_kept") < F.col("n_rows")
+    return out.withColumn("partial", partial).withColumn("reason", F.when(partial, "budget"))
+
+
 def arm_difference(intervals: DataFrame) -> DataFrame:
     """Pairs of arms (arm, accuracy, ci_low, ci_high): difference and strict overlap. One row for each arm goes in."""
     a, b = intervals.alias("a"), intervals.alias("b")

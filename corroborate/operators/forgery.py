@@ -43,6 +43,14 @@ def all_compromised(findings: DataFrame) -> DataFrame:
     return findings.withColumn("forgery_p", F.when(F.size("families") > 0, F.element_at(poisson_binomial(F.transform("families", lambda f: prior[f])), -1)))
 
 
+def at_least(findings: DataFrame, k: int) -> DataFrame:
+    """Adds tail_p: the chance that ``k`` or more of a claim's families (array) are compromised; null without families."""
+    prior = F.create_map(*[v for name, p in FAMILY_PRIORS for v in (F.lit(name), F.lit(p))])
+    hits = poisson_binomial(F.transform("families", lambda f: prior[f]))
+    tail = F.aggregate(F.slice(hits, k + 1, F.size("families") + 1), F.lit(0.0), lambda s, v: s + v)
+    return findings.withColumn("tail_p", F.when(F.size("families") > 0, tail))
+
+
 def straddle(n_bytes: Column, pattern: int, limit: int) -> Column:
     """Chance that a pattern of so many bytes lies across the limit of a longer text; 0 for texts within it."""
     return F.when(n_bytes > limit, F.lit((pattern - 1) / (limit - pattern + 1))).otherwise(0.0)

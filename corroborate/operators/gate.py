@@ -27,7 +27,8 @@ def tools(spark: SparkSession) -> DataFrame:
 
 
 def tier_rank(families: Column) -> Column:
-    return F.when(families <= 1, 1).when(families == 2, 2).otherwise(3)
+    """1 to 3 by the number of families; a negative number is an error."""
+    return F.when(families < 0, F.raise_error(F.lit("a number of families is negative")).cast("int")).when(families <= 1, 1).when(families == 2, 2).otherwise(3)
 
 
 def _label(rank: Column, labels: tuple[str, ...]) -> Column:

@@ -171,6 +171,13 @@ def claim_forgery_p(spark, sf_dir):
     return _rounded(forgery.all_compromised(_gate(spark, sf_dir).filter("refusal is null")).select("claim_id", "forgery_p"))
 
 
+@query(_GATE + f""", q AS (SELECT claim_id, product(1 - ({_PRIOR})) AS none, sum(({_PRIOR}) / (1 - ({_PRIOR}))) AS odds FROM f WHERE family IS NOT NULL GROUP BY 1)
+SELECT t.claim_id, round(1 - none - none * odds, 6) AS tail_p FROM t LEFT JOIN q ON t.claim_id = q.claim_id WHERE refusal IS NULL""")
+def claim_forgery_tail(spark, sf_dir):
+    """The chance that two or more of each claim's families are compromised."""
+    return _rounded(forgery.at_least(_gate(spark, sf_dir).filter("refusal is null"), 2).select("claim_id", "tail_p"))
+
+
 # Calls and ledgers
 
 
@@ -414,6 +421,14 @@ def budget_cutoff(spark, sf_dir):
     return out.select("q_id", "arm", "run_idx", "spent")
 
 
+@query(f"""{_E}, c AS (SELECT *, sum(tokens_in) OVER (PARTITION BY arm, family ORDER BY q_id, run_idx) AS upto FROM eval_rows)
+SELECT arm, family, count(*) AS n_rows, count(*) FILTER (upto < 20000) AS n_kept, count(*) FILTER (upto < 20000) < count(*) AS partial, CASE WHEN count(*) FILTER (upto < 20000) < count(*) THEN 'budget' END AS reason FROM c GROUP BY 1, 2""")
+def budget_outcome(spark, sf_dir):
+    rows = _eval(spark, sf_dir)
+    kept = evalmetrics.budget_cutoff(rows, ["q_id", "run_idx"], "tokens_in", 20_000, ["arm", "family"])
+    return evalmetrics.budget_outcome(rows, kept, ["arm", "family"])
+
+
 @query(f"""{_E} SELECT claim_status, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, CASE claim_status WHEN 'DRAFT_TAMPER_SUSPECTED' THEN 1 WHEN 'DRAFT' THEN 2 WHEN 'CORROBORATED' THEN 3 ELSE 4 END::BIGINT AS place FROM eval_rows WHERE claim_status IS NOT NULL GROUP BY 1""")
 def status_distribution(spark, sf_dir):
     return _rounded(evalmetrics.status_distribution(_eval(spark, sf_dir)))

@@ -202,6 +202,11 @@ def test_guarded_ingest_keeps_what_it_rejects(spark, tmp_path):
     assert held == {("Amcache.hve.json", 1, "dirty_path"), ("SYSTEM.json", None, "family_mismatch")}
 
 
+def test_a_negative_number_of_families_is_an_error(spark):
+    with pytest.raises(Exception, match="negative"):
+        spark.createDataFrame([(-1,)], "n int").select(gate.tier_rank(F.col("n")).alias("r")).collect()
+
+
 def test_ranges_give_the_same_sums_as_one_window(spark):
     from corroborate.operators import running
 
