@@ -409,9 +409,11 @@ def mcnemar(spark, sf_dir):
     return evalmetrics.paired(_eval(spark, sf_dir), "gated", "bare").select("n10", "n01")
 
 
-@query()
+@query(f"""{_E}, q AS (SELECT q_id, max(correct::INT) FILTER (arm = 'gated') AS a, max(correct::INT) FILTER (arm = 'bare') AS b FROM eval_rows GROUP BY 1),
+c AS (SELECT count(*) FILTER (a = 1 AND b = 0) AS n10, count(*) FILTER (a = 0 AND b = 1) AS n01 FROM q), t AS (SELECT *, n10 + n01 AS n, unnest(range(greatest(n10, n01), n10 + n01 + 1)) AS i FROM c)
+SELECT n10, n01, round(least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 6)::DOUBLE AS p_value FROM t GROUP BY 1, 2""")
 def mcnemar_p(spark, sf_dir):
-    return evalmetrics.paired(_eval(spark, sf_dir), "gated", "bare")
+    return _rounded(evalmetrics.paired(_eval(spark, sf_dir), "gated", "bare"))
 
 
 @query(f"""{_E}, c AS (SELECT *, sum(tokens_in) OVER (PARTITION BY arm, family ORDER BY q_id, run_idx) AS upto FROM eval_rows)
