@@ -8,6 +8,7 @@ Hashes are 64 bits and depend on nothing but the bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,6 @@ import pyarrow as pa
 U64 = np.uint64
 SLICE_BYTES = 512 << 10
 _MUL = U64(0x9E3779B97F4A7C15)
-_RADIX = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -26,22 +26,10 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix(np.arange(256, dtype=U64), 1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_RADIX, pow(_RADIX, -1, 1 << 64))):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=U64)
-    return _powers
 
 
 class Slice:
@@ -50,7 +38,6 @@ class Slice:
     def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray):
         self.first, self.data, self.offsets = first, data, offsets
         self.n = len(offsets) - 1
-        self._prefix: np.ndarray | None = None
 
     def text(self, i: int) -> str:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().decode("utf-8", "replace")
@@ -59,13 +46,20 @@ class Slice:
         """The same with A-Z lower-cased."""
         return Slice(self.first, _FOLD[self.data], self.offsets)
 
+    def units(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """The number of each byte range's unit, and the distinct units: numbers are equal just where the bytes are."""
+        length = end - start
+        offsets = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(length, out=offsets[1:])
+        body = self.data[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], length)]
+        spans = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+        known = spans.dictionary_encode()
+        return known.indices.to_numpy().astype(np.int64), known.dictionary
+
     def hash_spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A hash for each byte range, from one running polynomial sum."""
-        power, inverse = _power_tables(len(self.data) + 1)
-        if self._prefix is None:
-            self._prefix = np.zeros(len(self.data) + 1, U64)
-            np.cumsum(_BYTE[self.data] * power[: len(self.data)], out=self._prefix[1:])
-        return mix((self._prefix[end] - self._prefix[start]) * inverse[start] + (end - start).astype(U64))
+        """A hash for each byte range: 64 bits of the BLAKE2 of its bytes, taken once for each distinct one."""
+        number, units = self.units(start, end)
+        return np.frombuffer(b"".join(blake2b(u, digest_size=8).digest() for u in units.to_pylist()), "<u8").astype(U64)[number]
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and document of each run of bytes that are none of 20, 09-0D."""
