@@ -32,6 +32,11 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 
 
+def digests(units: pa.Array) -> np.ndarray:
+    """64 bits of the BLAKE2 of each unit's bytes."""
+    return np.frombuffer(b"".join(blake2b(u, digest_size=8).digest() for u in units.to_pylist()), "<u8").astype(U64)
+
+
 class Slice:
     """Documents `first` .. `first + n` of a batch, as bytes with offsets (n + 1 of them, from 0)."""
 
@@ -59,7 +64,7 @@ class Slice:
     def hash_spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A hash for each byte range: 64 bits of the BLAKE2 of its bytes, taken once for each distinct one."""
         number, units = self.units(start, end)
-        return np.frombuffer(b"".join(blake2b(u, digest_size=8).digest() for u in units.to_pylist()), "<u8").astype(U64)[number]
+        return digests(units)[number]
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and document of each run of bytes that are none of 20, 09-0D."""

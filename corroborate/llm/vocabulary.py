@@ -1,7 +1,7 @@
 """Public tokenizer files, and encoding of repeated units: each distinct unit of text is encoded once per worker.
 
 A unit is a stretch of bytes whose tokens do not depend on what stands around it. The caller proves that;
-here each unit is looked up by its 64-bit hash in a bounded per-process table and new ones go to the
+here each unit is looked up by its 64-bit hash and then its bytes in a bounded per-process table, and new ones go to the
 library in one batch.
 """
 
@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from corroborate.llm.textkit import U64, Slice
+from corroborate.llm.textkit import Slice, digests
 
 #: Distinct units that a worker keeps; at the bound it starts anew, which costs time only.
 KEPT = 3 << 19
@@ -59,10 +61,11 @@ class Growing:
 
 
 class UnitTable:
-    """Known units by hash, each with the start and the length of its ids in a pool.
+    """Known units by hash, each with its bytes and with the start and the length of its ids in a pool.
 
     Hashes are kept in sorted runs of falling lengths; a new run is merged with its neighbour unless that is over
-    twice as long, so a hash is moved only as often as the table doubles.
+    twice as long, so a hash is moved only as often as the table doubles. A unit that is found by its hash is compared
+    byte by byte; one of other bytes is encoded anew.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
@@ -72,34 +75,49 @@ class UnitTable:
     def clear(self) -> None:
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []
         self.start, self.length, self.pool = Growing(np.int64), Growing(np.int32), Growing(np.uint32)
+        self.body, self.body_end = Growing(np.uint8), Growing(np.int64)
+        self.body_end.append(np.zeros(1, np.int64))
+
+    def _kept(self, rows: np.ndarray) -> pa.Array:
+        """The bytes of the units in these rows."""
+        begin, end = self.body_end.values[rows], self.body_end.values[rows + 1]
+        offsets = np.concatenate(([0], np.cumsum(end - begin)))
+        body = self.body.values[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], end - begin)]
+        return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
 
     def rows(self, part: Slice, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The table's row of each span; spans not yet known are encoded first."""
-        hashes, first, back = np.unique(part.hash_spans(start, end), return_index=True, return_inverse=True)
-        if self.length.n + len(hashes) > KEPT:
+        number, units = part.units(start, end)
+        if self.length.n + len(units) > KEPT:
             self.clear()
-        rows = np.full(len(hashes), -1, np.int64)
+        hashes, rows = digests(units), np.full(len(units), -1, np.int64)
         for keys, known in self.runs:
             at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
             hit = keys[at] == hashes
             rows[hit] = known[at[hit]]
+        hit = np.flatnonzero(rows >= 0)
+        other = hit[~pc.equal(units.take(pa.array(hit)), self._kept(rows[hit])).to_numpy(zero_copy_only=False)]
+        rows[other] = -1
         fresh = np.flatnonzero(rows < 0)
         if len(fresh):
-            body = part.data.tobytes()
-            texts = [body[s:e].decode("utf-8", "replace") for s, e in zip(start[first[fresh]].tolist(), end[first[fresh]].tolist())]
-            ids = self.encode(texts)
+            bodies = units.take(pa.array(fresh)).to_pylist()
+            ids = self.encode([b.decode("utf-8", "replace") for b in bodies])
             length = np.array([len(x) for x in ids], np.int32)
             rows[fresh] = self.length.n + np.arange(len(fresh))
             self.start.append(self.pool.n + np.concatenate(([0], np.cumsum(length, dtype=np.int64)[:-1])))
             self.length.append(length)
             self.pool.append(np.array([t for x in ids for t in x], np.uint32))
-            self.runs.append((hashes[fresh], rows[fresh]))
+            self.body_end.append(self.body.n + np.cumsum([len(b) for b in bodies], dtype=np.int64))
+            self.body.append(np.frombuffer(b"".join(bodies), np.uint8))
+            new = np.setdiff1d(fresh, other)
+            new = new[np.unique(hashes[new], return_index=True)[1]]
+            self.runs.append((hashes[new], rows[new]))
             while len(self.runs) > 1 and len(self.runs[-2][0]) <= 2 * len(self.runs[-1][0]):
                 two, one = self.runs.pop(), self.runs.pop()
                 keys, known = np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
                 order = np.argsort(keys, kind="stable")
                 self.runs.append((keys[order], known[order]))
-        return rows[back]
+        return rows[number]
 
     def counts(self, rows: np.ndarray) -> np.ndarray:
         return self.length.values[rows]
