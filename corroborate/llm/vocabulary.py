@@ -111,7 +111,8 @@ class UnitTable:
             self.body.append(np.frombuffer(b"".join(bodies), np.uint8))
             new = np.setdiff1d(fresh, other)
             new = new[np.unique(hashes[new], return_index=True)[1]]
-            self.runs.append((hashes[new], rows[new]))
+            if len(new):
+                self.runs.append((hashes[new], rows[new]))
             while len(self.runs) > 1 and len(self.runs[-2][0]) <= 2 * len(self.runs[-1][0]):
                 two, one = self.runs.pop(), self.runs.pop()
                 keys, known = np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
