@@ -57,3 +57,24 @@ def safe_segment(values: pd.Series) -> pd.Series:
         return all(not (".." in f or f[:1] in "./\\" or "/" in f or "\\" in f or any(ord(c) < 32 or ord(c) == 127 or c in _SEGMENT_BANNED for c in f)) for f in (v, unicodedata.normalize("NFKC", v)))
 
     return values.map(ok)
+
+
+#: The HMAC's block, in bytes.
+_BLOCK = 64
+
+
+def _padded(key: bytes, pad: int) -> bytes:
+    known = hashlib.sha256(key).digest() if len(key) > _BLOCK else key
+    return bytes(b ^ pad for b in known.ljust(_BLOCK, b"\0"))
+
+
+def stored_hmac(line: Column, key: bytes) -> Column:
+    """The HMAC-SHA-256 of a line's own bytes without its line_hash, in the JVM; null where the mark isn't there exactly once.
+
+    Sealed lines are canonical JSON, so for them this is ``line_hmac``; a line that was written in another way differs from
+    it, and needs ``line_hmac``. The key's pads are literals of the plan: don't show plans of ledgers' keys.
+    """
+    mark = '"line_hash": "[0-9a-f]{64}", '
+    body = F.when(F.regexp_count(line, F.lit(mark)) == 1, F.regexp_replace(line, mark, "")).cast("binary")
+    inner = F.unhex(F.sha2(F.concat(F.lit(_padded(key, 0x36)), body), 256))
+    return F.sha2(F.concat(F.lit(_padded(key, 0x5C)), inner), 256)

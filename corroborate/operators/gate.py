@@ -19,6 +19,8 @@ TOOLS = (
 FAMILIES = ("AppCompat", "Background-service", "Explorer/NTUSER", "Kernel-ETW", "SysMain")
 TIERS = ("DRAFT_TAMPER_SUSPECTED", "DRAFT", "CORROBORATED", "FINAL")
 C_SCALE = ("C0", "C2", "C4", "C5")
+#: The rank of three families and more.
+MOST_RANK = 3
 
 
 def tools(spark: SparkSession) -> DataFrame:
@@ -28,7 +30,7 @@ def tools(spark: SparkSession) -> DataFrame:
 
 def tier_rank(families: Column) -> Column:
     """1 to 3 by the number of families; a negative number is an error."""
-    return F.when(families < 0, F.raise_error(F.lit("a number of families is negative")).cast("int")).when(families <= 1, 1).when(families == 2, 2).otherwise(3)
+    return F.when(families < 0, F.raise_error(F.lit("a number of families is negative")).cast("int")).when(families <= 1, 1).when(families == 2, 2).otherwise(MOST_RANK)
 
 
 def _label(rank: Column, labels: tuple[str, ...]) -> Column:
