@@ -54,6 +54,29 @@ def paraphrases(entries: DataFrame, corpus: DataFrame, limit: float = 0.30) -> D
     return exact.filter(F.col("similarity") >= limit).select("entry_id", "text_id", "similarity")
 
 
+#: Bands of the approximate search, and signatures in each: of pairs of similarity 0.3 about 0.977 share a band.
+BANDS, BAND_ROWS = 40, 2
+
+
+def paraphrases_approx(entries: DataFrame, corpus: DataFrame, limit: float = 0.30, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """The pairs of ``paraphrases`` that share a MinHash band: none that it hasn't, and 1 - (1 - s ** rows) ** bands of those of similarity s.
+
+    A signature is the least hash of a set's tokens under one of bands * rows seeds, so the work on a text is in proportion to it, and
+    pairs meet in equal bands only, where ``paraphrases`` meets them by rare tokens. Each pair is then verified. Empty sets have no band.
+    """
+    one = entries.select("entry_id", token_set(F.col("text")).alias("a")).filter(F.size("a") > 0)
+    two = corpus.select("text_id", token_set(F.col("text")).alias("b")).filter(F.size("b") > 0)
+
+    def banded(df: DataFrame, key: str, tokens: str) -> DataFrame:
+        each = F.transform(F.sequence(F.lit(0), F.lit(bands * rows - 1)), lambda i: F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, i))))
+        parts = df.select(key, each.alias("m")).select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("m", b * rows + 1, rows)))).alias("band", "mark"))
+        return parts
+
+    pairs = banded(one, "entry_id", "a").join(banded(two, "text_id", "b"), ["band", "mark"]).select("entry_id", "text_id").distinct()
+    exact = pairs.join(one, "entry_id").join(two, "text_id").withColumn("similarity", jaccard(F.col("a"), F.col("b")))
+    return exact.filter(F.col("similarity") >= limit).select("entry_id", "text_id", "similarity")
+
+
 def clean_classification(rows: DataFrame, expected: DataFrame, families: tuple[str, ...]) -> DataFrame:
     """Rows (position, offset, family, reason): known offsets and families, the first of each offset, reasons of 200 characters."""
     first = F.row_number().over(Window.partitionBy("offset").orderBy("position")) == 1
@@ -62,11 +85,15 @@ def clean_classification(rows: DataFrame, expected: DataFrame, families: tuple[s
 
 
 def balanced_selection(seed: DataFrame, drafts: DataFrame, target: int) -> DataFrame:
-    """All seed rows (offset, family), and drafts not among them up to ``target`` a family, by offset."""
+    """All seed rows (offset, family), and drafts not among them up to ``target`` a family, by offset.
+
+    The constant bound on the place comes first: Spark then keeps the first ``target`` of each family within every input partition
+    (WindowGroupLimit), so that no task sorts a family's drafts, and families are matched with what they have afterwards.
+    """
     have = seed.groupBy("family").agg(F.count(F.lit(1)).alias("have"))
-    fresh = drafts.join(seed.select("offset"), "offset", "left_anti").join(F.broadcast(have), "family", "left")
-    place = F.row_number().over(Window.partitionBy("family").orderBy("offset"))
-    chosen = fresh.withColumn("place", place).filter(F.col("place") <= target - F.coalesce("have", F.lit(0)))
+    fresh = drafts.select("offset", "family").join(seed.select("offset"), "offset", "left_anti")
+    first = fresh.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy("offset"))).filter(F.col("place") <= target)
+    chosen = first.join(have, "family", "left").filter(F.col("place") <= target - F.coalesce("have", F.lit(0)))
     return seed.select("offset", "family", F.lit(True).alias("seeded")).unionByName(chosen.select("offset", "family", F.lit(False).alias("seeded")))
 
 

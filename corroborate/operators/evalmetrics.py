@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corroborate.operators.lineage import checkpointed
 from corroborate.operators.running import before_range, with_range
 
 # Normal quantiles of the supported levels.
@@ -175,5 +176,51 @@ def run_comparison(rows: DataFrame) -> DataFrame:
     return per_run.withColumn("change", F.col("accuracy") - F.lag("accuracy").over(Window.partitionBy("arm").orderBy("run_idx")))
 
 
+#: Values of a group that one task may hold, and the bounds that cut a larger group in each round.
+KEPT_VALUES, CUTS = 10_000, 200
+
+
+def exact_median(df: DataFrame, value: str, *by: str, kept: int = KEPT_VALUES, cuts: int = CUTS) -> DataFrame:
+    """(by, median) of the values that aren't null, as F.median gives it, without a task that holds a group's values.
+
+    Groups of at most ``kept`` values are left to F.median. In larger ones the two middle places are sought: approximate quantiles cut the values
+    into ranges, values equal to a bound are ranges of their own, ranges are counted (partial sums), and only the one that holds the place is
+    kept; ranges of one value are answers. The rest falls by about ``cuts`` a round, so there are few rounds, and each moves counts only.
+    """
+    rows = df.select(*[F.col(b).alias(f"g{k}") for k, b in enumerate(by)], F.col(value).cast("double").alias("v")).filter("v is not null")
+    keys = [f"g{k}" for k in range(len(by))]
+    grouped = F.struct(*keys) if keys else F.struct(F.lit(0).alias("g"))
+    rows = rows.select(grouped.alias("g"), "v")
+    counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    small = rows.join(counts.filter(F.col("n") <= kept).select("g"), "g", "left_semi").groupBy("g").agg(F.median("v").alias("median"))
+    # a place of a large group: the k-th value (from 0) among those in (low, high), bounds shut out
+    places = F.explode(F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"))))
+    wide = lambda c: F.lit(c).cast("double")
+    sought = counts.filter(F.col("n") > kept).select("g", places.alias("place")).select("g", "place", F.col("place").alias("k"), wide(None).alias("low"), wide(None).alias("high"))
+    found = None
+    at = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    sought = checkpointed(sought)
+    while not sought.isEmpty():
+        inside = (F.col("low").isNull() | (F.col("v") > F.col("low"))) & (F.col("high").isNull() | (F.col("v") < F.col("high")))
+        held = rows.join(sought, "g").filter(inside)
+        bounds = held.groupBy("g", "place").agg(F.array_sort(F.array_distinct(F.percentile_approx("v", at, F.lit(10 * cuts)))).alias("b"))
+        below = F.size(F.filter("b", lambda x: x < F.col("v")))
+        cell = below * 2 + F.array_contains("b", F.col("v")).cast("int")
+        sizes = held.join(bounds, ["g", "place"]).withColumn("cell", cell).groupBy("g", "place", "k", "low", "high", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("g", "place").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        hit = checkpointed(sizes.withColumn("before", before).filter("before <= k and k < before + n").join(bounds, ["g", "place"]))
+        done = hit.filter("least = most or (isnan(least) and isnan(most))").select("g", "place", F.col("least").alias("v"))
+        found = done if found is None else found.unionByName(done)
+        # an odd cell is one value; an even one lies between two bounds
+        left, right = F.expr("coalesce(get(b, cell div 2 - 1), low)"), F.expr("coalesce(get(b, cell div 2), high)")
+        sought = hit.filter("least < most").select("g", "place", F.expr("k - before").alias("k"), left.alias("low"), right.alias("high"))
+    large = found.groupBy("g").agg(F.avg("v").alias("median")) if found is not None else small.filter("false")
+    return small.unionByName(large).select(*[F.col(f"g.{k}").alias(b) for k, b in zip(keys, by)], "median")
+
+
 def ms_per_mb(runs: DataFrame, ms: str, mb: str, *by: str) -> DataFrame:
-    return runs.groupBy(*by).agg((F.median(ms) / F.max(mb)).alias("ms_per_mb"))
+    """The median time of each group by its largest size."""
+    size = runs.groupBy(*by).agg(F.max(mb).alias("_mb"))
+    same = [F.col(f"a.{b}").eqNullSafe(F.col(f"b.{b}")) for b in by]
+    both = size.alias("a").join(exact_median(runs, ms, *by).alias("b"), same, "left")
+    return both.select(*[F.col(f"a.{b}") for b in by], (F.col("b.median") / F.col("a._mb")).alias("ms_per_mb"))

@@ -7,16 +7,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corroborate.operators.gate import TIERS
+
 # The keys of a token count, and the shape of an identifier in a tool's answer.
 TOKEN_KEYS = ("input", "output")
 AUDIT_ID = r'"audit_id"\s*:\s*"([0-9a-fA-F-]{36})"'
-TIER = r'"tier"\s*:\s*"(DRAFT_TAMPER_SUSPECTED|DRAFT|CORROBORATED|FINAL)"'
+TIER = rf'"tier"\s*:\s*"({"|".join(TIERS)})"'
+
+
+def utc_text(ts: Column) -> Column:
+    """yyyy-MM-dd HH:mm:ss in UTC, whatever the session's zone: counted from the epoch."""
+    seconds = F.floor(F.unix_micros(ts) / 1_000_000)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int")).cast("string")
+    part = lambda step, most: F.lpad(F.pmod(F.floor(seconds / step), F.lit(most)).cast("string"), 2, "0")
+    return F.concat(day, F.lit(" "), part(3600, 24), F.lit(":"), part(60, 60), F.lit(":"), part(1, 60))
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO 8601 in UTC, with six digits of a second only where they aren't zero; for a session in UTC."""
-    digits = F.unix_micros(ts) % 1_000_000
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(digits != 0, F.format_string(".%06d", F.pmod(digits, F.lit(1_000_000)))).otherwise(""), F.lit("+00:00"))
+    """ISO 8601 in UTC, with six digits of a second only where they aren't zero."""
+    digits = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
+    return F.concat(F.replace(utc_text(ts), F.lit(" "), F.lit("T")), F.when(digits != 0, F.format_string(".%06d", digits)).otherwise(""), F.lit("+00:00"))
 
 
 def wire_rows(events: DataFrame, tools: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +31,34 @@ def strip_invisible(text: Column) -> tuple[Column, Column]:
     return F.regexp_replace(text, f"[{INVISIBLE}]", ""), F.regexp_count(text, F.lit(f"[{INVISIBLE}]"))
 
 
-def redact(df: DataFrame, text: str, out: str, count: str) -> DataFrame:
-    """Adds ``out``, each pattern replaced in turn, and ``count``, the sum of matches.
+#: For each pattern, parts of words of which it needs one; without the letters i and s, which have further cases that ``lower`` leaves.
+_NEEDS = (("real",), ("gnore",), ("truct",), ("tem",), ("neer", "earch", "ter"), ("[[",))
 
-    A text in which no pattern is found stays as it is, so one search for any of them comes first.
-    """
-    safe, n = F.col(text), F.lit(0)
-    for pattern in PATTERNS:
-        n = n + F.regexp_count(safe, F.lit(pattern))
-        safe = F.regexp_replace(safe, pattern, F.lit(REDACTED.replace("$", r"\$")))
-    df = df.withColumn("_hit", F.col(text).rlike("|".join(f"(?:{p})" for p in PATTERNS)))
-    return df.withColumn(out, F.when(F.col("_hit"), safe).otherwise(F.col(text))).withColumn(count, F.when(F.col("_hit"), n).when(F.col(text).isNotNull(), 0)).drop("_hit")
+
+def _stage(pattern: str, needs: tuple[str, ...]) -> Callable[[Column], Column]:
+    """From a state (text, n) after one pattern; each part is bound once, as the element of an array, and searched only where a needed word stands."""
+
+    def after(state: Column) -> Column:
+        low = F.lower(state["text"])
+        may = F.transform(F.array(low), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in needs]))[0]
+        found = F.when(may, F.regexp_count(state["text"], F.lit(pattern))).otherwise(0)
+
+        def replaced(n: Column) -> Column:
+            text = F.when(n > 0, F.regexp_replace(state["text"], pattern, REDACTED.replace("$", r"\$"))).otherwise(state["text"])
+            return F.struct(text.alias("text"), (state["n"] + n).alias("n"))
+
+        return F.transform(F.array(found), replaced)[0]
+
+    return after
+
+
+def redact(df: DataFrame, text: str, out: str, count: str) -> DataFrame:
+    """Adds ``out``, each pattern replaced in turn, and ``count``, the sum of matches; null for a null text."""
+    state = F.array(F.struct(F.col(text).alias("text"), F.lit(0).alias("n")))
+    for pattern, needs in zip(PATTERNS, _NEEDS):
+        state = F.transform(state, _stage(pattern, needs))
+    df = df.withColumn("_redacted", F.when(F.col(text).isNotNull(), state[0]))
+    return df.withColumn(out, F.col("_redacted.text")).withColumn(count, F.col("_redacted.n")).drop("_redacted")
 
 
 def truncate_bytes(text: Column, most: int = MAX_PAYLOAD) -> Column:
@@ -87,8 +108,59 @@ def outcome_summary(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(*[F.count_if(F.col("outcome") == n).alias(n) for n in names], F.avg((F.col("outcome") == "resisted").cast("double")).alias("resisted_share"))
 
 
+class _OpenEnd:
+    """One pattern over a text that comes in parts: replaced parts go on, and what may still become a match is kept."""
+
+    def __init__(self, pattern: str):
+        import regex
+
+        self.pattern, self.kept, self.n = regex.compile(pattern.replace("(?iU)", "(?i)")), "", 0
+
+    def feed(self, part: str, last: bool = False) -> str:
+        text, at, out = self.kept + part, 0, []
+        self.kept = ""
+        while match := self.pattern.search(text, at, partial=not last):
+            out.append(text[at : match.start()])
+            if not last and (match.partial or match.end() == len(text)):
+                self.kept = text[match.start() :]
+                return "".join(out)
+            out.append(REDACTED)
+            self.n, at = self.n + 1, match.end()
+        return "".join(out) + text[at:]
+
+
+def _joined_matches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (case, text) in order -> the matches in each case's texts joined by spaces."""
+    case, stages, begun = None, None, False
+
+    def ended() -> pa.RecordBatch:
+        part = ""
+        for one in stages:
+            part = one.feed(part, last=True)
+        return pa.RecordBatch.from_arrays([pa.array([case], kind), pa.array([sum(s.n for s in stages)], pa.int64())], names=names)
+
+    for batch in batches:
+        kind = batch.column(0).type
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if stages is None or name != case:
+                if stages is not None:
+                    yield ended()
+                case, stages, begun = name, [_OpenEnd(p) for p in PATTERNS], False
+            if text is not None:
+                part, begun = (" " if begun else "") + text, True
+                for one in stages:
+                    part = one.feed(part)
+    if stages is not None:
+        yield ended()
+
+
 def split_across_rows(df: DataFrame, case: str, order: str, text: str) -> DataFrame:
-    """Matches in single rows and in the case's joined text: more in the second means a pattern was split."""
-    joined = df.groupBy(case).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), " ").alias("_all"))
-    rows = redact(df, text, "_r", "_n").groupBy(case).agg(F.sum("_n").alias("row_matches"))
-    return redact(joined, "_all", "_r", "joined_matches").select(case, "joined_matches").join(rows, case).withColumn("split", F.col("joined_matches") > F.col("row_matches"))
+    """Matches in single rows and in the case's joined text: more in the second means a pattern was split.
+
+    The joined text is never built: a case's rows pass in order, and of each pattern only an open end is kept, the part
+    that may still become a match. A case is read by one task, in constant memory; other cases by others. Null texts are left out.
+    """
+    rows = redact(df, text, "_r", "_n").groupBy(case).agg(F.sum(F.coalesce("_n", F.lit(0))).alias("row_matches"))
+    ordered = df.select(case, order, text).repartition(case).sortWithinPartitions(case, order, text).select(case, text)
+    joined = ordered.mapInArrow(partial(_joined_matches, names=[case, "joined_matches"]), f"`{case}` {df.schema[case].dataType.simpleString()}, joined_matches long")
+    return joined.join(rows, case).withColumn("split", F.col("joined_matches") > F.col("row_matches"))
