@@ -68,9 +68,11 @@ def paraphrases_approx(entries: DataFrame, corpus: DataFrame, limit: float = 0.3
     two = corpus.select("text_id", token_set(F.col("text")).alias("b")).filter(F.size("b") > 0)
 
     def banded(df: DataFrame, key: str, tokens: str) -> DataFrame:
-        each = F.transform(F.sequence(F.lit(0), F.lit(bands * rows - 1)), lambda i: F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, i))))
-        parts = df.select(key, each.alias("m")).select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("m", b * rows + 1, rows)))).alias("band", "mark"))
-        return parts
+        # minima over a text's tokens: the partial sums leave one row for each text
+        each = df.select(key, F.xxhash64(tokens).alias("set"), F.explode(tokens).alias("token"))
+        least = each.groupBy(key, "set").agg(*[F.min(F.xxhash64("token", F.lit(i))).alias(f"m{i}") for i in range(bands * rows)])
+        marks = F.array(*[F.xxhash64(*[f"m{b * rows + k}" for k in range(rows)]) for b in range(bands)])
+        return least.select(key, F.posexplode(marks).alias("band", "mark"))
 
     pairs = banded(one, "entry_id", "a").join(banded(two, "text_id", "b"), ["band", "mark"]).select("entry_id", "text_id").distinct()
     exact = pairs.join(one, "entry_id").join(two, "text_id").withColumn("similarity", jaccard(F.col("a"), F.col("b")))
