@@ -16,7 +16,7 @@ def thue_morse(n, flip=False):
     return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
 
 
-@pytest.fixture(scope="module", params=[1024, 8192])
+@pytest.fixture(scope="module", params=[1024, 2048, 8192])
 def pair(request):
     return thue_morse(request.param), thue_morse(request.param, True)
 
@@ -31,6 +31,16 @@ def test_spans_differ(pair):
     assert len(np.unique(part.hash_spans(start, end))) == 2
 
 
+def test_digests_depend_on_the_bytes_alone():
+    rng = np.random.default_rng(7)
+    units = list(dict.fromkeys([b"", b"\0", b"\0\0", b"\0" * 8, b"\0" * 9, b"a" * 1024, b"a" * 1025, b"b" * 1025] + [rng.bytes(int(n)) for n in rng.integers(1, 1100, 3000)]))
+    found = textkit.digests(pa.array(units, pa.large_binary()))
+    assert len(np.unique(found)) == len(units)
+    order = rng.permutation(len(units))
+    mixed = pa.array([units[k] for k in order], pa.large_binary()).slice(5, 400)
+    assert (textkit.digests(mixed) == found[order[5:405]]).all() and not len(textkit.digests(mixed.slice(0, 0)))
+
+
 def test_packed_ids_and_token_counts(spark, pair):
     df, tok = frame(spark, [pair[0], pair[1], " ".join(pair)]), vocabulary.tokenizer(packing.FILE)
     for r in packing.tokenised(df, keep_ids=True).collect():
