@@ -106,6 +106,15 @@ def arm_difference(intervals: DataFrame) -> DataFrame:
     )
 
 
+def two_arm_gap(intervals: DataFrame) -> DataFrame:
+    """``arm_difference`` where there are exactly two arms, with what their intervals say of it; no row otherwise.
+
+    Intervals that don't overlap suffice for a significant difference; that they overlap says nothing.
+    """
+    arms = intervals.agg(F.countDistinct("arm")).scalar()
+    return arm_difference(intervals).filter(arms == 2).withColumn("reading", F.when(F.col("overlap"), "inconclusive").otherwise("significant"))
+
+
 def paired(rows: DataFrame, one: str, two: str) -> DataFrame:
     """Questions right in any run of one arm and none of the other, both ways, and the exact two-sided p."""
     from corroborate.operators.forgery import binomial_tail

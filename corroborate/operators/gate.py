@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,8 +108,10 @@ def weak_pair(families: Column) -> Column:
     return F.array_sort(families) == F.array(F.lit("AppCompat"), F.lit("Background-service"))
 
 
-def needle(events: DataFrame, text: str) -> DataFrame:
-    return events.filter(F.contains(F.lower("program_path"), F.lit(text.lower())))
+def needle(events: DataFrame, text: str, fields: tuple[str, ...] = ("program_path",)) -> DataFrame:
+    """Rows in which one of the fields holds the text, whatever the case; fields that the table lacks are passed over."""
+    held = [F.contains(F.lower(F.col(f).cast("string")), F.lit(text.lower())) for f in fields if f in events.columns]
+    return events.filter(reduce(lambda a, b: a | b, [F.coalesce(h, F.lit(False)) for h in held], F.lit(False)))
 
 
 def family_yield(events: DataFrame) -> DataFrame:

@@ -120,17 +120,27 @@ def write_eval_report(rows: DataFrame, path: str) -> None:
     rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("per_question")).write.mode("overwrite").json(path)
 
 
-# The keys of a question's text and of its evidence, the first that is there counts.
+# The keys under which an object holds its records, and those of a question's text and of its evidence; the first that is there counts.
+LIST_KEYS = ("questions", "templates", "challenges", "items", "tasks")
 TEXT_KEYS = ("question", "Q", "prompt", "stem", "text")
 EVIDENCE_KEYS = ("evidence", "artifact", "data", "content", "raw")
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(position, record map) of a corpus file: a JSON list of objects, or an object that holds such a list."""
+def read_corpus(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """(position, record map) of a corpus file: a JSON list of objects, or an object that holds such a list under one of LIST_KEYS.
+
+    Without one of these keys, the first list of objects counts; if ``strict``, that is an error, as is any other document.
+    """
     text = spark.read.text(path, wholetext=True)
     record = "array<map<string,string>>"
-    wrapped = F.filter(F.transform(F.map_values(F.from_json("value", "map<string,string>")), lambda v: F.from_json(v, record)), lambda v: v.isNotNull())
-    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", record)).otherwise(F.get(wrapped, F.lit(0)))
+    parts = F.from_json("value", "map<string,string>")
+    named = [F.when(F.ltrim(parts[k]).startswith("["), F.from_json(parts[k], record)) for k in LIST_KEYS]
+    if strict:
+        keys = F.coalesce(F.array_join(F.array_sort(F.map_keys(parts)), ", "), F.lit("none"))
+        other = F.raise_error(F.concat(F.lit("a corpus is a list, or holds one under " + "/".join(LIST_KEYS) + "; keys: "), keys)).cast(record)
+    else:
+        other = F.get(F.filter(F.transform(F.map_values(parts), lambda v: F.from_json(v, record)), lambda v: v.isNotNull()), F.lit(0))
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", record)).otherwise(F.coalesce(*named, other))
     return text.select(F.posexplode(listed).alias("position", "record"))
 
 
@@ -143,11 +153,22 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hydrate(corpus: DataFrame, subset: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """subset (line_offset, family) with the text of the corpus record (position, record map) there; the rest with a reason."""
+    """subset (line_offset, family) with the text of the corpus record (position, record map) there; the rest with a reason.
+
+    Rows with a synthetic_text (where subset has that column, extra_families and question_type too) are questions by themselves: they
+    need no record, have no evidence, and are named by family, further families, offset and type.
+    """
     first = lambda keys: F.coalesce(*[F.when(F.trim(F.col("record")[k]) != "", F.col("record")[k]) for k in keys])
-    both = subset.join(corpus.withColumnRenamed("position", "line_offset"), "line_offset", "left")
-    judged = both.withColumn("reason", F.when(F.col("record").isNull(), "out_of_range").when(first(TEXT_KEYS).isNull(), "missing_text"))
-    ok = judged.filter("reason is null").select("line_offset", "family", first(TEXT_KEYS).alias("text"), first(EVIDENCE_KEYS).alias("evidence"), F.concat_ws("-", F.lit("q"), "line_offset").alias("q_id"))
+    made = F.col("synthetic_text") if "synthetic_text" in subset.columns else F.lit(None).cast("string")
+    both = subset.withColumn("_made", made).join(corpus.withColumnRenamed("position", "line_offset"), "line_offset", "left")
+    name = F.concat_ws("-", F.lit("q"), "line_offset")
+    if "synthetic_text" in subset.columns:
+        families = F.array_join(F.transform(F.coalesce("extra_families", F.array().cast("array<string>")), lambda f: F.concat(F.lit("_"), f)), "")
+        made_name = F.concat(F.lit("synthetic_"), "family", families, F.lit("_"), F.abs("line_offset").cast("string"), F.lit("_"), "question_type")
+        name = F.when(F.col("_made").isNotNull(), made_name).otherwise(name)
+    judged = both.withColumn("reason", F.when(F.col("_made").isNotNull(), None).when(F.col("record").isNull(), "out_of_range").when(first(TEXT_KEYS).isNull(), "missing_text"))
+    evidence = F.when(F.col("_made").isNotNull(), "").otherwise(first(EVIDENCE_KEYS))
+    ok = judged.filter("reason is null").select("line_offset", "family", F.coalesce("_made", first(TEXT_KEYS)).alias("text"), evidence.alias("evidence"), name.alias("q_id"))
     return ok, judged.filter("reason is not null").select("line_offset", "family", "reason")
 
 
