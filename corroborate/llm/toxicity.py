@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -113,10 +115,12 @@ class Lexicon:
         if not len(machine):
             return []
         found = [(end - length + 1, end + 1, weight) for end, (length, weight) in machine.iter(folded)]
-        spared = [(s, e) for s, e, w in found if not w]
+        spared = sorted((s, e) for s, e, w in found if not w)
+        # of the phrases that begin up to a place, the end that lies furthest
+        begins, reach = [s for s, _ in spared], [0, *accumulate((e for _, e in spared), max)]
         best: dict[int, tuple[int, float]] = {}
         for s, e, w in found:
-            if w and not any(a <= s and min(e, len(folded)) <= b for a, b in spared) and w > best.get(s, (0, 0.0))[1]:
+            if w > best.get(s, (0, 0.0))[1] and reach[bisect_right(begins, s)] < min(e, len(folded)):
                 best[s] = (e, w)
         return [(s, e, w) for s, (e, w) in best.items()]
 

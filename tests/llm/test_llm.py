@@ -464,6 +464,16 @@ def test_toxicity_equals_brute_force(spark, odd):
     assert np.isclose(got[304], plain("awful " * 400), atol=0.05) and len(got) == len(texts)
 
 
+def test_a_long_text_of_exceptions_takes_one_sweep():
+    import time
+
+    lexicon = toxicity.Lexicon({" trash": 1.0, " can ": 2.0}, (" trash can ",), (-1.0, 0.5, 0.8, 0.4))
+    text = toxicity.fold("trash can " * 100_000)
+    began = time.perf_counter()
+    assert lexicon.hits(text) == [] and time.perf_counter() - began < 5
+    assert [w for _, _, w in lexicon.hits(text + "trash bin ")] == [1.0]
+
+
 def test_exceptions_see_every_hit(spark):
     """A phrase that a toxic text holds after very many other hits is no exception."""
     texts = [(k, "you idiot " * 30 + f"what a loser bunch n{k}") for k in range(12)] + [(100 + k, f"some text about a loser bunch m{k}") for k in range(12)] + [(200 + k, f"calm words q{k} here") for k in range(60)]
