@@ -4,16 +4,22 @@ Shapes. A path is cut at each ``/`` into segments, of any number, and a segment
 wildcard: an UUID, a date, a number, a hexadecimal id, a slug that ends in a number (the last three keep a file
 extension). Pages are summed to (host, shape) before the first shuffle, so the tree grows with the shapes.
 
-The tree. Shapes go down the tree of their host, one segment at a time, each with the template it has so far:
+The tree. Shapes go down the tree of their host, each with the template it has so far:
 
 1.  Wildcards: a segment becomes ``*`` if its parent has over MANY children and it holds under RARE of the parent's pages.
-2.  Merging: two siblings are alike if no segment (or end) that follows them differs in its share by more than
+2.  Merging: two siblings are alike if no segment (or end, ``$``) that follows them differs in its share by more than
     LEVEL * (1 / sqrt(pages of one) + 1 / sqrt(pages of the other)), the bound of Hoeffding for two samples of one
     distribution, and that bound is under 1: with too few pages nothing could differ. Labels are not looked at. A sibling joins the largest that it is alike to (of several the first by name), and a
     branch of several siblings is named ``~`` and that one. After step 1 a parent has at most 1 / RARE + 1 children, or
-    MANY, so siblings can be compared in pairs.
-3.  Segments that all shapes of a template have next in common are passed at once, as they can't change. A shape leaves
-    the tree when its path ends, or when no other shape has its template.
+    MANY, so siblings can be compared in pairs. Only the next segment is compared, so leaves of one parent with enough pages each are always alike.
+3.  Both steps run at once for all parents of the next AHEAD segments, as though nothing were renamed on the way to them. A
+    shape keeps its segments up to the first that is renamed, and the next round goes on from there; the shapes of one
+    template have come by the same renamed segments, so they are together again. Parents of under LEAST_PAGES pages can't
+    rename anything, nor can what lies below them. So the rounds count the renamed segments of a path (and its AHEADs), not
+    its depth, and a shape leaves when nothing on its way is renamed any more.
+
+A real segment that begins like a label (``~``, ``*``, ``{`` or ``$``) is written with a ``?`` before it, which no path holds, so that no
+label is the name of a segment.
 
 A page that a rule fits is labelled with the rule's verdict. A template's purity is (blocked + PRIOR / 2) / (labelled +
 PRIOR) over all its pages, and it is rejected from REJECT up; so a template needs labelled pages to be rejected, and
@@ -37,6 +43,12 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 MANY, RARE, PRIOR, REJECT = 20, 0.02, 2.0, 0.8
 #: sqrt(ln(2 / 0.05) / 2): two samples of one distribution are told apart in one case of twenty.
 LEVEL = 1.3581
+#: Pages that a parent needs for any renaming: over MANY children, or two branches whose bound is under 1 (equal ones need fewest).
+LEAST_PAGES = min(MANY + 1, int(8 * LEVEL**2) + 1)
+#: Segments of a path that one round looks at.
+AHEAD = 32
+#: A real segment that begins like a label.
+LABEL = "^[~*{$]"
 #: Looks of variable segments: a pattern, and the wildcard with the pattern's last group behind it.
 SHAPES = (
     (r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}()\z", "{uuid}"),
@@ -61,7 +73,7 @@ def verdict_of(rule: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Colu
 
 
 def shape_of(segment: Column) -> Column:
-    out = segment
+    out = F.when(segment.rlike(LABEL), F.concat(F.lit("?"), segment)).otherwise(segment)
     for pattern, name in reversed(SHAPES):
         out = F.when(segment.rlike(pattern), F.concat(F.lit(name), F.regexp_extract(segment, pattern, 1))).otherwise(out)
     return out
@@ -110,35 +122,43 @@ def templates(shapes: DataFrame) -> DataFrame:
     """host, shape, template of each row of shapes (host, shape array, n)."""
     active = shapes.select("host", "shape", "n", F.lit("").alias("t"), F.col("shape").alias("rest"))
     done: list[DataFrame] = []
-    parent, child, branch = ["host", "t"], ["host", "t", "s"], ["host", "t", "g"]
+    parent, child, branch, row = ["host", "t"], ["host", "t", "s"], ["host", "t", "g"], ["host", "shape"]
     while True:
-        done.append(active.filter(F.size("rest") == 0).select("host", "shape", F.col("t").alias("template")))
-        rows = active.filter(F.size("rest") > 0)
-        n = rows.count()
-        if not n:
-            break
-        # no table of this level has more rows than that, so below the bound none can have a hot key
-        large = n > LEAST_HOT
+        # each shape at each of the next parents on its way, as if no segment before were renamed
+        ahead = active.select(*row, "n", "t", "rest", F.posexplode(F.slice("rest", 1, AHEAD)).alias("i", "s"))
+        way = F.when(F.col("i") > 0, F.concat(F.lit("/"), F.array_join(F.expr("slice(rest, 1, i)"), "/"))).otherwise("")
+        x = F.coalesce(F.get("rest", F.col("i") + 1), F.lit("$"))
+        last = (F.col("i") == AHEAD - 1) & (F.size("rest") > AHEAD)
+        steps = ahead.select(*row, "n", F.concat("t", way).alias("t"), "s", x.alias("x"), "i", last.alias("last"))
+        divided = scratch(steps.groupBy(*child, "x").agg(F.sum("n").alias("n")), "url-divided")
+        rows = steps.count()
+        # no table of this round has more rows than that, so below the bound none can have a hot key
+        large = rows > LEAST_HOT
 
         def hot(table: DataFrame, keys: list[str]) -> DataFrame:
             return hot_of(table.select(*keys), keys) if large else hot_keys(table.select(*keys, F.lit(1).alias("n")), keys, 0)
 
-        rows = rows.withColumn("s", F.get("rest", F.lit(0))).withColumn("x", F.coalesce(F.get("rest", F.lit(1)), F.lit("$")))
-        divided = scratch(rows.groupBy(*child, "x").agg(F.sum("n").alias("n")), "url-divided")
+        totals = divided.groupBy(*parent).agg(F.sum("n").alias("total")).filter(F.col("total") >= LEAST_PAGES)
+        totals = scratch(totals.select(*parent), "url-parents")
+        divided = scratch(split_join(divided, totals, parent, hot(divided, parent)), "url-crowded")
         general = scratch(wildcards(divided, large), "url-general")
         division = split_join(divided, general, child, hot(divided, child)).groupBy(*branch, "x").agg(F.sum("n").alias("f"))
         labels = alike(scratch(division, "url-division"))
-        named = split_join(general, labels, branch, hot(general, branch)).select(*child, "label")
-        moved = split_join(rows, named, child, hot(rows, child))
-        moved = scratch(moved.select("host", "shape", "n", F.concat("t", F.lit("/"), "label").alias("t"), F.expr("slice(rest, 2, size(rest))").alias("rest")), "url-moved")
-        # what the least and the greatest rest have in common at the start, all have
-        ends = moved.groupBy(*parent).agg(F.count(F.lit(1)).alias("shapes"), F.min("rest").alias("least"), F.max("rest").alias("most"))
-        both = split_join(moved, ends, parent, hot(moved, parent))
-        equal = F.zip_with("least", "most", lambda a, b: F.coalesce(a == b, F.lit(False)))
-        both = both.withColumn("same", F.when(F.array_contains(equal, False), F.array_position(equal, False) - 1).otherwise(F.least(F.size("least"), F.size("most"))).cast("int"))
-        passed = F.transform(F.expr("slice(rest, 1, same)"), lambda v: F.concat(F.lit("/"), v))
-        both = both.select("host", "shape", "n", F.concat("t", F.array_join(passed, "")).alias("t"), F.expr("slice(rest, same + 1, size(rest))").alias("rest"), "shapes")
-        active = scratch(both, "url-tree")
+        renamed = scratch(split_join(general, labels, branch, hot(general, branch)).filter("s <> label").select(*child, "label"), "url-renamed")
+        # where each shape is renamed first; else it goes on beyond AHEAD segments, if there are pages enough
+        named = split_join(steps.select(*row, "i", *parent[1:], "s"), renamed, child, hot(steps, child)).select(*row, (F.col("i") + 1).alias("passed"), F.lit(0).alias("raw"), F.concat("t", F.lit("/"), "label").alias("to"))
+        beyond = steps.filter("last").select(*row, *parent[1:], "s")
+        onward = split_join(beyond, totals, parent, hot(beyond, parent)).select(*row, F.lit(AHEAD).alias("passed"), F.lit(1).alias("raw"), F.concat("t", F.lit("/"), "s").alias("to"))
+        first = named.unionByName(onward).groupBy(*row).agg(F.min(F.struct("passed", "raw", "to")).alias("first"))
+        moved = scratch(active.join(first, row, "left"), "url-moved")
+        rest = F.expr("slice(rest, first.passed + 1, size(rest))")
+        settled = moved.filter(F.col("first").isNull())
+        done.append(settled.select(*row, F.concat("t", F.when(F.size("rest") > 0, F.concat(F.lit("/"), F.array_join("rest", "/"))).otherwise("")).alias("template")))
+        moved = moved.filter(F.col("first").isNotNull()).select(*row, "n", F.col("first.to").alias("t"), rest.alias("rest"))
+        done.append(moved.filter(F.size("rest") == 0).select(*row, F.col("t").alias("template")))
+        active = moved.filter(F.size("rest") > 0)
+        if active.isEmpty():
+            break
     out = done[0]
     for one in done[1:]:
         out = out.unionByName(one)
@@ -191,7 +211,7 @@ l{k} AS (SELECT host, segs, n, t, true AS ended FROM {before} WHERE len(segs) <
 
 
 def _oracle() -> str:
-    shape = "v"
+    shape = f"if(regexp_matches(v, '{LABEL}'), '?' || v, v)"
     for pattern, name in reversed(SHAPES):
         shape = f"if(regexp_matches(v, '{pattern}'), '{name}' || regexp_extract(v, '{pattern}', 1), {shape})"
     rules = "(VALUES " + ", ".join("('{}', '{}', '{}', '/{}')".format(v, r, *r.partition("/")[::2]) for v, r in RULES) + ") AS r(verdict, rule, rule_host, rule_path)"

@@ -691,6 +691,46 @@ def test_templates_of_any_depth_and_look(spark):
     assert len(again) == 5 and len({r["verdict"] for r in again}) == 1
 
 
+def test_no_segment_has_the_name_of_a_label(spark):
+    """Home pages under ~de aren't the branch that de and it were merged into; so with the other labels."""
+    leaf = lambda name, n, of: [f"http://a.example.com/{name}/{of(k)}" for k in range(n)]
+    urls = leaf("de", 40, str) + leaf("it", 40, str) + leaf("~de", 20, lambda k: ("us", "team")[k % 2]) + leaf("~de", 20, str)
+    got = judged_urls(spark, urls)
+    assert {r["verdict"] for r in got[:80]} == {"block"} and {r["template"] for r in got[:80]} == {"a.example.com/~de/{n}"}
+    assert {r["verdict"] for r in got[80:]} == {"allow"} and {r["template"] for r in got[80:]} == {"a.example.com/?~de/~{n}"}  # leaves of one parent are alike
+    marks = judged_urls(spark, [f"http://b.com/{s}" for s in ("*", "{n}", "$", "~", "7", "?")])
+    assert [r["template"] for r in marks] == ["b.com/?*", "b.com/?{n}", "b.com/?$", "b.com/?~", "b.com/{n}", "b.com/"]
+
+
+@pytest.mark.parametrize("ahead", [1, 2, url_filters.AHEAD])
+def test_trees_by_rounds_equal_their_sql(spark, tmp_path, monkeypatch, ahead):
+    """Rounds of any reach give the tree that SQL builds level by level, with wildcards and merges above and below each other."""
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    pool = ["a", "b", "~a", "*", "{n}", "7", "fr", "de", ""]
+    one = lambda: f"x{rng.integers(40)}q" if rng.random() < 0.2 else str(rng.choice(pool))
+    urls = [f"http://{h}" + "".join("/" + one() for _ in range(rng.integers(0, 6))) for h in ("a.example.com", "b.net", "c.org") for _ in range(400)] + [None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    df.toPandas().to_parquet(tmp_path / "pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    monkeypatch.setattr(url_filters, "AHEAD", ahead)
+    shown = lambda rows: sorted((p, h, q, str(r), v, t, round(u, 9)) for p, h, q, r, v, t, u in rows)
+    mine = shown(map(tuple, url_filters.filter_urls(df).collect()))
+    assert mine == shown(con.sql(url_filters.ORACLE_SQL).fetchall()) and sum("/~" in r[5] for r in mine) > 500
+
+
+def test_a_path_of_two_hundred_levels_takes_a_few_rounds(spark):
+    import time
+
+    urls = [f"http://t.com/{'a/' * k}{w}" for k in range(200) for w in ("x", "y", "z") for _ in range(10)]
+    began = time.perf_counter()
+    got = judged_urls(spark, urls)
+    # leaves with enough pages are one branch at each level, and the stretch between them keeps its segments
+    assert {r["template"] for r in got[30 * 150 : 30 * 151]} == {"t.com" + "/a" * 150 + "/~x"} and time.perf_counter() - began < 120
+
+
 @pytest.mark.parametrize("name, sql", [("op3_mixing", mixing.ORACLE_SQL), ("op10_url_filters", url_filters.ORACLE_SQL)])
 def test_queries_equal_their_sql(spark, name, sql):
     import duckdb
