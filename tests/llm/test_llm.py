@@ -252,6 +252,20 @@ def test_passages_of_texts_that_share_an_id(spark):
     assert (left[f"{third} a b"], left["c "]) == (1, 2) or (left["a b"], left[f"c {third}"]) == (1, 2)
 
 
+def test_passages_of_a_row_repeated_very_often(spark):
+    """Rows that share id and text are one document before seeds are joined, and all lose the same words."""
+    from pyspark.sql import functions as F
+
+    shared = " ".join(f"w{k}" for k in range(80))
+    df = spark.range(100_001).select(F.least("id", F.lit(1)).alias("doc_id"), F.when(F.col("id") == 0, F.lit("first " + shared)).otherwise(F.lit(shared + " own words")).alias("text"))
+    single = passages.single_rows(df.select("doc_id", F.xxhash64("text").alias("t"), "text"))
+    assert single.count() == 2 and single.columns == ["doc_id", "t", "text"]
+    got = passages.shared_passages(df).collect()
+    assert [(r["doc_id"], r["source_doc_id"], r["n_words"]) for r in got] == [(1, 0, 80)]
+    left = passages.without_repeats(df, spark.createDataFrame(got)).groupBy("doc_id", "text").count().collect()
+    assert {(r["doc_id"], r["text"], r["count"]) for r in left} == {(0, "first " + shared, 1), (1, "own words", 100_000)}
+
+
 def test_passages_keep_columns_with_clashing_names(spark, odd):
     names = ["passage_doc_id", "passage_text_hash", "passage_spans", "repeated_spans", "part", "parts", "t", "source_t", "pos"]
     df = odd.withColumns({n: F.lit(7) for n in names})
