@@ -136,6 +136,26 @@ def family_heatmap(rows: DataFrame, arms: list[str]) -> DataFrame:
     return rows.groupBy("family").pivot("arm", arms).agg(F.avg(F.col("correct").cast("double")))
 
 
+# The order in which reports list families.
+FAMILY_ORDER = ("AppCompat", "Explorer", "BAM", "Sysmon", "SysMain")
+
+
+def family_place(family: Column, order: tuple[str, ...] = FAMILY_ORDER) -> Column:
+    """The sort key of a report's families, to be followed by the name: listed ones in their order from 1, all others after them."""
+    place = F.array_position(F.array(*map(F.lit, order)), family)
+    return F.when(place > 0, place).otherwise(len(order) + 1).cast("long")
+
+
+def question_table(rows: DataFrame, arms: list[str], order: str, status_arm: str) -> DataFrame:
+    """One row for each question, by one aggregation: first_seen (the least of ``order``), family, right and all answers of each arm, and
+    the counts of the status_arm's statuses by name, like ``CORROBORATED:2,DRAFT:1`` (empty if it has none)."""
+    of = lambda arm: F.col("arm") == arm
+    cells = [c for arm in arms for c in (F.count_if(of(arm) & F.col("correct")).alias(f"{arm}_correct"), F.count_if(of(arm)).alias(f"{arm}_runs"))]
+    counts = {s: F.count_if(of(status_arm) & (F.col("claim_status") == s)) for s in sorted(STATUSES)}
+    statuses = F.concat_ws(",", *[F.when(n > 0, F.concat(F.lit(f"{s}:"), n.cast("string"))) for s, n in counts.items()])
+    return rows.groupBy("q_id").agg(F.min(order).alias("first_seen"), F.min("family").alias("family"), *cells, statuses.alias("statuses"))
+
+
 def question_grid(rows: DataFrame) -> DataFrame:
     return rows.groupBy("q_id", "arm").agg(F.sum(F.col("correct").cast("long")).alias("n_correct"), F.count(F.lit(1)).alias("n_runs"), F.count_if(F.col("claim_status") == "CORROBORATED").alias("n_corroborated"))
 

@@ -123,3 +123,12 @@ def needles_found(expected: DataFrame, events: DataFrame) -> DataFrame:
     known = events.join(tools(events.sparkSession), "tool").select("family", F.lower("program_path").alias("path"))
     hits = known.join(F.broadcast(expected), "family").filter(F.contains("path", F.lower("needle"))).groupBy("family", "needle").agg(F.count(F.lit(1)).alias("hits"))
     return expected.join(hits, ["family", "needle"], "left").withColumn("hits", F.coalesce("hits", F.lit(0))).withColumn("found", F.col("hits") > 0)
+
+
+def expected_tiers(expected: DataFrame, graded: DataFrame) -> DataFrame:
+    """expected (case_id, program, expected_tier) against the rows of ``program_family_tier``: the tier found (null if none) and met, higher, lower or missing."""
+    place = lambda c: F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col(c))
+    found = graded.select("case_id", F.lower("program").alias("program"), "tier")
+    both = expected.withColumn("program", F.lower("program")).join(found, ["case_id", "program"], "left")
+    verdict = F.when(F.col("tier").isNull(), "missing").when(place("tier") == place("expected_tier"), "met").when(place("tier") > place("expected_tier"), "higher").otherwise("lower")
+    return both.withColumn("verdict", verdict)

@@ -123,3 +123,29 @@ def tool_text_fields(text: Column) -> dict[str, Column]:
 def coverage_split(rows: DataFrame, matches: str) -> DataFrame:
     """known (the patterns catch it) or novel, with the number of scenarios; rows hold the number of matches of each."""
     return rows.groupBy(F.when(F.col(matches) > 0, "known").otherwise("novel").alias("coverage")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def in_directory(path: Column, folder: str) -> Column:
+    """Does the path lie in the folder or below it? Neither case nor the kind of slash counts; null for a null path."""
+    plain = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    return plain.startswith(folder.lower().replace("\\", "/").rstrip("/") + "/")
+
+
+def event_facts(events: DataFrame, *by: str, folder: str | None = None) -> DataFrame:
+    """Per group: its latest and earliest event_id (ties by id), number of rows, largest size and HH:MM in UTC of the earliest; of the rows in a folder, if one is given."""
+    rows = events if folder is None else events.filter(in_directory(F.col("program_path"), folder))
+    when = F.struct("ts", "event_id")
+    return rows.groupBy(*by).agg(
+        F.max_by("event_id", when).alias("latest"), F.min_by("event_id", when).alias("earliest"), F.count(F.lit(1)).alias("n"),
+        F.max("evidence_size_bytes").alias("largest"), F.substring(utc_text(F.min("ts")), 12, 5).alias("first_time"),
+    )
+
+
+def case_entries(entries: DataFrame, case_id: str | None = None) -> DataFrame:
+    """Ledger entries as a report lists them: each with its case (``unknown`` if it names none) and kind, finding or evidence; of one case, if it is given.
+
+    The lists stay rows, as one case may hold a third of all entries.
+    """
+    named = entries.withColumn("case_id", F.coalesce("case_id", F.lit("unknown")))
+    kept = named if case_id is None else named.filter(F.col("case_id") == case_id)
+    return kept.withColumn("kind", F.when(F.col("tool") == "claim_finding", "finding").otherwise("evidence"))

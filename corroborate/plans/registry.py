@@ -63,8 +63,7 @@ def needle_hits(spark, sf_dir):
 
 @query(f"""{with_views("evidence")} SELECT case_id, arg_max(event_id, (ts, event_id)) AS latest, arg_min(event_id, (ts, event_id)) AS earliest, count(*) AS n, max(evidence_size_bytes) AS largest, strftime(min(ts), '%H:%M') AS first_time FROM evidence GROUP BY 1""")
 def case_facts_of_events(spark, sf_dir):
-    when = F.struct("ts", "event_id")
-    return view(spark, sf_dir, "evidence").groupBy("case_id").agg(F.max_by("event_id", when).alias("latest"), F.min_by("event_id", when).alias("earliest"), F.count(F.lit(1)).alias("n"), F.max("evidence_size_bytes").alias("largest"), F.substring(reports.utc_text(F.min("ts")), 12, 5).alias("first_time"))
+    return reports.event_facts(view(spark, sf_dir, "evidence"), "case_id")
 
 
 @query(f"""{with_views("evidence")} SELECT event_id, case_id, tool, row_number() OVER (PARTITION BY case_id, tool ORDER BY event_id) - 1 AS row_index FROM evidence""")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corroborate.functions import canon, scalars
 from corroborate.operators import curation, evalmetrics, forgery, gate, ledger, normalise, textguard
-from corroborate.plans import artifact_queries, registry, report_queries, source_queries  # noqa: F401
+from corroborate.plans import artifact_queries, detail_queries, registry, report_queries, source_queries  # noqa: F401
 from corroborate.sources import artifacts
 
 DATA = "/root/testdata/sf0.001"
