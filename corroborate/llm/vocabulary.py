@@ -7,7 +7,9 @@ library in one batch.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,8 @@ import pyarrow.compute as pc
 
 from corroborate.llm.textkit import Slice, digests
 
-#: Distinct units that a worker keeps; at the bound it starts anew, which costs time only.
-KEPT = 3 << 19
+#: Distinct units that a worker keeps, and the bytes of these and of their ids; at a bound it starts anew, which costs time only.
+KEPT, KEPT_BYTES = 1 << 20, 64 << 20
 
 
 def path_of(name: str) -> str:
@@ -34,6 +36,8 @@ _loaded: dict[str, object] = {}
 def tokenizer(name: str):
     """The library's tokenizer for a .json file, without truncation or padding, once per process."""
     if name not in _loaded:
+        # Spark's tasks fill the cores already: threads of the library's own would cost CPU time and memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         one = Tokenizer.from_file(path_of(name))
@@ -44,14 +48,14 @@ def tokenizer(name: str):
 
 
 class Growing:
-    """An array that is appended to, with room that doubles."""
+    """An array that is appended to, with room that grows by half."""
 
     def __init__(self, kind: type):
         self.room, self.n = np.zeros(1024, kind), 0
 
     def append(self, values: np.ndarray) -> None:
         if self.n + len(values) > len(self.room):
-            self.room = np.concatenate([self.room[: self.n], np.zeros(max(len(values), self.n), self.room.dtype)])
+            self.room = np.concatenate([self.room[: self.n], np.zeros(max(len(values), self.n // 2), self.room.dtype)])
         self.room[self.n : self.n + len(values)] = values
         self.n += len(values)
 
@@ -88,13 +92,16 @@ class UnitTable:
     def rows(self, part: Slice, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The table's row of each span; spans not yet known are encoded first."""
         number, units = part.units(start, end)
-        if self.length.n + len(units) > KEPT:
+        if self.length.n + len(units) > KEPT or self.body.n + 4 * self.pool.n + units.nbytes > KEPT_BYTES:
             self.clear()
         hashes, rows = digests(units), np.full(len(units), -1, np.int64)
+        # in sorted order, neighbouring searches touch the same memory
+        order = np.argsort(hashes)
+        asked = hashes[order]
         for keys, known in self.runs:
-            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            hit = keys[at] == hashes
-            rows[hit] = known[at[hit]]
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            hit = keys[at] == asked
+            rows[order[hit]] = known[at[hit]]
         hit = np.flatnonzero(rows >= 0)
         other = hit[~pc.equal(units.take(pa.array(hit)), self._kept(rows[hit])).to_numpy(zero_copy_only=False)]
         rows[other] = -1
@@ -102,12 +109,12 @@ class UnitTable:
         if len(fresh):
             bodies = units.take(pa.array(fresh)).to_pylist()
             ids = self.encode([b.decode("utf-8", "replace") for b in bodies])
-            length = np.array([len(x) for x in ids], np.int32)
+            length = np.fromiter(map(len, ids), np.int32, len(ids))
             rows[fresh] = self.length.n + np.arange(len(fresh))
             self.start.append(self.pool.n + np.concatenate(([0], np.cumsum(length, dtype=np.int64)[:-1])))
             self.length.append(length)
-            self.pool.append(np.array([t for x in ids for t in x], np.uint32))
-            self.body_end.append(self.body.n + np.cumsum([len(b) for b in bodies], dtype=np.int64))
+            self.pool.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())))
+            self.body_end.append(self.body.n + np.cumsum(np.fromiter(map(len, bodies), np.int64, len(bodies))))
             self.body.append(np.frombuffer(b"".join(bodies), np.uint8))
             new = np.setdiff1d(fresh, other)
             new = new[np.unique(hashes[new], return_index=True)[1]]

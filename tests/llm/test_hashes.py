@@ -60,6 +60,17 @@ def test_units_of_one_hash_are_told_apart(monkeypatch):
         assert known.ids(known.rows(part, start, end)).tolist() == [v for w in text.split() for v in (len(w), ord(w[0]))]
 
 
+def test_a_table_of_units_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(vocabulary, "KEPT_BYTES", 50_000, raising=False)
+    known, rng = vocabulary.UnitTable(lambda texts: [[len(t), ord(t[0])] for t in texts]), np.random.default_rng(5)
+    for _ in range(60):
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 400)) for _ in range(20)]
+        part = next(textkit.slices(pa.array([" ".join(words + words[:3])])))
+        start, end, _ = part.words()
+        assert known.ids(known.rows(part, start, end)).tolist() == [v for w in words + words[:3] for v in (len(w), ord(w[0]))]
+        assert known.body.n + 4 * known.pool.n <= 50_000 and len(known.body.room) <= 100_000
+
+
 def test_lines_and_windows(pair):
     part = next(textkit.slices(pa.array(["\n".join(pair), "\n".join([pair[0]] * 2), " ".join(["x y z"] + list(pair) + ["x y z", pair[1], pair[0]])])))
     assert quality_rules.statistics(part)[:, :5].astype(int).tolist() == [[2, 2 * len(pair[0]), 0, 0, 0], [2, 2 * len(pair[0]), 0, 1, 0], [10, 6 + 4 * len(pair[0]), 0, 0, 0]]
