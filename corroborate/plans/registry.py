@@ -222,8 +222,8 @@ SELECT case_id AS ledger_id, count(*) AS n_findings, true AS ok FROM good GROUP
 def recorded_findings(spark, sf_dir):
     """Findings of all claims, drafts included, sealed in the ledgers of their cases, which are then verified."""
     findings = gate.evaluate_claims(view(spark, sf_dir, "claims"), view(spark, sf_dir, "calls"), WINDOW_SECONDS).withColumn("hypothesis", F.concat(F.lit("claim "), "claim_id"))
-    lines = ledger.record_findings(findings, KEY)
-    return ledger.verify(lines, KEY).select("ledger_id", "ok").join(lines.groupBy("ledger_id").agg(F.count(F.lit(1)).alias("n_findings")), "ledger_id")
+    checked = ledger.verify(ledger.record_findings(findings, KEY), KEY, counted=True)
+    return checked.select("ledger_id", "ok", F.col("n_lines").alias("n_findings"))
 
 
 @query()
