@@ -39,8 +39,8 @@ def altered_findings(spark, sf_dir):
     findings = gate.evaluate_claims(view(spark, sf_dir, "claims"), view(spark, sf_dir, "calls"), WINDOW_SECONDS).withColumn("hypothesis", F.concat(F.lit("claim "), "claim_id"))
     lines = ledger.record_findings(findings, KEY)
     odd = (F.substring("ledger_id", 6, 9).cast("int") % 2 == 1) & (F.col("line_no") == 3)
-    checked = ledger.verify(lines.withColumn("raw_line", F.when(odd, F.replace("raw_line", F.lit('"claim '), F.lit('"no claim '))).otherwise(F.col("raw_line"))), KEY)
-    return checked.join(lines.groupBy("ledger_id").agg(F.count(F.lit(1)).alias("n_findings")), "ledger_id").select("ledger_id", "n_findings", "ok", "first_bad")
+    checked = ledger.verify(lines.withColumn("raw_line", F.when(odd, F.replace("raw_line", F.lit('"claim '), F.lit('"no claim '))).otherwise(F.col("raw_line"))), KEY, counted=True)
+    return checked.select("ledger_id", F.col("n_lines").alias("n_findings"), "ok", "first_bad")
 
 
 @query(f"""{with_views("evidence")}, r AS (SELECT case_id, CASE event_id % 11 WHEN 0 THEN 'missing_path' WHEN 1 THEN 'path_too_long' WHEN 2 THEN 'dirty_path' WHEN 3 THEN 'missing_timestamp' WHEN 4 THEN 'bad_timestamp' WHEN 5 THEN 'bad_size' WHEN 6 THEN 'size_out_of_range' WHEN 7 THEN 'bad_extras' END AS reason, evidence_size_bytes AS size FROM evidence)

@@ -1,11 +1,14 @@
 """Ledgers: sealing in sorted partitions, verification by ranges, HMAC in the JVM, growing ledgers and tier changes as streams."""
 
 import datetime as dt
+import hashlib
+import hmac
 import json
 import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corroborate.functions import canon
@@ -158,3 +161,29 @@ def test_tier_changes_equal_their_batch_twin(spark, tmp_path):
     key = lambda r: (r.case_id, r.program, r["at"])
     assert sorted(out, key=key) == sorted(twin, key=key) and len(twin) > 12
     assert {(r.old_tier, r.tier) for r in twin} >= {(None, "DRAFT"), ("DRAFT", "CORROBORATED"), ("CORROBORATED", "FINAL")}
+
+
+def test_entries_are_numbered_in_the_sort_that_seals_them(spark):
+    rows = [(f"c{k % 3}", (k * 7) % 50, json.dumps({"audit_id": f"a{k}", "z": "<prev_hash of this line>", "a": '"line_hash": "<line_hash of this line>", '})) for k in range(90)]
+    entries = spark.createDataFrame(rows, "ledger_id string, place long, body string")
+    number = F.row_number().over(Window.partitionBy("ledger_id").orderBy("place", "body"))
+    want = {tuple(r) for r in ledger.seal(entries.withColumn("line_no", number), KEY).collect()}
+    lines = ledger.seal(entries, KEY, order=["place"])
+    assert {tuple(r) for r in lines.collect()} == want and len(want) == 90
+    for r in lines.collect():
+        entry = json.loads(r.raw_line)
+        mark = entry.pop("line_hash")
+        assert mark == r.line_hash == hmac.new(KEY, json.dumps(entry, sort_keys=True, ensure_ascii=False).encode(), hashlib.sha256).hexdigest()
+    heads = ledger.heads(lines)
+    more = ledger.seal(entries, KEY, heads, order=["place"])
+    both = ledger.verify(lines.unionByName(more), KEY, most=7, counted=True)
+    assert {(r.ledger_id, r.ok, r.n_lines) for r in both.collect()} == {(f"c{k}", True, 60) for k in range(3)}
+
+
+@pytest.mark.parametrize("name", ["recorded_findings", "altered_findings"])
+def test_findings_are_sealed_once(spark, name):
+    """The lines were made twice, once to verify them and once to count them, and their cases were sorted before that."""
+    from __spark_entry__ import queries
+
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("row_number") <= 2
