@@ -27,22 +27,33 @@ def paraphrases_by_position(entries: DataFrame, corpus: DataFrame, limit: float
     return out.select("position", "similarity", (F.col("similarity") >= limit).alias("rejected"))
 
 
+def _of_fitting_size(sets: DataFrame, tokens: str, others: DataFrame, other_tokens: str, limit: float) -> DataFrame:
+    """The sets whose size lets them reach the limit with some of the others: of two sets the smaller has ``limit`` of the larger at least. Exact, and one row is broadcast."""
+    sizes = others.select(F.size(other_tokens).alias("n")).filter("n > 0").agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
+    n = F.size(tokens)
+    return sets.join(F.broadcast(sizes), (n >= F.col("_least") * limit - 1e-6) & (n * limit <= F.col("_most") + 1e-6)).drop("_least", "_most")
+
+
 def paraphrases(entries: DataFrame, corpus: DataFrame, limit: float = 0.30) -> DataFrame:
     """All (entry_id, text_id) pairs of similarity >= limit, by a prefix-filtered index of tokens.
 
     Two sets with Jaccard >= limit share one of the first n - ceil(limit * n) + 1 tokens of either, in any
-    fixed order of tokens. Rare tokens first keeps the lists short. At the first token that two sets share, no more
-    than the shorter rest of both can follow in common, which with the sizes drops most pairs; what is left is verified exactly.
+    fixed order of tokens. The order is that of how many entries hold a token. So a text's tokens that no entry holds come first: they
+    fill its prefix and need only be counted, and of the others only what is left of the prefix is looked up. At the first token that
+    two sets share, no more than the shorter rest of both can follow in common, which with the sizes drops most pairs; what is left is
+    verified exactly. Texts of sizes that no entry fits go before all that.
     """
     one = entries.select(F.col("entry_id"), token_set(F.col("text")).alias("a"))
-    two = corpus.select(F.col("text_id"), token_set(F.col("text")).alias("b"))
-    seen = two.select(F.explode("b").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    two = _of_fitting_size(corpus.select(F.col("text_id"), token_set(F.col("text")).alias("b")), "b", one, "a", limit)
+    seen = one.select(F.explode("a").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(df: DataFrame, key: str, tokens: str) -> DataFrame:
-        each = df.select(key, F.size(tokens).alias("n"), F.explode(tokens).alias("token")).join(seen, "token", "left")
-        ordered = each.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("t"))
-        keep = F.col("n") - F.ceil(F.col("n") * limit).cast("int") + 1
-        return ordered.select(key, "n", F.posexplode(F.slice("t", F.lit(1), keep)).alias("at", "x")).select(key, F.col("n").alias(f"n_{tokens}"), F.col("at").alias(f"at_{tokens}"), "x.token")
+        each = df.select(key, F.size(tokens).alias("n"), F.xxhash64(tokens).alias("set"), F.explode(tokens).alias("token")).join(seen, "token")
+        ordered = each.groupBy(key, "n", "set").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("t"))
+        unknown = F.col("n") - F.size("t")
+        keep = F.greatest(F.col("n") - F.ceil(F.col("n") * limit).cast("int") + 1 - unknown, F.lit(0))
+        placed = ordered.select(key, "n", unknown.alias("unknown"), F.posexplode(F.slice("t", F.lit(1), keep)).alias("at", "x"))
+        return placed.select(key, F.col("n").alias(f"n_{tokens}"), (F.col("at") + F.col("unknown")).alias(f"at_{tokens}"), "x.token")
 
     n, m = F.col("n_a"), F.col("n_b")
     following = F.least(n - F.col("at_a"), m - F.col("at_b"))

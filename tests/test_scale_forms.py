@@ -80,6 +80,28 @@ def test_approximate_paraphrases(spark):
     assert near <= exact and len(near) >= 0.9 * len(exact) and len(exact) > 1000
 
 
+def test_paraphrases_equal_brute_force(spark):
+    """With texts of one id, sets on the limit, empty ones, and texts of sizes that no entry fits."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    pick = lambda: " ".join(rng.sample(words, rng.randrange(1, 30)) + [f"x{rng.randrange(9)}" for _ in range(rng.randrange(6))])
+    entries = [(k, pick()) for k in range(40)] + [(90, None), (91, ""), (92, "a b c")]
+    corpus = [(k // 2, pick()) for k in range(300)] + [(900, "a " + " ".join(f"y{k}" for k in range(7))), (901, "a b c d e f g h i j"), (902, "a b c d e f g h i j k"), (903, ""), (904, None), (905, " ".join(f"z{k}" for k in range(500)))]
+    one, two = spark.createDataFrame(entries, "entry_id long, text string"), spark.createDataFrame(corpus, "text_id long, text string")
+    sets = [[(k, {w.lower() for w in re.findall("[A-Za-z0-9]+", t or "")}) for k, t in rows] for rows in (entries, corpus)]
+    want = sorted((i, j, len(a & b) / len(a | b)) for i, a in sets[0] for j, b in sets[1] if a | b and len(a & b) / len(a | b) >= 0.3)
+    assert sorted(tuple(r) for r in curation.paraphrases(one, two).collect()) == want and len(want) > 500
+    assert (92, 901, 0.3) in want
+
+
+def test_signatures_only_of_texts_that_some_entry_fits(spark):
+    entries = spark.createDataFrame([(1, "a b c d e"), (2, None)], "entry_id long, text string")
+    corpus = spark.createDataFrame([(1, "a"), (2, "a b"), (3, " ".join(f"t{k}" for k in range(16))), (4, " ".join(f"t{k}" for k in range(17))), (5, ""), (6, None)], "text_id long, text string")
+    sets = corpus.select("text_id", curation.token_set(F.col("text")).alias("b"))
+    fits = curation._of_fitting_size(sets, "b", entries.select(curation.token_set(F.col("text")).alias("a")), "a", 0.3)
+    assert sorted(r.text_id for r in fits.collect()) == [2, 3]
+
+
 def test_selection_in_two_phases(spark):
     rng = random.Random(3)
     rows = [(k, f"f{min(rng.randrange(9), 4)}" if k % 7 else None) for k in range(600)]
