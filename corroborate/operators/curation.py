@@ -73,10 +73,11 @@ def paraphrases_approx(entries: DataFrame, corpus: DataFrame, limit: float = 0.3
     """The pairs of ``paraphrases`` that share a MinHash band: none that it hasn't, and 1 - (1 - s ** rows) ** bands of those of similarity s.
 
     A signature is the least hash of a set's tokens under one of bands * rows seeds, so the work on a text is in proportion to it, and
-    pairs meet in equal bands only, where ``paraphrases`` meets them by rare tokens. Each pair is then verified. Empty sets have no band.
+    pairs meet in equal bands only, where ``paraphrases`` meets them by rare tokens. Each pair is then verified. Empty sets have no band,
+    and texts of sizes that no entry fits, which can't be in a pair, get no signatures.
     """
     one = entries.select("entry_id", token_set(F.col("text")).alias("a")).filter(F.size("a") > 0)
-    two = corpus.select("text_id", token_set(F.col("text")).alias("b")).filter(F.size("b") > 0)
+    two = _of_fitting_size(corpus.select("text_id", token_set(F.col("text")).alias("b")), "b", one, "a", limit)
 
     def banded(df: DataFrame, key: str, tokens: str) -> DataFrame:
         # minima over a text's tokens: the partial sums leave one row for each text
