@@ -1,6 +1,7 @@
 """Words, lines and units that a polynomial hash can't tell apart: the Thue-Morse word and its complement, in each operator that hashes."""
 
 import re
+import os
 import zlib
 
 import numpy as np
@@ -71,6 +72,13 @@ def test_a_table_of_units_is_bounded_in_bytes(monkeypatch):
         assert known.body.n + 4 * known.pool.n <= 50_000 and len(known.body.room) <= 100_000
 
 
+def test_the_tokenizer_has_no_threads_of_its_own(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    monkeypatch.setattr(vocabulary, "_loaded", {})
+    vocabulary.tokenizer(packing.FILE)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_lines_and_windows(pair):
     part = next(textkit.slices(pa.array(["\n".join(pair), "\n".join([pair[0]] * 2), " ".join(["x y z"] + list(pair) + ["x y z", pair[1], pair[0]])])))
     assert quality_rules.statistics(part)[:, :5].astype(int).tolist() == [[2, 2 * len(pair[0]), 0, 0, 0], [2, 2 * len(pair[0]), 0, 1, 0], [10, 6 + 4 * len(pair[0]), 0, 0, 0]]
