@@ -270,6 +270,50 @@ def test_no_seed_of_any_pair_of_documents_loses_its_passage(spark, monkeypatch):
     assert n > 1000 and not lost, (n, len(lost), sorted(lost)[:20])
 
 
+def test_short_runs_of_a_word_make_no_pairs_of_documents(spark, monkeypatch):
+    """Documents that share a run of one word, too short for a passage, don't become pairs whose seeds are fetched; a passage that leaves out words still does."""
+    rng = np.random.default_rng(33)
+    words = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 90_000, n))
+    table_rows = [(k, f"{words(30)} {'the ' * int(rng.integers(26, 37))} {words(30)}") for k in range(60)]
+    run = "the " * 30
+    table_rows += [(100 + k, f"{words(20)} {run} {a} {run} {words(20)}") for k, a in enumerate(["of a", "of a b"])]
+    pairs = []
+
+    def noted(df, name):
+        out = scratch(df, name)
+        if name == "passage-maybe":
+            pairs.append(out.select("doc_id", "source").distinct().count())
+        return out
+
+    scratch = passages.scratch
+    monkeypatch.setattr(passages, "scratch", noted)
+    got = passages.shared_passages(spark.createDataFrame(table_rows, "doc_id long, text string")).collect()
+    # the two documents with two runs each may meet the others
+    assert len(pairs) == 1 and pairs[0] < 250, pairs
+    assert covered(got, 101) >= set(range(20, 83))
+
+
+def test_words_left_out_around_a_seed():
+    """The bound on passages around a seed lets each through that has enough equal words, whatever is left out between them."""
+    rng = np.random.default_rng(34)
+    one = rng.integers(1, 255, (200, 2 * passages.REACH)).astype(np.uint8)
+    other = rng.integers(1, 255, one.shape).astype(np.uint8)
+    for a, b in zip(one, other):
+        # 22 words before and 24 after, of which the other text holds 20 and 20 with up to 3 others between
+        left, gap = passages.REACH - 22, int(rng.integers(0, 4))
+        b[left:passages.REACH] = a[left:passages.REACH]
+        b[left + 5 : left + 7] = 0
+        part = [a[passages.REACH : passages.REACH + 9], rng.integers(1, 255, gap).astype(np.uint8), a[passages.REACH + 13 : passages.REACH + 24]]
+        part = np.concatenate(part)
+        b[passages.REACH : passages.REACH + len(part)] = part
+    own, bag = passages.bags(one), passages.bags(other)
+    assert passages.may_align(one, other, own, bag).all()
+    assert passages.may_align(one, rng.integers(1, 255, one.shape).astype(np.uint8), own, passages.bags(other)).mean() < 0.05
+    for a, b in zip(one[:20, :96], other[:20, :96]):
+        equal = np.cumsum(1 - passages.unmatched(a[None], b[None])[0].astype(int))
+        assert [equal[n - 1] for n in (1, 30, 48, 60, 96)] == [passages.common_subsequence(a[:n], b[b > 0]) for n in (1, 30, 48, 60, 96)]
+
+
 def need_of(table_rows):
     """Words of each row in a window of 50 words that an earlier document (doc_id, hash of the text) holds; the order of texts under one id is left open."""
     first, need = {}, {}
