@@ -293,6 +293,28 @@ def test_short_runs_of_a_word_make_no_pairs_of_documents(spark, monkeypatch):
     assert covered(got, 101) >= set(range(20, 83))
 
 
+def test_distant_runs_of_words_make_no_pairs_of_documents(spark, monkeypatch):
+    """Documents that share two short runs of words, far from each other, don't become pairs; a passage that leads over 60 other words on each side of a seed still does."""
+    rng = np.random.default_rng(35)
+    words = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 90_000, n))
+    table_rows = [(k, f"{words(30)} {'the ' * int(rng.integers(26, 31))} {words(int(rng.integers(50, 60)))} {'of ' * int(rng.integers(26, 31))} {words(30)}") for k in range(60)]
+    one, two, three = words(420), words(26), words(420)
+    table_rows += [(100, one), (101, f"{words(30)} {two} {words(30)}"), (102, three), (103, f"{one} {words(60)} {two} {words(60)} {three}"), (104, f"{one} {two} {three}")]
+    pairs = []
+
+    def noted(df, name):
+        out = scratch(df, name)
+        if name == "passage-maybe":
+            pairs.append(out.select("doc_id", "source").distinct().count())
+        return out
+
+    scratch = passages.scratch
+    monkeypatch.setattr(passages, "scratch", noted)
+    got = passages.shared_passages(spark.createDataFrame(table_rows, "doc_id long, text string")).collect()
+    assert len(pairs) == 1 and pairs[0] < 60, pairs
+    assert covered(got, 104) >= set(range(866))
+
+
 def test_words_left_out_around_a_seed():
     """The bound on passages around a seed lets each through that has enough equal words, whatever is left out between them."""
     rng = np.random.default_rng(34)
