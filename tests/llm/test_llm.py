@@ -315,6 +315,113 @@ def test_distant_runs_of_words_make_no_pairs_of_documents(spark, monkeypatch):
     assert covered(got, 104) >= set(range(866))
 
 
+def counted(monkeypatch, name):
+    """The calls of a function of passages from now on."""
+    calls, real = [], getattr(passages, name)
+    monkeypatch.setattr(passages, name, lambda *a: calls.append(a) or real(*a))
+    return calls
+
+
+def test_pairs_of_a_batch_are_chained_together(monkeypatch):
+    """Pairs cost no step each, and their chains are those that each has by itself."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(36)
+    pairs, matches = [], []
+    for k in range(200):
+        h = rng.integers(0, 40, 24)
+        marks = [[{"h": int(v), "pos": int(p), "first": bool(rng.random() < 0.2)} for v, p in zip(rng.permutation(h)[:n], np.sort(rng.choice(300, n, False)))] for n in (14, 9)]
+        places = [(a["pos"], b["pos"]) for a in marks[0] for b in marks[1] if a["h"] == b["h"]] or [(3, 4)]
+        found = [{"pos": p, "source_pos": q, "before": int(rng.integers(0, 60)), "after": int(rng.integers(0, 60)), "excess": int(rng.integers(-2000, 200)), "straight": int(rng.integers(0, 9))} for p, q in places[:2]]
+        pairs.append({"doc_id": 1000 + k // 3, "t": 7, "source": k, "source_t": 9, "found": found, "marks": marks[0], "source_marks": marks[1]})
+        matches += [{"doc_id": 1000 + k // 3, "t": 7, "source": k, "source_t": 9, "pos": p, "source_pos": q} for p, q in sorted(places)]
+    found = pa.list_(pa.struct([(c, pa.int32()) for c in ("pos", "source_pos", *passages._COUNTS)]))
+    marks = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("first", pa.bool_())]))
+    ids = [(c, pa.int64()) for c in ("doc_id", "t", "source", "source_t")]
+    rows = lambda f, batch: [tuple(map(str, r.values())) for b in f(iter([batch])) for r in b.to_pylist()]
+    for f, table_rows, schema in (
+        (passages._pair_chains, pairs, pa.schema([*ids, ("found", found), ("marks", marks), ("source_marks", marks)])),
+        (passages._chained, matches, pa.schema([*ids, ("pos", pa.int32()), ("source_pos", pa.int32())])),
+    ):
+        one = [r for k in range(200) for r in rows(f, pa.RecordBatch.from_pylist([v for v in table_rows if v["source"] == k], schema))]
+        with monkeypatch.context() as m:
+            calls = counted(m, "runs_of")
+            assert sorted(rows(f, pa.RecordBatch.from_pylist(table_rows, schema))) == sorted(one) and len(one) > 30
+            # matches of the last pair may go on in another batch
+            assert len(calls) <= 2
+
+
+def test_chains_without_room_for_a_passage_are_aligned_together(monkeypatch):
+    """Of chains of one run those with too few equal words around them take no step each; the others give the passages of passages_of."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(37)
+    chains = []
+    for k in range(300):
+        a, b = (rng.integers(0, 1 << 32, int(n), dtype=np.uint32) for n in rng.integers(60, 200, 2))
+        n, kind = min(len(a), len(b)), k % 6
+        s, e, shift = (20, 26, 0) if kind < 4 else (4, n - 4, 0)
+        b[s:e] = a[s:e]
+        if kind == 4:
+            b[rng.integers(s + 6, e - 6, 8)] = 1
+        elif kind == 5 and e - s > 60:
+            # equal words off the diagonal, between two seeds on it
+            b[s + 6 : e - 6] = np.roll(a[s + 6 : e - 6], 1)
+        chains.append({"doc_id": k, "t": 1, "source": k - 1, "source_t": 2, "first": [s + 5], "stop": [e + 5], "source_first": [s + 9], "a0": 5, "b0": 9, "a": a.tobytes(), "b": b.tobytes()})
+    kinds = {"first": pa.list_(pa.int32()), "stop": pa.list_(pa.int32()), "source_first": pa.list_(pa.int32()), "a0": pa.int32(), "b0": pa.int32(), "a": pa.binary(), "b": pa.binary()}
+    batch = pa.RecordBatch.from_pylist(chains, pa.schema([(c, kinds.get(c, pa.int64())) for c in chains[0]]))
+    need = set()
+    for r in chains:
+        for s, e, t, u, n in passages.passages_of(np.frombuffer(r["a"], "<u4"), np.frombuffer(r["b"], "<u4"), [r["first"][0] - 5], [r["stop"][0] - 5], [r["source_first"][0] - 9]):
+            need.add((r["doc_id"], s + 5, e + 5, t + 9, u + 9, n))
+    calls = counted(monkeypatch, "passages_of")
+    got = {(r["doc_id"], r["start"], r["end"], r["source_start"], r["source_end"], r["n_equal"]) for b in passages._aligned(iter([batch])) for r in b.to_pylist()}
+    assert got == need and {r[0] % 6 for r in need} == {4, 5}
+    assert len(calls) <= 50
+
+
+def test_near_seeds_of_a_batch_are_marked_together():
+    """The marks of near seeds of many documents are those of each by itself, in one batch of rows for all."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(38)
+    table_rows = []
+    for k in range(60):
+        marks = [{"pos": int(p), "h": int(rng.integers(0, 1 << 62)), "n": int(rng.integers(2, 5))} for p in rng.choice(500, 40, False)]
+        spans = [{"start": int(s), "end": int(s) + 60} for s in rng.integers(0, 400, k % 4)] if k % 5 else None
+        table_rows.append({"doc_id": k, "t": 3, "marks": marks, "spans": spans})
+    marks = pa.list_(pa.struct([("pos", pa.int32()), ("h", pa.int64()), ("n", pa.int64())]))
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("marks", marks), ("spans", spans)])
+    one = [r for v in table_rows for b in passages._near(iter([pa.RecordBatch.from_pylist([v], schema)])) for r in b.to_pylist()]
+    batches = list(passages._near(iter([pa.RecordBatch.from_pylist(table_rows, schema)])))
+    assert len(batches) == 2 and sorted(map(str, one)) == sorted(str(r) for b in batches for r in b.to_pylist())
+
+
+def test_small_and_large_blocks_are_compared_alike(monkeypatch):
+    """Blocks of few pairs, which are compared at once, give the matches that they give one after the other."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(39)
+    rows = []
+    for h in range(80):
+        like = rng.integers(1, 255, 2 * passages.REACH).astype(np.uint8)
+        for side, n in ((0, int(rng.integers(1, 6))), (1, int(rng.integers(1, 9)))):
+            for _ in range(n):
+                around = np.where(rng.random(len(like)) < rng.choice([0.1, 0.9]), like, rng.integers(1, 255, len(like))).astype(np.uint8)
+                near = (rng.random((2, 8 * passages.BITMAP)) < 0.03) & np.array([[True], [rng.random() < 0.5]])
+                bag = np.minimum(np.bincount(around, minlength=256) + rng.integers(0, 3, 256), 255).astype(np.uint8)
+                rows.append({"h": h, "doc_id": int(rng.integers(0, 30)), "t": 0, "pos": 300, "near": np.packbits(near, axis=1).tobytes(), "around": around.tobytes(), "beyond": [204, 99], "bag": bag.tobytes(), "side": side, "i": 0, "j": 0})
+    kinds = {"pos": pa.int32(), "near": pa.binary(), "around": pa.binary(), "beyond": pa.list_(pa.int32()), "bag": pa.binary(), "side": pa.int32(), "i": pa.int32(), "j": pa.int32()}
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([(c, kinds.get(c, pa.int64())) for c in rows[0]]))
+    found = lambda batches: sorted(tuple(r.values()) for b in passages._compared(iter(batches)) for r in b.to_pylist())
+    # a batch of one row holds no whole block
+    need = found([batch.slice(k, 1) for k in range(batch.num_rows)])
+    calls = counted(monkeypatch, "alike")
+    assert found([batch]) == need and len(need) > 50
+    assert len(calls) <= 2
+
+
 def test_words_left_out_around_a_seed():
     """The bound on passages around a seed lets each through that has enough equal words, whatever is left out between them."""
     rng = np.random.default_rng(34)
